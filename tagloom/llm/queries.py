@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import phrases, sharding
+from . import packing, phrases, sharding, warc
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op6_warc_chunks": warc.op6_warc_chunks,
+    "op7_packing": packing.op7_packing,
     "op10_phrase_index": phrases.op10_phrase_index,
 }
-SQL = sharding.SQL | phrases.SQL
+SQL = sharding.SQL | warc.SQL | phrases.SQL
