@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, phrases, sharding, warc
+from . import packing, phrases, quality, sharding, warc
 
 QUERIES = {
+    "op2_llr_quality": quality.op2_llr_quality,
     "op3_sharding": sharding.op3_sharding,
     "op6_warc_chunks": warc.op6_warc_chunks,
     "op7_packing": packing.op7_packing,
