@@ -144,3 +144,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def bitmap(keys: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """A one-hash Bloom filter of a long column: 2**bits bits, whatever the input (8 MB at 26).
+
+    It only thins out what a scan emits; exact joins follow, so a full filter
+    costs speed, never results. The driver gets at most 2**(bits - 6) rows.
+    """
+    at = f"shiftrightunsigned({column}, {64 - bits})"
+    rows = keys.select(F.expr(f"cast(shiftrightunsigned({at}, 6) as int)").alias("word"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    got = rows.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which uint64 hashes have their bit set."""
+    bits = int(len(filled)).bit_length() - 1 + 6
+    h = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return ((filled[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, phrases, quality, sharding, warc
+from . import lines, packing, phrases, quality, sharding, warc
 
 QUERIES = {
+    "op1_line_chunks": lines.op1_line_chunks,
     "op2_llr_quality": quality.op2_llr_quality,
     "op3_sharding": sharding.op3_sharding,
     "op6_warc_chunks": warc.op6_warc_chunks,
     "op7_packing": packing.op7_packing,
     "op10_phrase_index": phrases.op10_phrase_index,
 }
-SQL = sharding.SQL | warc.SQL | phrases.SQL
+SQL = lines.SQL | sharding.SQL | warc.SQL | phrases.SQL
