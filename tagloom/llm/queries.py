@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, neardup, packing, phrases, quality, sharding, warc
+from . import langid, lines, neardup, packing, phrases, quality, sharding, warc
 
 QUERIES = {
     "op1_line_chunks": lines.op1_line_chunks,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op6_warc_chunks": warc.op6_warc_chunks,
     "op7_packing": packing.op7_packing,
+    "op8_ppm_langid": langid.op8_ppm_langid,
     "op9_token_groups": neardup.op9_token_groups,
     "op10_phrase_index": phrases.op10_phrase_index,
 }
