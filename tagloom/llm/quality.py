@@ -37,27 +37,31 @@ def words(text: Column) -> Column:
     return let(F.trim(plain), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
-def repeat_words(w: Column, n: int = 5) -> Column:
-    """Words that lie in an n-word window found twice or more in the text."""
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
-    def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        twice = let(pairs, lambda s: F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["h"] == x["h"]))))
-        at = F.array_sort(F.transform(twice, lambda x: x["i"]))
-        return let(at, lambda p: F.aggregate(p, F.struct(F.lit(-n).alias("last"), F.lit(0).alias("sum")), lambda a, x: F.struct(x.alias("last"), (a["sum"] + F.least(F.lit(n), x - a["last"])).alias("sum")), lambda a: a["sum"]))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
-    return F.when(F.size(w) < n + 1, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
+def repeat_words(h: Column, n: int = 5) -> Column:
+    """Words that lie in an n-word window found twice or more in the text; h: the words' hashes."""
 
+    def covered(x: Column) -> Column:
+        pairs = F.array_sort(F.transform(x, lambda v, i: F.struct(v.alias("h"), i.alias("i"))))
+        twice = let(pairs, lambda s: F.filter(s, lambda v, k: ((k > 0) & (F.get(s, k - 1)["h"] == v["h"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["h"] == v["h"]))))
+        at = F.array_sort(F.transform(twice, lambda v: v["i"]))
+        return F.aggregate(at, F.struct(F.lit(-n).alias("last"), F.lit(0).alias("sum")), lambda a, v: F.struct(v.alias("last"), (a["sum"] + F.least(F.lit(n), v - a["last"])).alias("sum")), lambda a: a["sum"])
 
-def features(w: Column, buckets: int = BUCKETS) -> Column:
-    """Cells (1 and up) of all words and all pairs of neighbours."""
-    cell = lambda x: (F.pmod(x, F.lit(buckets)) + 1).cast("int")
-    pairs = lambda h: F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: cell(F.xxhash64(F.get(h, i - 1), F.get(h, i))))).otherwise(F.array().cast("array<int>"))
-    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(F.transform(h, cell), pairs(h)))
+    windows = F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
+    return F.when(F.size(h) < n + 1, F.lit(0)).otherwise(let(windows, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x))))
 
 
-def base_columns(text: Column, w: Column) -> dict[str, Column]:
+def features(h: Column, buckets: int = BUCKETS) -> Column:
+    """Cells (0 and up; ``buckets`` is a power of two) of all words and all pairs of neighbours; h: the words' hashes."""
+    mask = F.lit(buckets - 1).cast("long")
+    pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b).bitwiseAND(mask).cast("int"))
+    return F.concat(F.transform(h, lambda x: x.bitwiseAND(mask).cast("int")), F.when(F.size(h) > 1, pairs).otherwise(F.array().cast("array<int>")))
+
+
+def base_columns(text: Column, w: Column, h: Column) -> dict[str, Column]:
     full = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(full, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     return {
@@ -65,25 +69,25 @@ def base_columns(text: Column, w: Column) -> dict[str, Column]:
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(full) - F.length(F.regexp_replace(full, r"[#*$%&|<>]+", ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(w).cast("long"),
+        "n_repeat_words": repeat_words(h).cast("long"),
     }
 
 
 def cell_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """cell, n: n-grams of ``docs`` (a column w of words) by cell."""
-    return docs.select(F.explode(features(F.col("w"), buckets)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    """cell, n: n-grams of ``docs`` (a column h of word hashes) by cell."""
+    return docs.select(F.explode(features(F.col("h"), buckets)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> list[float]:
     """The log ratio of each cell, target over raw, both with add-one smoothing. No target at all: all 0."""
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    d = docs.select("doc_id", hashes(words(F.col("text"))).alias("h"))
     raw = {r.cell: r.n for r in cell_counts(d, buckets).collect()}  # at most ``buckets`` rows
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
     good = {r.cell: r.n for r in cell_counts(d.join(F.broadcast(ids), "doc_id", "left_semi"), buckets).collect()}
     n_raw, n_good = sum(raw.values()) + SMOOTHING * buckets, sum(good.values()) + SMOOTHING * buckets
     if not good:
         return [0.0] * buckets
-    return [math.log((good.get(c, 0) + SMOOTHING) / n_good) - math.log((raw.get(c, 0) + SMOOTHING) / n_raw) for c in range(1, buckets + 1)]
+    return [math.log((good.get(c, 0) + SMOOTHING) / n_good) - math.log((raw.get(c, 0) + SMOOTHING) / n_raw) for c in range(buckets)]
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, id_col: str = "doc_id", text_col: str = "text", row: list[str] | None = None) -> DataFrame:
@@ -96,10 +100,10 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, threshold: float = T
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[docs[c] for c in row]).alias("row")] if row else []))
     ratios = log_ratios(base.select("doc_id", "text"), target_ids, buckets, target_docs)
     weights = docs.sparkSession.createDataFrame([(ratios,)], "weights array<double>")
-    d = base.withColumn("w", words(F.col("text")))
-    d = d.select("*", *(c.alias(n) for n, c in base_columns(F.col("text"), F.col("w")).items()), features(F.col("w"), buckets).alias("cells"))
+    d = base.withColumn("w", words(F.col("text"))).withColumn("h", hashes(F.col("w")))
+    d = d.select("*", *(c.alias(n) for n, c in base_columns(F.col("text"), F.col("w"), F.col("h")).items()), features(F.col("h"), buckets).alias("cells"))
     d = d.join(F.broadcast(weights), how="cross")  # one row of a fixed size
-    mean = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.element_at("weights", c)) / F.size("cells")
+    mean = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.get("weights", c)) / F.size("cells")
     d = d.withColumn("score", F.when(F.size("cells") == 0, F.lit(0.0)).otherwise(mean))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
