@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, lines, neardup, packing, phrases, quality, sharding, warc
+from . import langid, licenses, lines, neardup, packing, phrases, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_line_chunks": lines.op1_line_chunks,
     "op2_llr_quality": quality.op2_llr_quality,
     "op3_sharding": sharding.op3_sharding,
+    "op4_semicrf_pii": pii.op4_semicrf_pii,
     "op5_patience_licenses": licenses.op5_patience_licenses,
     "op6_warc_chunks": warc.op6_warc_chunks,
     "op7_packing": packing.op7_packing,
