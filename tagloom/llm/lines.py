@@ -10,7 +10,7 @@ passage on one line is cut into chunks of its own too.
 Pass 1 finds the chunk hashes that several documents have, pass 2 sends the
 bytes of those chunks to an aggregation on the bytes themselves (the byte
 comparison; equal chunks meet pre-aggregated), pass 3 takes every occurrence but
-the first one out of the texts.
+the first one out of the texts that have one.
 """
 
 from __future__ import annotations
@@ -88,75 +88,78 @@ def _without(chunks: list, gone: set[int]) -> str:
     return "\n".join("".join(x) for x in lines.values())
 
 
-def _emit(wanted: np.ndarray | None, with_body: bool):
-    """For mapInArrow: the removable chunks of each document, each text once a document; of hashes in ``wanted`` only, if given."""
+def _emit(wanted: tuple[np.ndarray, np.ndarray] | None):
+    """For mapInArrow over (did, text, dh): removable chunks (did, h), or, with filters of documents and of hashes, those that may repeat (did, h, k, nth, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            docs, numbers, hashes, bodies = [], [], [], []
+            if wanted is not None:
+                batch = batch.filter(pa.array(in_bitmap(wanted[0], batch.column(2).to_numpy())))
+            docs, numbers, hashes, nth, bodies = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = set()
+                seen: dict[int, int] = {}
                 for k, chunk in enumerate(cut(text or "")):
                     body = _body(chunk)
-                    if body is not None and (h := _hash(body)) not in seen:
-                        seen.add(h)
+                    if body is not None:
+                        h = _hash(body)
+                        seen[h] = seen.get(h, 0) + 1
                         docs.append(doc)
                         numbers.append(k)
                         hashes.append(h)
+                        nth.append(seen[h])
                         bodies.append(body)
-            h = np.array(hashes, np.int64)
-            keep = pa.array(np.ones(len(h), bool) if wanted is None else in_bitmap(wanted, h))
-            cols = [pa.array(docs, pa.int64()), pa.array(h)] + ([pa.array(numbers, pa.int32()), pa.array(bodies, pa.string())] if with_body else [])
-            yield pa.RecordBatch.from_arrays(cols, ["did", "h", "k", "body"][: len(cols)]).filter(keep)
+            h = pa.array(hashes, pa.int64())
+            if wanted is None:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), h], ["did", "h"])
+            else:
+                keep = pa.array(in_bitmap(wanted[1], h.to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), h, pa.array(numbers, pa.int32()), pa.array(nth, pa.int32()), pa.array(bodies, pa.string())], ["did", "h", "k", "nth", "body"]).filter(keep)
 
     return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, gone (array of struct k, h) -> text, n_lines, n_chunks, n_removed, beside all others."""
+    """Take the chunks in ``gone`` (array of struct k, h) out of ``text`` and count them in n_removed; other columns stay."""
     for batch in slices(batches):
         cols = dict(zip(batch.schema.names, batch.columns))
-        texts, lines, counts, removed = [], [], [], []
+        texts, removed = [], []
         for text, gone in zip(cols["text"].to_pylist(), cols["gone"].to_pylist()):
-            chunks = cut(text or "")
-            listed = {(g["k"], g["h"]) for g in gone or []}
-            out, seen, elsewhere = set(), set(), set()
-            for k, chunk in enumerate(chunks):
-                body = _body(chunk)
-                if body is None:
-                    continue
-                if (listed and (k, _hash(body)) in listed) or body in elsewhere:
-                    elsewhere.add(body)
-                    out.add(k)
-                elif body in seen:
-                    out.add(k)
-                seen.add(body)
-            texts.append(_without(chunks, out) if out else text)
-            lines.append(0 if text is None else text.count("\n") + 1)
-            counts.append(len(chunks) if text is not None else 0)
+            listed, out = {(g["k"], g["h"]) for g in gone or []}, set()
+            if listed:
+                chunks = cut(text or "")
+                out = {k for k, chunk in enumerate(chunks) if (body := _body(chunk)) is not None and (k, _hash(body)) in listed}
+                text = _without(chunks, out)
+            texts.append(text)
             removed.append(len(out))
-        cols |= {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_chunks": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+        cols |= {"text": pa.array(texts, pa.string()), "n_removed": pa.array(removed, pa.int64())}
         yield pa.RecordBatch.from_arrays([cols[c] for c in batch.schema.names], batch.schema.names)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: list[str] | None = None) -> DataFrame:
-    """doc_id, text (without its repeated chunks), n_lines, n_chunks, n_removed, and ``row`` (a struct of named columns of docs).
+    """doc_id, text (without its repeated chunks), n_lines (before), n_removed (chunks), and ``row`` (a struct of named columns of docs).
 
     Of each chunk that occurs again, in the same or another document, the first
     occurrence by doc_id stays, a null id coming last. Rows that share an id
-    count as one document: a chunk both have is kept in both. A null text stays
-    null, an empty one has one chunk that is never removed, and a text that
-    loses all its chunks is empty. Chunks of one line or under ``MIN_WORDS``
-    words are never removed. An empty table gives no rows.
+    count as one document: both keep what it keeps. A null text stays null, an
+    empty one has one chunk that is never removed, and a text that loses all its
+    chunks is empty. Chunks of one line or under ``MIN_WORDS`` words are never
+    removed. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), *([F.struct(*[docs[c] for c in row]).alias("row")] if row else []))
-    plain = base.select("did", "text")
-    shared = plain.mapInArrow(_emit(None, False), "did long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = bitmap(shared, "h")
-    found = written(plain.mapInArrow(_emit(wanted, True), "did long, h long, k int, body string"), "chunks")
+    plain = base.select("did", "text", F.xxhash64("did").alias("dh"))
+    seen = written(plain.mapInArrow(_emit(None), "did long, h long"), "chunk-hashes")
+    repeated = bitmap(seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h")
+
+    def may_repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(repeated, batch.column(1).to_numpy())))
+
+    holders = bitmap(seen.mapInArrow(may_repeat, "did long, h long").select(F.xxhash64("did").alias("dh")), "dh")
+    found = written(plain.mapInArrow(_emit((holders, repeated)), "did long, h long, k int, nth int, body string"), "chunks")
     first = found.groupBy("h", "body").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = found.join(first, ["h", "body"]).where("did > first").select("did", F.struct("k", "h").alias("g")).groupBy("did").agg(F.collect_list("g").alias("gone"))
-    both = base.join(gone, "did", "left").select("doc_id", "text", "gone", F.lit(None).cast("long").alias("n_lines"), F.lit(None).cast("long").alias("n_chunks"), F.lit(None).cast("long").alias("n_removed"), *(["row"] if row else []))
+    gone = found.join(first, ["h", "body"]).where("did > first or nth > 1").select("did", F.struct("k", "h").alias("g")).groupBy("did").agg(F.collect_list("g").alias("gone"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
+    both = base.join(gone, "did", "left").select("doc_id", "text", "gone", n_lines, F.lit(0).cast("long").alias("n_removed"), *(["row"] if row else []))
     return both.mapInArrow(_remove, both.schema).drop("gone")
 
 
@@ -181,8 +184,8 @@ bodies AS (SELECT doc_id, c, count(*) AS n, CASE WHEN wrapped THEN string_agg(un
 removable AS (SELECT doc_id, c, row_number() OVER (PARTITION BY body ORDER BY doc_id, c) > 1 AS gone FROM bodies WHERE n >= 2 AND len(list_filter(string_split_regex(body, '[ \\n\\t\\r\\x0b\\x0c]+'), lambda x: x <> '')) >= {MIN_WORDS}),
 stay AS (SELECT doc_id, k, string_agg(unit, '' ORDER BY j) AS line FROM chunked LEFT JOIN removable USING (doc_id, c) WHERE NOT coalesce(gone, false) GROUP BY doc_id, k),
 texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM stay GROUP BY doc_id),
-counts AS (SELECT doc_id, count(DISTINCT k) AS n_lines, count(DISTINCT c) AS n_chunks, count(DISTINCT CASE WHEN gone THEN c END) AS n_removed FROM chunked LEFT JOIN removable USING (doc_id, c) GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed
+counts AS (SELECT doc_id, count(DISTINCT k) AS n_lines, count(DISTINCT CASE WHEN gone THEN c END) AS n_removed FROM chunked LEFT JOIN removable USING (doc_id, c) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 }
