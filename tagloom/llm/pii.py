@@ -192,12 +192,14 @@ def _sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]
             a, d = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "."), (" @ ", "."), ("(at)", ".")])
             return kind, f"{word()}{rng.choice(['', '.' + word(), num(2)])}{a}{word()}{rng.choice(['', num(1)])}{d}{rng.choice(['com', 'org', 'net', 'de', 'example' + d + 'com'])}"
         if kind == "ip":
-            return kind, rng.choice(["[.]", "(.)", " . "]).join(str(rng.randrange(256)) for _ in range(4))
+            return kind, rng.choice(["[.]", "(.)"]).join(str(rng.randrange(256)) for _ in range(4))
         if kind == "card":
             return kind, card(True).replace(" ", rng.choice([" ", "."]))
         return kind, rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"({num(3)}) 555-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(3)}-{num(7)}", f"+1 ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}"])
 
     def other() -> str:
+        if rng.random() < 0.3:  # columns of numbers
+            return rng.choice([" ", "  ", ", ", " - "]).join(num(rng.randrange(1, 4)) for _ in range(rng.randrange(2, 12)))
         return rng.choice([num(rng.randrange(1, 12)), num(16), card(False), f"{num(1)}.{num(1)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"{num(4)}-{num(4)}", f"{num(1)}.{num(1)}.{num(1)}.{num(4)}", f"{word()} at {word()} {word()}", f"{word()} dot {word()}", f"{num(3)} {num(3)} {num(2)}", f"{num(4)} {num(4)}", f"{num(3)}-{num(4)}", f"{num(2)}.{num(2)}.{num(4)}", f"{word()} at {num(3)}", f"{num(2)}-{num(2)}-{num(2)}-{num(2)}", f"{num(3)}, {num(3)}, {num(4)}", f"{num(5)}-{num(4)}", f"{num(3)} - {num(3)}"])
 
     out = []

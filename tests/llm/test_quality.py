@@ -38,7 +38,7 @@ def brute(rows, ids, threshold, m):
     out = []
     for k, (d, t) in enumerate(rows):
         w, base = brute_base(t)
-        s = sum(math.log((good[c] + 1) / n_good) - math.log((raw[c] + 1) / n_raw) for c in own[k]) / len(own[k]) if own[k] and good else 0.0
+        s = sum(round(math.log((good[c] + 1) / n_good) - math.log((raw[c] + 1) / n_raw), 6) for c in own[k]) / len(own[k]) if own[k] and good else 0.0
         failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
         out.append((d, *base, failed, not failed and s >= threshold, round(s, 9)))
     return sorted(out, key=str)
