@@ -1,5 +1,77 @@
-"""The corpus pipeline: filter, dedupe, decontaminate and pack ``documents``."""
-STAGES = []
+"""The corpus pipeline: filter, dedupe, decontaminate and pack ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns
+the columns of documents, but for the last one, which returns the packed pieces.
+Whoever runs the stages writes each one's rows and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tagloom.llm import lines, neardup, packing, phrases, quality
+from tagloom.llm.common import DOC_COLUMNS, drop_path, scratch, table
+
+COLUMNS = list(DOC_COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 2: documents that fail the base rules or score below the threshold go; a null id is judged like any other."""
+    scored = quality.score_documents(docs, quality.trusted(table(spark, sf_dir, "labels")), row=COLUMNS)
+    return scored.where("kept").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 1: repeated line chunks go, and n_chars follows; a document goes only if it loses all its words to that."""
+    out = lines.dedup_lines(docs, row=COLUMNS)
+    text = F.col("text")
+    rest = out.where((F.col("n_removed") == 0) | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return rest.select("row.doc_id", text, "row.lang", "row.source", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 9: of each component the document with the smallest id stays (one row, if rows repeat it); documents without shingles stay, and so do rows without an id."""
+    found = neardup.jaccard_components(docs)
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    rest = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.col("source")))
+    repeated = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("nth") > 1)
+    return rest.withColumn("nth", nth).where(~repeated).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 10: documents that hold a window of a benchmark item go."""
+    found = phrases.find_phrases(docs, table(spark, sf_dir, "benchmark"), row=COLUMNS)
+    return found.where("n_hit = 0").select("row.*")
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 7: the pieces of all documents, packed."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sequence_packing", sequence_packing),
+]
+
+#: The rolling hashes, the log ratios and the packing have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    before = None
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
