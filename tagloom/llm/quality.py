@@ -6,7 +6,7 @@ the target multinomial. A text's score is the mean, over its n-grams, of the
 log ratio of the two; it is kept from a fixed threshold on. DataFrame functions
 only: counting is an explode with map-side partial aggregation (at most
 ``buckets`` rows leave a task), scoring needs no shuffle, and what is sent to
-all tasks is one array of ``buckets`` doubles.
+all tasks is one array of ``buckets`` doubles, of six decimals each.
 """
 
 from __future__ import annotations
@@ -73,19 +73,16 @@ def base_columns(text: Column, w: Column, h: Column) -> dict[str, Column]:
     }
 
 
-def cell_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """cell, n: n-grams of ``docs`` (a column h of word hashes) by cell."""
-    return docs.select(F.explode(features(F.col("h"), buckets)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-
-
 def log_ratios(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS) -> list[float]:
     """The log ratio of each cell, target over raw, both with add-one smoothing. No target at all: all 0."""
-    d = docs.select("doc_id", hashes(words(F.col("text"))).alias("h"))
-    raw = {r.cell: r.n for r in cell_counts(d, buckets).collect()}  # at most ``buckets`` rows
-    ids = target_ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    good = {r.cell: r.n for r in cell_counts(d.join(F.broadcast(ids), "doc_id", "left_semi"), buckets).collect()}
+    # at most ``target_docs`` ids
+    ids = target_ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("good", F.lit(1))
+    h = docs.join(F.broadcast(ids), "doc_id", "left").select("good", F.explode(F.array(hashes(words(F.col("text"))))).alias("h"))
+    cells = h.select("good", F.explode(features(F.col("h"), buckets)).alias("cell"))
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()  # at most ``buckets`` rows
+    raw, good = {r.cell: r.raw for r in counts}, {r.cell: r.good for r in counts}
     n_raw, n_good = sum(raw.values()) + SMOOTHING * buckets, sum(good.values()) + SMOOTHING * buckets
-    if not good:
+    if not any(good.values()):
         return [0.0] * buckets
     return [math.log((good.get(c, 0) + SMOOTHING) / n_good) - math.log((raw.get(c, 0) + SMOOTHING) / n_raw) for c in range(buckets)]
 
@@ -99,14 +96,15 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, threshold: float = T
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[docs[c] for c in row]).alias("row")] if row else []))
     ratios = log_ratios(base.select("doc_id", "text"), target_ids, buckets, target_docs)
-    weights = docs.sparkSession.createDataFrame([(ratios,)], "weights array<double>")
-    d = base.withColumn("w", words(F.col("text"))).withColumn("h", hashes(F.col("w")))
-    d = d.select("*", *(c.alias(n) for n, c in base_columns(F.col("text"), F.col("w"), F.col("h")).items()), features(F.col("h"), buckets).alias("cells"))
-    d = d.join(F.broadcast(weights), how="cross")  # one row of a fixed size
-    mean = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.get("weights", c)) / F.size("cells")
-    d = d.withColumn("score", F.when(F.size("cells") == 0, F.lit(0.0)).otherwise(mean))
-    d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # folded to one literal array when the plan is made
+    weights = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+    # explode and inline keep the optimizer from copying what stands below them into filters and projections above
+    d = base.select("*", F.explode(F.array(words(F.col("text")))).alias("w")).select("*", F.explode(F.array(hashes(F.col("w")))).alias("h"))
+    mean = let(features(F.col("h"), buckets), lambda c: F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(weights, x)) / F.size(c)))
+    columns = base_columns(F.col("text"), F.col("w"), F.col("h")) | {"score": mean}
+    d = d.select("doc_id", *(["row"] if row else []), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", *(["row"] if row else []))
 
 
