@@ -4,16 +4,18 @@ Texts with the same shingle set are one class. All classes are compared, without
 a loss, in two steps that both use the matrix of tokens and groups:
 
 1. Groups of similar texts. Classes that share a band of minhashes form a
-   bucket; its smallest class is the query, the rest are cut into groups of at
-   most ``GROUP`` members. A link found makes the classes one cluster. This is
-   only a start: it unites large groups of near copies at linear cost.
+   bucket; its class of the heaviest buckets is the query, and a class asks the
+   ``ASKED`` heaviest queries of its buckets, in groups of at most ``GROUP``
+   members. A link found makes the classes one cluster. This is only a start: it
+   unites large groups of near copies at linear cost.
 2. The exact search. Tokens have one global order, frequent ones last. Two sets
    with a Jaccard of ``t`` or more share a token among their first
    n - ceil(t n) + 1 in that order. The matrix holds those tokens by group, a
    group being a block of one cluster. A token that only one cluster has opens
-   nothing; others give (query, group) pairs of different clusters.
+   nothing; others give (query, group) pairs of different clusters, and the
+   number of them a pair has bounds its overlap, which leaves few pairs.
 
-For a pair the tokens of the group's members are united, the overlap of query
+For these pairs the tokens of the group's members are united, the overlap of query
 and union is the upper bound of the query's overlap with each member, and only
 a group whose bound reaches the least overlap is opened and compared member by
 member. Components of the links give the result.
@@ -22,19 +24,22 @@ member. Components of the links give the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LUT_WS, bitmap, hash_words, id_text, in_bitmap, mix, slices, split_words, table, written
+from .common import LUT_WS, bitmap, hash_words, id_text, in_bitmap, mix, release, slices, split_words, table, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 GROUP = 64
 #: Bands of minhashes, and minhashes a band.
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 8, 2
+#: Queries that a class asks at the start, at most.
+ASKED = 2
 #: Tokens seen so often in one task's input are reported as frequent; at most FREQUENT of them are ordered by count.
 LOCAL, FREQUENT = 3, 500_000
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -93,7 +98,7 @@ def _survey(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, most=32 << 20):
+        for batch in slices(batches, most=12 << 20):
             offsets, tokens = shingle_sets(batch.column(1), size)
             n, prints = np.diff(offsets), _prints(offsets, tokens)
             keys = np.zeros((len(n), BANDS), np.int64)
@@ -120,23 +125,36 @@ def _survey(size: int):
 
 
 def _prefixes(size: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
-    """For mapInArrow: the first n - ceil(t n) + 1 tokens of each distinct set, in the global order."""
+    """For mapInArrow: the first n - ceil(t n) + 1 tokens of each distinct set, in the global order.
+
+    The first common token of two sets lies among the first n - ceil(2 t n / (1 + t)) + 1
+    of the smaller one. Frequent tokens after these are limited: they need not
+    open a larger set. As frequent tokens come last, they are the last ones of the
+    head; ``limited`` is their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, most=32 << 20):
+        for batch in slices(batches, most=8 << 20):
             offsets, tokens = shingle_sets(batch.column(1), size)
             prints = _prints(offsets, tokens)
             rows = _once(prints, seen)
             at = np.searchsorted(frequent, tokens)
             at[at == len(frequent)] = 0
             weight = np.where(frequent[at] == tokens, counts[at], 0) if len(frequent) else np.zeros(len(tokens), np.int64)
-            heads = []
+            heads, limited = [], []
             for k in rows:
                 own, w = tokens[offsets[k] : offsets[k + 1]], weight[offsets[k] : offsets[k + 1]]
                 first = len(own) - (percent * len(own) + 99) // 100 + 1
-                heads.append(own[np.argsort(w, kind="stable")[:first]] if w.any() else own[:first])
-            yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(np.diff(offsets)[rows]), _lists(heads)], ["fp", "n", "head"])
+                short = len(own) - -(-2 * percent * len(own) // (100 + percent)) + 1
+                if w.any():
+                    order = np.argsort(w, kind="stable")[:first]
+                    heads.append(own[order])
+                    limited.append(min(first - short, int((w[order[short:]] > 0).sum())))
+                else:
+                    heads.append(own[:first])
+                    limited.append(0)
+            yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(np.diff(offsets)[rows]), pa.array(limited, pa.int64()), _lists(heads)], ["fp", "n", "limited", "head"])
 
     return run
 
@@ -146,7 +164,7 @@ def _token_rows(size: int, wanted: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, most=32 << 20):
+        for batch in slices(batches, most=8 << 20):
             offsets, tokens = shingle_sets(batch.column(1), size)
             prints = _prints(offsets, tokens)
             rows = _once(prints, seen)
@@ -205,69 +223,89 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _match(docs: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of the pairs (grp, fp) of query and group; members: (grp, fp)."""
-    rows = written(pairs.select("grp", F.lit(1).alias("role"), "fp").unionByName(members.join(pairs.select("grp").distinct(), "grp", "left_semi").select("grp", F.lit(0).alias("role"), "fp")).distinct(), "pairs")
+    """Links (a, b) of the pairs (grp, fp) of query and group; members: (grp, fp) of these groups."""
+    rows = written(pairs.select("grp", F.lit(1).alias("role"), "fp").unionByName(members.select("grp", F.lit(0).alias("role"), "fp")).distinct(), "pairs")
     wanted = bitmap(rows, "fp")
     sets = docs.mapInArrow(_token_rows(size, wanted), "fp long, tokens array<long>")
-    placed = rows.join(sets, "fp").select("grp", "role", "fp", "tokens")
+    placed = rows.join(sets.hint("merge"), "fp").select("grp", "role", "fp", "tokens")
     # a set that several tasks met comes several times; sorting puts these rows side by side
     sorted_ = placed.repartition("grp").sortWithinPartitions("grp", "role", "fp")
     return sorted_.mapInArrow(_open_groups(percent), "a long, b long").distinct()
 
 
+_PAIRS = ("fp", "n", "cluster", "block", "low", "high", "limited")
+
+
 def _candidates(percent: int):
-    """For mapInArrow over rows (token, cluster, block, fp, n) sorted by token: pairs of a query and a group of another cluster with that token."""
+    """For mapInArrow over rows (token, cluster, block, fp, n, members, limited, free) sorted by token: a row for each query and group of another cluster that have the token.
 
-    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        clusters, inverse, sizes = np.unique(rows[1], return_inverse=True, return_counts=True)
-        if len(clusters) < 2:
-            return None
-        # of two clusters the one with fewer rows here asks
+    low and high: sizes of the group's sets that have it. Of two clusters the one
+    with fewer members asks, or else the one of the smaller number, at every
+    token alike. A pair is left out where the token is limited in its smaller
+    set (free is 0); limited, the largest number of such tokens, makes up for it
+    in the bound.
+    """
+
+    def two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Runs of two rows of two clusters, all at once."""
+        swap = (a[5] > b[5]) | ((a[5] == b[5]) & (a[1] > b[1]))
+        q, g = np.where(swap, b, a), np.where(swap, a, b)
+        fit = (100 * q[4] >= percent * g[4]) & (100 * g[4] >= percent * q[4])
+        fit &= ((q[7] > 0) & (q[4] <= g[4])) | ((g[7] > 0) & (g[4] <= q[4]))
+        return np.stack([q[3], q[4], g[1], g[2], g[4], g[4], np.maximum(q[6], g[6])])[:, fit]
+
+    def many(rows: np.ndarray) -> np.ndarray:
+        """A run of any length, in blocks of queries."""
+        if not rows[7].any():
+            return np.zeros((len(_PAIRS), 0), np.int64)
+        clusters, at, inverse = np.unique(rows[1], return_index=True, return_inverse=True)
         rank = np.empty(len(clusters), np.int64)
-        rank[np.lexsort((clusters, sizes))] = np.arange(len(clusters))
+        rank[np.lexsort((clusters, rows[5][at]))] = np.arange(len(clusters))
         rank = rank[inverse]
         order = np.lexsort((rows[2], rank))
-        key = rank[order] * (1 << 32) + rows[2][order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        n = rows[4][order]
-        low, high, ranks = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), rank[order][first]
+        rows, rank = rows[:, order], rank[order]
+        first = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (rows[2][1:] != rows[2][:-1]))))
+        low, high, groups = np.minimum.reduceat(rows[4], first), np.maximum.reduceat(rows[4], first), rank[first]
+        limited, free = np.maximum.reduceat(rows[6], first), np.maximum.reduceat(rows[7], first) > 0
         out = []
-        for q in range(rows.shape[1]):
-            a = int(np.searchsorted(ranks, rank[q], side="right"))
-            fit = (100 * rows[4][q] >= percent * low[a:]) & (100 * high[a:] >= percent * rows[4][q])
-            g = first[a:][fit]
-            out.append((np.full(len(g), rows[3][q]), rows[1][order][g], rows[2][order][g]))
-        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))  # type: ignore[return-value]
-
-    def emit(runs: list) -> pa.RecordBatch:
-        found = [p for r in runs if (p := pairs(r)) is not None]
-        cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-        rows = np.unique(np.stack(cols), axis=1) if len(cols[0]) else np.stack(cols)
-        return pa.RecordBatch.from_arrays([pa.array(rows[k]) for k in range(3)], ["fp", "cluster", "block"])
+        step = max(1, 4_000_000 // len(first))
+        for a in range(0, len(rank), step):
+            n = rows[4][a : a + step, None]
+            fit = (rank[a : a + step, None] < groups) & (100 * n >= percent * low) & (100 * high >= percent * n)
+            fit &= ((rows[7][a : a + step, None] > 0) & (n <= high)) | (free & (n >= low))
+            q, g = np.nonzero(fit)
+            out.append(np.stack([rows[3][a + q], rows[4][a + q], rows[1][first[g]], rows[2][first[g]], low[g], high[g], np.maximum(rows[6][a + q], limited[g])]))
+        return np.concatenate(out, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]]))
-            runs = []
-            if held and held[0][0][0] == rows[0][0]:
-                held.append(rows[:, edges[0] : edges[1]])
-                edges = edges[1:]
+        for batch in chain(batches, (None,)):
+            found = [np.zeros((len(_PAIRS), 0), np.int64)]
+            if batch is None:
+                rows, edges = np.zeros((8, 0), np.int64), np.zeros(1, np.int64)
+            else:
+                rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]])) if rows.shape[1] else np.zeros(1, np.int64)
+                if held and rows.shape[1] and held[0][0][0] == rows[0][0]:
+                    held.append(rows[:, edges[0] : edges[1]])
+                    edges = edges[1:]
+            if held and (batch is None or len(edges) > 1):
+                whole = np.concatenate(held, axis=1)
+                if whole[1].min() != whole[1].max():
+                    found.append(many(whole))
+                held = []
             if len(edges) > 1:
-                if held:
-                    runs.append(np.concatenate(held, axis=1))
                 inner = edges[:-1]
-                # runs of one cluster open nothing: leave them out before looking closer
-                low, high = np.minimum.reduceat(rows[1], inner), np.maximum.reduceat(rows[1], inner)
-                runs += [rows[:, inner[k] : edges[k + 1]] for k in np.flatnonzero(low[:-1] != high[:-1])]
+                # a run of one cluster opens nothing
+                open_ = (np.minimum.reduceat(rows[1], inner) != np.maximum.reduceat(rows[1], inner))[:-1]
+                size = np.diff(edges)[:-1]
+                pair = inner[:-1][open_ & (size == 2)]
+                found.append(two(rows[:, pair], rows[:, pair + 1]))
+                found += [many(rows[:, inner[k] : edges[k + 1]]) for k in np.flatnonzero(open_ & (size > 2))]
                 held = [rows[:, inner[-1] :]]
-            if runs:
-                yield emit(runs)
-        if held:
-            yield emit([np.concatenate(held, axis=1)])
+            out = np.concatenate(found, axis=1)
+            for a in range(0, out.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in out], list(_PAIRS))
 
     return run
 
@@ -288,25 +326,38 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
     # 1. groups of similar texts
     keys = classes.select("fp", F.explode("bands").alias("key"))
-    queries = keys.groupBy("key").agg(F.min("fp").alias("query"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    star = keys.join(queries, "key").where("fp <> query").select("query", "fp", "members").groupBy("query", "fp").agg(F.max("members").alias("members"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    keys = written(keys.join(shared, "key"), "keys")
+    # the class that shares most bands with most others is likely to be what a group of near copies was made from
+    weight = keys.groupBy("fp").agg(F.sum("members").alias("weight"))
+    queries = keys.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("q"))
+    asked = F.slice(F.reverse(F.array_sort(F.collect_set("q"))), 1, ASKED)
+    star = keys.join(queries, "key").groupBy("fp").agg(asked.alias("q")).select("fp", F.explode("q.fp").alias("query")).where("fp <> query")
+    star = star.join(star.groupBy("query").agg(F.count(F.lit(1)).alias("members")), "query")
     star = star.select("query", "fp", F.xxhash64("query", F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / GROUP))).alias("grp"))
     star = written(star, "star")
+    release(docs.sparkSession)
     links = written(_match(d, star.select("grp", F.col("query").alias("fp")).distinct(), star.select("grp", "fp"), size, percent), "star-links")
     clusters = written(components(links), "clusters")
+    release(docs.sparkSession)
 
     # 2. the exact search between clusters
     often = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
     token, seen = often.column("token").to_numpy().view(np.uint64), often.column("seen").to_numpy()
     order = np.argsort(token)
     sized = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    where = clusters.join(sized, "root").select(F.col("node").alias("fp"), F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("long").alias("block"))
+    where = clusters.join(sized, "root").select(F.col("node").alias("fp"), F.col("root").alias("cluster"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("long").alias("block"), "members")
     where = written(where, "blocks")
-    heads = d.mapInArrow(_prefixes(size, percent, token[order], seen[order]), "fp long, n long, head array<long>")
-    placed = heads.join(where, "fp", "left").select(F.coalesce("cluster", "fp").alias("cluster"), F.coalesce("block", F.lit(0)).alias("block"), "fp", "n", F.explode("head").alias("token"))
-    tokens = placed.select("token", "cluster", "block", "fp", "n").repartition("token").sortWithinPartitions("token")
-    found = tokens.mapInArrow(_candidates(percent), "fp long, cluster long, block long").distinct()
+    heads = d.mapInArrow(_prefixes(size, percent, token[order], seen[order]), "fp long, n long, limited long, head array<long>")
+    placed = heads.hint("merge").join(where, "fp", "left").select(F.coalesce("cluster", "fp").alias("cluster"), F.coalesce("block", F.lit(0)).alias("block"), "fp", "n", F.coalesce("members", F.lit(1)).alias("members"), "limited", F.size("head").alias("size"), F.posexplode("head").alias("at", "token"))
+    placed = placed.withColumn("free", F.expr("if(at < size - limited, 1, 0)"))
+    tokens = placed.select("token", "cluster", "block", "fp", "n", "members", "limited", "free").repartition("token").sortWithinPartitions("token")
+    found = tokens.mapInArrow(_candidates(percent), ", ".join(f"{x} long" for x in _PAIRS)).groupBy("fp", "cluster", "block").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("limited").alias("limited"))
+    # Of two sets one's first tokens end first in the order: what they share is among these, c at most, or in the rest of that set
+    bound = F.col("c") + F.col("limited") + F.ceil(percent * F.greatest("n", "high") / 100) - 1
+    found = found.where((100 + percent) * bound >= percent * (F.col("n") + F.col("low")))
     found = written(found.select("fp", F.xxhash64("cluster", "block", F.lit(2)).alias("grp"), "cluster", "block"), "candidates")
+    release(docs.sparkSession)
     members = found.select("cluster", "block", "grp").distinct().join(where, ["cluster", "block"]).select("grp", "fp").unionByName(found.where("block = 0").select("grp", F.col("cluster").alias("fp")))
     more = _match(d, found.select("grp", "fp"), members, size, percent)
     joined = components(links.unionByName(more))
