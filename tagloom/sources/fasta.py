@@ -35,7 +35,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], genome_from_stem: boo
     is the file's stem, or the first word of its first record's name. Text before
     the first '>' is an error.
     """
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     bad = F.when(F.length(F.trim("value")) == 0, F.lit(False)).otherwise(~F.ltrim("value").startswith(">"))
     raw = raw.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("not FASTA: "), "file"))).otherwise(F.col("value")))
     records = raw.select("file", F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.length(F.trim(x)) > 0)).alias("contig_id", "record"))
@@ -53,7 +53,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], genome_from_stem: boo
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """genome_id (stem), contig_id, contig_name, seq, length of four-line FASTQ records."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = raw.select("file", F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
     rec = lines.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 4).cast("int"))).alias("contig_id"), "l").where(F.size("l") >= 4 * F.col("contig_id") + 4)
     head, seq = F.get("l", 4 * F.col("contig_id")), F.get("l", 4 * F.col("contig_id") + 1)
