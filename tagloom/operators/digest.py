@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.sequence import canonical
 from tagloom.operators.enzymes import Enzyme, resolve
+from tagloom.sources.scratch import spread
 
 _BITS = np.zeros(256, np.uint8)
 for _k, _b in enumerate("ACGT"):
@@ -18,12 +21,29 @@ for _k, _b in enumerate("ACGT"):
 TAGS = "genome_id string, contig_id long, enzyme string, position long, tag string"
 
 
-def positions(seq: np.ndarray, enzyme: Enzyme, impure: np.ndarray) -> np.ndarray:
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+_ASCII = re.compile("[^\x00-\x7f]")
+
+
+def _bytes(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, upper-case bytes) of a column of sequences, one byte a letter; null counts as empty."""
+    seqs = pc.fill_null(seqs.cast(pa.large_string()), "")
+    if pc.any(pc.not_equal(pc.binary_length(seqs), pc.utf8_length(seqs))).as_py():
+        seqs = pa.array([_ASCII.sub("N", s) for s in seqs.to_pylist()], pa.large_string())
+    _, offsets, data = seqs.buffers()
+    at = np.frombuffer(offsets, np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return at - at[0], _UPPER[raw]
+
+
+def positions(bits: np.ndarray, enzyme: Enzyme, impure: np.ndarray) -> np.ndarray:
     """Starts of windows that match a pattern of the enzyme, overlapping ones too, each once.
 
-    seq: base bits of the sequence; impure: running count of other letters.
+    bits: base bits of a sequence, or of several end to end; impure: running
+    count of other letters.
     """
-    n = len(seq) - enzyme.tag_len + 1
+    n = len(bits) - enzyme.tag_len + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     found = []
@@ -32,9 +52,9 @@ def positions(seq: np.ndarray, enzyme: Enzyme, impure: np.ndarray) -> np.ndarray
         for offset, bases in sorted(pattern, key=lambda p: len(p[1])):
             mask = np.uint8(sum(1 << "ACGT".index(b) for b in bases))
             if at is None:
-                at = np.flatnonzero(seq[offset : offset + n] & mask)
+                at = np.flatnonzero(bits[offset : offset + n] & mask)
             else:
-                at = at[(seq[at + offset] & mask) > 0]
+                at = at[(bits[at + offset] & mask) > 0]
         found.append(at)
     out = np.unique(np.concatenate(found))
     return out[impure[out + enzyme.tag_len] == impure[out]]
@@ -43,28 +63,30 @@ def positions(seq: np.ndarray, enzyme: Enzyme, impure: np.ndarray) -> np.ndarray
 def digest(contigs: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
     """Tags (genome_id, contig_id, enzyme, position, tag) of contigs (genome_id, contig_id, seq).
 
-    Every contig is scanned once for all enzymes; lower-case bases count as upper
+    A batch of contigs is scanned end to end, once for all enzymes; windows that
+    cross from one contig to the next are none. Lower-case bases count as upper
     case; windows with other letters have no tag; null sequences have none.
     """
     panel = resolve() if panel is None else panel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, c, s in zip(*(batch.column(k) for k in range(3))):
-                text = (s.as_py() or "").upper()
-                bits = _BITS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-                impure = np.concatenate(([0], np.cumsum(bits == 0)))
-                cols: list[list] = [[], [], []]
-                for e in panel:
-                    at = positions(bits, e, impure).tolist()
-                    cols[0] += [e.name] * len(at)
-                    cols[1] += at
-                    cols[2] += [text[p : p + e.tag_len] for p in at]
-                n = len(cols[0])
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * n, pa.string()), pa.array([c.as_py()] * n, pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["genome_id", "contig_id", "enzyme", "position", "tag"])
-
-    return contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string")).mapInArrow(run, TAGS)
+            offsets, raw = _bytes(batch.column(2))
+            bits = _BITS[raw]
+            impure = np.concatenate(([0], np.cumsum(bits == 0)))
+            for e in panel:
+                at = positions(bits, e, impure)
+                row = np.searchsorted(offsets, at, side="right") - 1
+                inside = at + e.tag_len <= offsets[row + 1]
+                at, row = at[inside], row[inside]
+                if not len(at):
+                    continue
+                letters = np.ascontiguousarray(raw[at[:, None] + np.arange(e.tag_len)])
+                ends = np.arange(0, letters.size + 1, e.tag_len, dtype=np.int32)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([e.name] * len(at), pa.string()), pa.array(at - offsets[row]), pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters))], ["genome_id", "contig_id", "enzyme", "position", "tag"])
+
+    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, TAGS)
 
 
 def with_canonical(tags: DataFrame) -> DataFrame:
@@ -89,7 +111,30 @@ def rank_tags(tags: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
 
 
 def kmers(contigs: DataFrame, k: int = 15) -> DataFrame:
-    """Distinct canonical k-mers of each contig (genome_id, contig_id, kmer); windows with other letters are skipped."""
-    chunks = contigs.select("genome_id", "contig_id", F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)), F.lit(256))).alias("at"), "seq").select("genome_id", "contig_id", F.substring("seq", F.col("at") + 1, F.lit(256 + k - 1)).alias("chunk"))
-    words = chunks.select("genome_id", "contig_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("chunk") - k + 1, F.lit(1))), lambda i: F.substring("chunk", i, F.lit(k)))).alias("word"))
-    return words.where((F.length("word") == k) & F.col("word").rlike("^[ACGT]+$")).select("genome_id", "contig_id", canonical(F.col("word")).alias("kmer")).distinct()
+    """Distinct canonical k-mers of each contig (genome_id, contig_id, kmer), k at most 31; windows with other letters are skipped.
+
+    kmer is a number: two bits a base, of the strand with the smaller one.
+    """
+    code = np.zeros(256, np.int64)
+    for x, b in enumerate("ACGT"):
+        code[ord(b)] = x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, raw = _bytes(batch.column(2))
+            n = len(raw) - k + 1
+            if n <= 0:
+                continue
+            x, impure = code[raw], np.concatenate(([0], np.cumsum(_BITS[raw] == 0)))
+            forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for i in range(k):
+                forward = forward << 2 | x[i : i + n]
+                back |= (3 - x[i : i + n]) << (2 * i)
+            at = np.arange(n)
+            row = np.searchsorted(offsets, at, side="right") - 1
+            ok = (at + k <= offsets[row + 1]) & (impure[k:] == impure[:-k])
+            pairs = np.unique(np.stack((row[ok], np.minimum(forward, back)[ok])), axis=1)
+            rows = pa.array(pairs[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pairs[1])], ["genome_id", "contig_id", "kmer"])
+
+    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, "genome_id string, contig_id long, kmer long")

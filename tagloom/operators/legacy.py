@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.sequence import pack, packed_mismatches
 from tagloom.operators.digest import kmers
+from tagloom.sources.scratch import stored
 
 MATCH = "query string, reference string, enzyme string, q_contig long, q_pos long, r_contig long, r_pos long, mm int, gap_diff long"
 
@@ -80,7 +81,7 @@ def contig_mash(anchors: DataFrame) -> DataFrame:
 
 def kmer_containment(contigs: DataFrame, k: int = 15) -> DataFrame:
     """query, reference, shared, n_query, containment, kmer_ani of genomes by their distinct canonical k-mers; only pairs that share one."""
-    own = kmers(contigs, k).select("genome_id", "kmer").distinct()
+    own = stored(kmers(contigs, k).select("genome_id", "kmer").distinct(), "kmers")
     sizes = own.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n_query"))
     shared = own.withColumnRenamed("genome_id", "query").join(own.withColumnRenamed("genome_id", "reference"), "kmer").where("query < reference").groupBy("query", "reference").agg(F.count(F.lit(1)).alias("shared"))
     c = F.col("shared") / F.col("n_query")

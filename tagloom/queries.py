@@ -19,6 +19,7 @@ from tagloom.operators import intervals, legacy, panel, report, screen, sv
 from tagloom.plans import commands
 from tagloom.sources import sketch as sk
 from tagloom.sources.fasta import BASES, LETTERS, document_contigs, text_contigs
+from tagloom.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,8 +48,15 @@ def tags(spark: SparkSession, sf: str) -> DataFrame:
     return dig.digest(contigs(spark, sf))
 
 
+def tags_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags for plans that use them several times: digested once and kept."""
+    return stored(tags(spark, sf), "tags")
+
+
 def genomes(spark: SparkSession, sf: str) -> commands.Genomes:
-    return commands.Genomes.from_contigs(contigs(spark, sf))
+    g = commands.Genomes.from_contigs(contigs(spark, sf))
+    g.tags = stored(g.tags, "tags")
+    return g
 
 
 def benchmark_genomes(spark: SparkSession, sf: str) -> commands.Genomes:
@@ -172,6 +180,11 @@ def tag_ranks(spark, sf):
     return dig.rank_tags(tags(spark, sf)).select("genome_id", "contig_id", "enzyme", "position", "tag_rank")
 
 
+def screen_keys_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Screen keys for the self-join and both size counts: computed once and kept."""
+    return stored(screen.screen_keys(tags(spark, sf)), "keys")
+
+
 # --- screen ----------------------------------------------------------------------------------
 
 
@@ -182,19 +195,19 @@ def screen_keys(spark, sf):
 
 @query(_with(_tags_sql(), _KEYS, _PAIRS) + f"SELECT query, reference, shared, min_total, round(shared / min_total, 9) AS containment, round(power(shared / min_total, 1.0 / 18), 9) AS approx_ani, {_VERDICT} AS verdict FROM pairs")
 def screen_pairs(spark, sf):
-    p = screen.screen_pairs(screen.screen_keys(tags(spark, sf)))
+    p = screen.screen_pairs(screen_keys_once(spark, sf))
     return p.select("query", "reference", "shared", "min_total", F.round("containment", 9).alias("containment"), F.round("approx_ani", 9).alias("approx_ani"), "verdict")
 
 
 @query(_with(_tags_sql().replace("source AS genome_id", "doc_id::VARCHAR AS genome_id"), _KEYS, _PAIRS) + f"SELECT query, reference, shared, min_total FROM pairs WHERE {_VERDICT} = 'pass'")
 def screen_documents(spark, sf):
     c = text_contigs(table(spark, sf, "documents"), "doc_id", "doc_id", "text")
-    return screen.screen_pairs(screen.screen_keys(dig.digest(c))).where("verdict = 'pass'").select("query", "reference", "shared", "min_total")
+    return screen.screen_pairs(stored(screen.screen_keys(dig.digest(c)), "keys")).where("verdict = 'pass'").select("query", "reference", "shared", "min_total")
 
 
 @query(_with(_tags_sql(), _KEYS, _PAIRS) + f"SELECT query, reference, round(power(shared / min_total, 1.0 / 18), 9) AS approx_ani, row_number() OVER (PARTITION BY query ORDER BY power(shared / min_total, 1.0 / 18) DESC, reference) AS hit FROM pairs WHERE {_VERDICT} = 'pass'")
 def screen_best(spark, sf):
-    p = screen.screen_pairs(screen.screen_keys(tags(spark, sf))).where("verdict = 'pass'")
+    p = screen.screen_pairs(screen_keys_once(spark, sf)).where("verdict = 'pass'")
     return p.select("query", "reference", F.round("approx_ani", 9).alias("approx_ani"), F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approx_ani"), "reference")).alias("hit"))
 
 
@@ -206,7 +219,7 @@ _GENOMES = [f"src{k}" for k in range(20)]
     + "SELECT genome, " + ", ".join(f"CASE WHEN genome = '{g}' THEN 1.0::DOUBLE ELSE coalesce(max(CASE WHEN b = '{g}' THEN x END), 'NaN'::DOUBLE) END AS {g}" for g in _GENOMES) + " FROM g LEFT JOIN sym ON a = genome GROUP BY genome"
 )
 def screen_matrix(spark, sf):
-    p = screen.screen_pairs(screen.screen_keys(tags(spark, sf))).where("verdict = 'pass'").select("query", "reference", F.round("approx_ani", 9).alias("approx_ani"))
+    p = screen.screen_pairs(screen_keys_once(spark, sf)).where("verdict = 'pass'").select("query", "reference", F.round("approx_ani", 9).alias("approx_ani"))
     return report.matrix(p, _GENOMES, "approx_ani", 1.0)
 
 
@@ -214,7 +227,7 @@ def screen_matrix(spark, sf):
 
 
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
-    t = tags(spark, sf)
+    t = tags_once(spark, sf)
     return anc.find_anchors(t, t, _unordered(spark, sf))
 
 
@@ -241,7 +254,7 @@ def anchor_groups(spark, sf):
 
 @query(_with(_tags_sql(), _HITS, "total AS (SELECT genome_id AS query, enzyme, count(*) AS total FROM rare GROUP BY ALL)", "found AS (SELECT query, reference, enzyme, count(DISTINCT (q_contig, q_pos)) AS found FROM anchors GROUP BY ALL)") + "SELECT p.query, p.reference, t.enzyme, coalesce(found, 0) AS found, total FROM (SELECT DISTINCT query, reference FROM anchors) p JOIN total t USING (query) LEFT JOIN found f ON f.query = p.query AND f.reference = p.reference AND f.enzyme = t.enzyme")
 def whole_genome_strata(spark, sf):
-    t = tags(spark, sf)
+    t = tags_once(spark, sf)
     return anc.whole_genome_strata(t, anc.find_anchors(t, t, _unordered(spark, sf)))
 
 
@@ -258,7 +271,7 @@ def covered_bp(spark, sf):
 
 @query(_with(_tags_sql(), _HITS) + "SELECT query, reference, a.enzyme, q_contig, q_pos, r_contig, r_pos, count(*) AS n_near, min(abs(t.position - r_pos)) AS nearest, max(t.position) AS last FROM anchors a JOIN tags t ON t.genome_id = reference AND t.enzyme = a.enzyme AND t.contig_id = r_contig AND abs(t.position - r_pos) <= 3000 WHERE orient = '+' GROUP BY ALL")
 def local_band(spark, sf):
-    t = tags(spark, sf)
+    t = tags_once(spark, sf)
     a = anc.find_anchors(t, t, _unordered(spark, sf)).where("orient = '+'")
     r = t.select(F.col("genome_id").alias("reference"), "enzyme", F.col("contig_id").alias("r_contig"), "position")
     j = intervals.band_join(a, r, ["reference", "enzyme", "r_contig"], "r_pos", "position", 3000)
@@ -283,7 +296,7 @@ def median_gaps(spark, sf):
 
 @query(_with(_tags_sql(), _HITS) + "SELECT t.genome_id, t.enzyme, t.contig_id, t.position FROM tags t WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.query = t.genome_id AND a.q_contig = t.contig_id AND a.q_pos = t.position AND a.enzyme = t.enzyme)")
 def unmatched_tags(spark, sf):
-    t = tags(spark, sf)
+    t = tags_once(spark, sf)
     return legacy.unmatched(t, anc.find_anchors(t, t, _unordered(spark, sf))).select("genome_id", "enzyme", "contig_id", "position")
 
 
@@ -298,7 +311,7 @@ def kmer_containment(spark, sf):
 
 @query(_with(_tags_sql(), _KEYS, _PAIRS, "b AS (SELECT *, floor(10 * power(shared / min_total, 1.0 / 18))::BIGINT AS band, substr(query, 1, 4) AS grp FROM pairs)") + "SELECT band, grp, query, reference, nth FROM (SELECT *, row_number() OVER (PARTITION BY band, grp ORDER BY shared DESC, query, reference) AS nth FROM b) WHERE nth <= 3")
 def stratified_sample(spark, sf):
-    p = screen.screen_pairs(screen.screen_keys(tags(spark, sf))).withColumn("band", F.floor(10 * F.col("approx_ani"))).withColumn("grp", F.substring("query", 1, 4)).withColumn("minus", -F.col("shared"))
+    p = screen.screen_pairs(screen_keys_once(spark, sf)).withColumn("band", F.floor(10 * F.col("approx_ani"))).withColumn("grp", F.substring("query", 1, 4)).withColumn("minus", -F.col("shared"))
     return panel.stratified_sample(p, "band", "grp", 3, ["minus", "query", "reference"]).select("band", "grp", "query", "reference", "nth")
 
 
