@@ -22,6 +22,7 @@ from tagloom.operators.anchors import find_anchors
 from tagloom.operators.digest import rank_tags, with_occurrences
 from tagloom.operators.enzymes import Enzyme, resolve
 from tagloom.operators.estimate import NAN, Stratum
+from tagloom.sources.scratch import spread, stored
 
 MIN_RETENTION = 0.20
 
@@ -302,8 +303,9 @@ def compare(query_tags: DataFrame, reference_tags: DataFrame, contigs: DataFrame
     """
     panel = resolve() if panel is None else panel
     anchors = find_anchors(query_tags, reference_tags, pairs, panel, cfg.tolerance, cfg.max_occurrence)
-    sizes = contigs.groupBy("genome_id").agg(F.sum("length").alias("genome_len"))
-    lengths = contigs.select("genome_id", "contig_id", F.col("length").alias("contig_len")).join(sizes, "genome_id")
+    # lengths are all that is needed of the sequences from here on
+    lengths = stored(spread(contigs).select("genome_id", "contig_id", F.col("length").alias("contig_len")), "lengths")
+    lengths = lengths.join(lengths.groupBy("genome_id").agg(F.sum("contig_len").alias("genome_len")), "genome_id")
     def side(tags: DataFrame, role: str, kind: int) -> DataFrame:
         t = rank_tags(with_occurrences(tags), panel).join(lengths, ["genome_id", "contig_id"]).withColumnRenamed("genome_id", role)
         null = lambda kind_: F.lit(None).cast(kind_)
@@ -323,6 +325,9 @@ def compare(query_tags: DataFrame, reference_tags: DataFrame, contigs: DataFrame
         row = {"query": key[0], "reference": key[1]} | Pair(q, r, a.sort_values(["q_contig", "q_pos", "r_contig", "r_pos", "orient"]), panel, cfg).result()
         return pd.DataFrame([[row[n] for n in names]], columns=names)
 
-    found = rows.groupBy("query", "reference").applyInPandas(run, RESULT)
+    # the work of a pair is out of proportion to its bytes, so pairs are dealt out by number, which adaptive coalescing leaves alone
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    found = rows.repartition(n, "query", "reference").groupBy("query", "reference").applyInPandas(run, RESULT)
     # pandas has no difference between NaN and null; an estimate that cannot be made is NaN
     return found.select(*[F.coalesce(F.col(f.name), F.lit(NAN)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in StructType.fromDDL(RESULT)])

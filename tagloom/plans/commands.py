@@ -12,6 +12,7 @@ from tagloom.operators.chain import Config, compare
 from tagloom.operators.digest import digest
 from tagloom.operators.enzymes import DEFAULT_PANEL, Enzyme, resolve
 from tagloom.operators.screen import MIN_CONTAINMENT, MIN_SHARED, WINDOW, screen_keys, screen_pairs
+from tagloom.sources.scratch import stored
 from tagloom.sources.sketch import contigs_of, tags_of
 
 
@@ -52,7 +53,8 @@ def results(q: Genomes, r: Genomes, pairs: DataFrame, cfg: Config = Config()) ->
     lengths = q.contigs.select("genome_id", "contig_id", "length")
     if r is not q:
         lengths = lengths.unionByName(r.contigs.select("genome_id", "contig_id", "length")).dropDuplicates(["genome_id", "contig_id"])
-    return compare(q.tags, r.tags, lengths, pairs.select("query", "reference"), q.panel, cfg)
+    # the pairs are joined several times: screened once and kept
+    return compare(q.tags, r.tags, lengths, stored(pairs.select("query", "reference"), "pairs"), q.panel, cfg)
 
 
 def ani(q: Genomes, r: Genomes, cfg: Config = Config(), calibrate: bool = False, verbose: bool = False) -> DataFrame:
@@ -79,4 +81,4 @@ def triangle(g: Genomes, cfg: Config = Config(), **screen) -> DataFrame:
 def struct(q: Genomes, r: Genomes, indel_min: int = 1000, rearrangement: bool = False, indel: bool = False, pairs: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
     """Structural variants of the pairs (all, unless given)."""
     found = results(q, r, cross_pairs(q, r) if pairs is None else pairs, cfg)
-    return sv.detect(sv.chain_table(found), indel_min, rearrangement, indel)
+    return sv.detect(stored(sv.chain_table(found), "chains"), indel_min, rearrangement, indel)

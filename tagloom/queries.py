@@ -442,7 +442,7 @@ def pair_strata(spark, sf):
 
 @query()
 def structural_variants(spark, sf):
-    return sv.detect(sv.chain_table(source_results(spark, sf)), indel_min=100)
+    return sv.detect(stored(sv.chain_table(source_results(spark, sf)), "chains"), indel_min=100)
 
 
 @query()
@@ -453,8 +453,7 @@ def chain_paf(spark, sf):
 
 @query()
 def panel_scores(spark, sf):
-    g = genomes(spark, sf)
-    found = commands.results(g, g, commands.screened(g))
+    found = stored(source_results(spark, sf), "results")
     s = found.select("query", "reference", F.inline("strata"))
     truth = found.select("query", "reference", (100 * F.col("ani_uniform")).alias("truth"))
     return panel.score(panel.estimates(s, {"all": None, "BcgI": ["BcgI"], "BcgI+AlfI": ["BcgI", "AlfI"]}), truth)
