@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.sequence import gc_content
-from tagloom.operators.enzymes import resolve
+from tagloom.operators.enzymes import get
 
 SKETCH = ("genome_id", "contig_id", "contig_name", "contig_len", "gc", "enzyme", "position", "tag")
 MAGIC, VERSION = b"S2BA", 2
@@ -87,19 +87,33 @@ def _packed(tag: str) -> int:
     return sum(max("ACGT".find(c), 0) << (2 * k) for k, c in enumerate(tag[:32]))
 
 
+#: Fields after the magic, little-endian. Texts are a u32 length and UTF-8 bytes.
+#: version u32; genome text; n u32, n times (enzyme text, tag length u8, site length u8);
+#: n u32, n times (contig text, length u64, gc f64, m u32, m times (position u64, packed tag u64, strand u8, enzyme u16));
+#: total length u64, gc f64, number of tags u64.
+_ENZYME, _CONTIG, _TAG, _TRAILER = "<BB", "<QdI", "<QQBH", "<QdQ"
+
+
 def encode_sketch(genome_id: str, panel: list[str], contigs: list[tuple[str, int, float, list[tuple[int, str, str]]]]) -> bytes:
-    """Version 2: id, enzyme names, contigs (name, length, gc, tags (position, bases, enzyme)), number of tags; all little-endian."""
-    out = [MAGIC, struct.pack("<H", VERSION), _text(genome_id), struct.pack("<H", len(panel)), *map(_text, panel), struct.pack("<I", len(contigs))]
-    n = 0
+    """A container of contigs (name, length, gc, tags (position, bases, enzyme)); tags have the forward strand."""
+    out = [MAGIC, struct.pack("<I", VERSION), _text(genome_id), struct.pack("<I", len(panel))]
+    for e in map(get, panel):
+        out += [_text(e.name), struct.pack(_ENZYME, e.tag_len, len(e.left) + len(e.right))]
+    out.append(struct.pack("<I", len(contigs)))
+    n, total, gc_bases = 0, 0, 0.0
     for name, length, gc, tags in contigs:
-        out += [_text(name), struct.pack("<Qd", length, gc), struct.pack("<Q", len(tags))]
-        out += [struct.pack("<QQBH", p, _packed(t), 0, panel.index(e)) for p, t, e in tags]
-        n += len(tags)
-    return b"".join([*out, struct.pack("<Q", n)])
+        out += [_text(name), struct.pack(_CONTIG, length, gc, len(tags))]
+        out += [struct.pack(_TAG, p, _packed(t), 0, panel.index(e)) for p, t, e in tags]
+        n, total, gc_bases = n + len(tags), total + length, gc_bases + gc * length
+    return b"".join([*out, struct.pack(_TRAILER, total, gc_bases / max(total, 1), n)])
 
 
 def decode_sketch(data: bytes) -> tuple[str, list[tuple]]:
-    """(genome_id, rows of contig_id, contig_name, contig_len, gc, enzyme, position, tag)."""
+    """(genome_id, rows of contig_id, contig_name, contig_len, gc, enzyme, position, tag).
+
+    Tag lengths come from the container's own enzyme table; version 1 has none
+    and is refused, as is an enzyme number beyond the table.
+    """
     at = 0
 
     def take(fmt: str) -> tuple:
@@ -111,29 +125,31 @@ def decode_sketch(data: bytes) -> tuple[str, list[tuple]]:
     def text() -> str:
         nonlocal at
         (n,) = take("<I")
-        s = data[at : at + n].decode()
+        s = data[at : at + n].decode("utf-8", "replace")
         at += n
         return s
 
     if data[:4] != MAGIC:
         raise ValueError("not a sketch")
     at = 4
-    (version,) = take("<H")
+    (version,) = take("<I")
     if version != VERSION:
         raise ValueError(f"sketch version {version} has no enzyme table" if version == 1 else f"unknown sketch version {version}")
     genome = text()
-    panel = [text() for _ in range(take("<H")[0])]
-    sizes = {e.name: min(e.tag_len, 32) for e in resolve(panel)}
+    panel = []
+    for _ in range(take("<I")[0]):
+        name = text()
+        panel.append((name, min(take(_ENZYME)[0], 32)))
     rows = []
     for c in range(take("<I")[0]):
         name = text()
-        length, gc = take("<Qd")
-        (n,) = take("<Q")
+        length, gc, n = take(_CONTIG)
         for _ in range(n):
-            p, bits, _, e = take("<QQBH")
+            p, bits, _, e = take(_TAG)
             if e >= len(panel):
                 raise ValueError(f"enzyme number {e} is not in the table")
-            rows.append((c, name, length, gc, panel[e], p, "".join("ACGT"[bits >> (2 * k) & 3] for k in range(sizes[panel[e]]))))
+            enzyme, size = panel[e]
+            rows.append((c, name, length, gc, enzyme, p, "".join("ACGT"[bits >> (2 * k) & 3] for k in range(size))))
         if not n:
             rows.append((c, name, length, gc, None, None, None))
     return genome, sorted(rows, key=lambda r: (r[0], r[5] or 0))

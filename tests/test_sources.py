@@ -47,10 +47,10 @@ def test_sketch_round_trips(spark, sketches, tmp_path):
     sketch.write_sketches(sketches, str(tmp_path / "db"))
     assert plain(sketch.read_sketches(spark, str(tmp_path / "db"))) == plain(sketches)
     binary = sketch.export_sketches(sketches)
-    assert all(r.content[:6] == b"S2BA\x02\x00" for r in binary.collect())
+    assert all(r.content[:8] == b"S2BA\x02\0\0\0" for r in binary.collect())
     assert plain(sketch.import_sketches(binary)) == plain(sketches)
     with pytest.raises(ValueError):
-        sketch.decode_sketch(b"S2BA\x01\x00" + b"\0" * 20)
+        sketch.decode_sketch(b"S2BA\x01\0\0\0" + b"\0" * 20)
     with pytest.raises(ValueError):
         sketch.decode_sketch(b"xxxx")
     with pytest.raises(Exception):
