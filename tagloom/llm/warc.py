@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, written
 
 CHUNK = 64 << 10
 LEAST = 100
@@ -70,9 +70,9 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, least: int =
 class _Stream:
     """Bytes of an archive, gzipped (of one or more members) or not, unpacked little by little."""
 
-    def __init__(self, raw: bytes, step: int = 256 << 10) -> None:
+    def __init__(self, raw: bytes | pa.Buffer, step: int = 64 << 10) -> None:
         self.raw, self.step, self.at, self.buf = memoryview(raw), step, 0, bytearray()
-        self.unzip = zlib.decompressobj(31) if bytes(raw[:2]) == b"\x1f\x8b" else None
+        self.unzip = zlib.decompressobj(31) if bytes(self.raw[:2]) == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
         if self.at >= len(self.raw):
@@ -106,7 +106,7 @@ class _Stream:
         return out
 
 
-def records(raw: bytes, chunk: int = CHUNK) -> Iterator[dict]:
+def records(raw: bytes | pa.Buffer, chunk: int = CHUNK) -> Iterator[dict]:
     """Rows of one archive: a row a record, or a row a chunk (with its bytes) where a record has segments or more than ``chunk`` bytes."""
     s = _Stream(raw)
     while (head := s.head()) is not None:
@@ -148,7 +148,7 @@ def read_chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame
         for batch in batches:
             for raw in batch.column(0):
                 rows, held = [], 0
-                for r in records(raw.as_buffer().to_pybytes(), chunk):
+                for r in records(raw.as_buffer(), chunk):
                     rows.append(r)
                     held += len(r["data"] or b"") + 300
                     if held > 4 << 20:
@@ -192,7 +192,8 @@ def join_chunks(chunks: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to, verified (the digest read is the one the record states). A revisit has its response's payload."""
-    chunks = read_chunks(spark, path, chunk)
+    # the archives are read once; what is kept holds bytes of oversized records only
+    chunks = written(read_chunks(spark, path, chunk), "chunk-table")
     fields = ["page_id", "record_type", "refers_to", "said", "n_bytes", "digest"]
     whole = chunks.where("segment = 0").select(fields).unionByName(join_chunks(chunks.where("segment > 0")))
     responses = whole.where("record_type = 'response'")
