@@ -1,4 +1,4 @@
-"""Sketches: tags stored once per genome, as Parquet and as the S2BA binary container."""
+"""Sketches: tags stored once per genome, as Parquet and as a binary container (magic S2BA)."""
 
 from __future__ import annotations
 
