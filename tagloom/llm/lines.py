@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, slices, table, written
+from .common import bitmap, drop_path, hash_words, in_bitmap, mix, release, scratch, slices, table, written
 
 LONG, MIN_WORDS = 50, 8
 #: A sentence of at most 25 blank-separated pieces; else 25 pieces; else the rest.
@@ -167,6 +167,181 @@ def op1_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+# --- whole shared runs -----------------------------------------------------------------------
+
+_INNER = {"": np.uint64(1), " ": np.uint64(2), "\n": np.uint64(3)}
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def units(text: str) -> tuple[list[str], list[str]]:
+    """A text's lines, those of ``LONG`` words or more as sentence pieces, each without what ends it, and what ends them (a line end, a blank or nothing)."""
+    own, tails = [], []
+    for line in text.split("\n"):
+        if line.count(" ") >= LONG - 1:
+            for piece in _wrap(line):
+                blank = piece.endswith(" ")
+                own.append(piece[:-1] if blank else piece)
+                tails.append(" " if blank else "")
+            if tails[-1]:
+                own[-1] += " "
+        else:
+            own.append(line)
+            tails.append("")
+        tails[-1] = "\n"
+    tails[-1] = ""
+    return own, tails
+
+
+def _windows(texts: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, hash) of the shortest runs of two units and ``MIN_WORDS`` words at least, from each start and to each end in each text.
+
+    Every such run holds, around each of its units, one of these; so a unit lies in a
+    repeated run if, and only if, it lies in a repeated one of these.
+    """
+    every = [u for own, _ in texts for u in own]
+    sizes = np.array([len(own) for own, _ in texts], np.int64)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    n = len(every)
+    words = np.concatenate(([0], np.cumsum(np.fromiter((len(u.split()) for u in every), np.int64, n))))
+    k = np.arange(n + 1)
+    to = np.maximum(np.searchsorted(words, words + MIN_WORDS, side="left"), k + 2)[:-1]
+    since = np.minimum(np.searchsorted(words, words - MIN_WORDS, side="right") - 1, k - 2)[1:]
+    ahead = to <= begins[of + 1]
+    behind = since >= begins[of]
+    behind[behind] &= to[since[behind]] != k[1:][behind]
+    a, b = np.concatenate((k[:-1][ahead], since[behind])), np.concatenate((to[ahead], k[1:][behind]))
+    last = hash_words(pa.array(every, pa.string()))
+    inner = mix(last + np.array([_INNER[t] for _, tails in texts for t in tails], np.uint64))
+    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))))
+    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(inner * power[::-1][1:])))
+    h = mix((sums[b - 1] - sums[a]) * inverse[n - b] ^ mix(last[b - 1]))
+    at = of[a]
+    return at, a - begins[at], b - begins[at], h.view(np.int64)
+
+
+def _joined(own: list[str], tails: list[str], a: int, b: int) -> str:
+    """The bytes of a run, without what ends its last unit."""
+    return "".join(x for u, t in zip(own[a : b - 1], tails[a : b - 1]) for x in (u, t)) + own[b - 1]
+
+
+def _later(own: list[str], tails: list[str], found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> set[int]:
+    """Numbers of the windows that stand in the same text before, without overlap."""
+    order = np.argsort(found[2], kind="stable")
+    h = found[2][order]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    first: dict[str, int] = {}
+    out = set()
+    for k in sorted({*order[same].tolist(), *order[same + 1].tolist()}):
+        a, b = int(found[0][k]), int(found[1][k])
+        if first.setdefault(_joined(own, tails, a, b), b) <= a:
+            out.add(k)
+    return out
+
+
+def _emit_runs(wanted: tuple[np.ndarray, np.ndarray] | None):
+    """For mapInArrow over (did, text, dh): hashes of windows (did, h), or, with filters of documents and of hashes, windows that may repeat (did, h, a, b, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=2 << 20):
+            if wanted is not None:
+                batch = batch.filter(pa.array(in_bitmap(wanted[0], batch.column(2).to_numpy())))
+            texts = [units(t or "") for t in batch.column(1).to_pylist()]
+            at, a, b, h = _windows(texts)
+            did = batch.column(0).to_numpy()
+            if wanted is None:
+                yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(h)], ["did", "h"])
+            else:
+                keep = in_bitmap(wanted[1], h)
+                at, a, b, h = at[keep], a[keep], b[keep], h[keep]
+                bodies = [_joined(*texts[t], x, y) for t, x, y in zip(at.tolist(), a.tolist(), b.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(did[at]), pa.array(h), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(bodies, pa.string())], ["did", "h", "a", "b", "body"])
+
+    return run
+
+
+def _remove_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take the units of the windows in ``gone`` (array of struct a, b, h; not null, perhaps empty, where windows of the text repeat) and of those that stand before in it out of ``text`` and count them in n_removed; other columns stay."""
+    for batch in slices(batches):
+        cols = dict(zip(batch.schema.names, batch.columns))
+        texts, removed = [], []
+        for text, gone in zip(cols["text"].to_pylist(), cols["gone"].to_pylist()):
+            out = np.zeros(0, bool)
+            if gone is not None and text is not None:
+                own, tails = units(text)
+                out = np.zeros(len(own), bool)
+                found = _windows([(own, tails)])[1:]
+                before = {(g["a"], g["b"], g["h"]) for g in gone}
+                later = _later(own, tails, found)
+                for k, w in enumerate(zip(*(x.tolist() for x in found))):
+                    if k in later or w in before:
+                        out[w[0] : w[1]] = True
+                if out.any():
+                    text = _rest(own, tails, out)
+            texts.append(text)
+            removed.append(int(out.sum()))
+        cols |= {"text": pa.array(texts, pa.string()), "n_removed": pa.array(removed, pa.int64())}
+        yield pa.RecordBatch.from_arrays([cols[c] for c in batch.schema.names], batch.schema.names)
+
+
+def _rest(own: list[str], tails: list[str], out: np.ndarray) -> str:
+    """The text of the units that stay; a physical line of which something stays keeps its line end."""
+    lines: list[str] = []
+    line: list[str] = []
+    for u, t, gone in zip(own, [*tails[:-1], "\n"], out):
+        if not gone:
+            line.append(u if t == "\n" else u + t)
+        if t == "\n":
+            lines += ["".join(line)] if line else []
+            line = []
+    return "\n".join(lines)
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: list[str] | None = None) -> DataFrame:
+    """doc_id, text (without its repeated runs), n_lines (before), n_removed (units: lines, or pieces of long ones), and ``row`` (a struct of named columns of docs).
+
+    A unit goes if it lies in a run of two units and ``MIN_WORDS`` words at least
+    that stands, byte for byte and without overlap, in a document of a smaller id
+    (a null id coming last) or before in its own, wherever in lines or paragraphs
+    the run begins and ends. So of a passage that several documents share only the
+    first stays. Rows that share an id count as one document, and each is compared
+    with itself only. A null text stays null. An empty table gives no rows.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), *([F.struct(*[docs[c] for c in row]).alias("row")] if row else []))
+    plain = base.select("did", "text", F.xxhash64("did").alias("dh"))
+    spark = docs.sparkSession
+    path = scratch(spark, "run-hashes")
+    plain.mapInArrow(_emit_runs(None), "did long, h long").write.parquet(path)
+    seen = spark.read.parquet(path)
+    repeated = bitmap(seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h")
+
+    def may_repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(repeated, batch.column(1).to_numpy())))
+
+    holders = bitmap(seen.mapInArrow(may_repeat, "did long, h long").select(F.xxhash64("did").alias("dh")), "dh")
+    drop_path(spark, path)
+    release(spark)
+    found = written(plain.mapInArrow(_emit_runs((holders, repeated)), "did long, h long, a int, b int, body string"), "runs")
+    # the bytes meet in an aggregation; where all bytes of a hash are equal, the hash stands for them after it
+    equal = written(found.groupBy("h", "body").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")), "equal-runs")
+    one = equal.groupBy("h").agg(F.count(F.lit(1)).alias("bodies"), F.min("first").alias("first"), F.max("n").alias("n"))
+    clash = one.where("bodies > 1").select("h")
+    plainly = found.drop("body").join(one.where("bodies = 1 and n > 1"), "h").select("did", "a", "b", "h", "first")
+    clashing = found.join(F.broadcast(clash), "h", "left_semi").join(equal.join(F.broadcast(clash), "h", "left_semi").where("n > 1").drop("n"), ["h", "body"]).select("did", "a", "b", "h", "first")
+    before = F.col("did") > F.col("first")
+    gone = plainly.unionByName(clashing).groupBy("did").agg(F.collect_list(F.when(before, F.struct("a", "b", "h"))).alias("gone"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
+    both = base.join(gone, "did", "left").select("doc_id", "text", "gone", n_lines, F.lit(0).cast("long").alias("n_removed"), *(["row"] if row else []))
+    return both.mapInArrow(_remove_runs, both.schema).drop("gone")
+
+
+def op1_shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_runs(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op1_line_chunks": f"""
 WITH lines AS (

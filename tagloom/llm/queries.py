@@ -15,5 +15,6 @@ QUERIES = {
     "op8_ppm_langid": langid.op8_ppm_langid,
     "op9_token_groups": neardup.op9_token_groups,
     "op10_phrase_index": phrases.op10_phrase_index,
+    "op1_shared_runs": lines.op1_shared_runs,
 }
 SQL = lines.SQL | sharding.SQL | warc.SQL | neardup.SQL | phrases.SQL
