@@ -84,8 +84,9 @@ def matrix(rows: DataFrame, genomes: list[str], value: str = "ani_gated", diagon
     half = edges(rows, value).select(F.col("query").alias("a"), F.col("reference").alias("b"), F.col(value).alias("v"))
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
     known = rows.sparkSession.createDataFrame([(g, g, diagonal) for g in genomes], "a string, b string, v double")
-    wide = both.where(F.col("a") != F.col("b")).unionByName(known).groupBy("a").pivot("b", genomes).agg(F.first("v"))
-    return wide.select(F.col("a").alias("genome"), *[F.coalesce(F.col(f"`{g}`"), F.lit(float("nan"))).alias(g) for g in genomes])
+    rows_ = both.where(F.col("a") != F.col("b")).unionByName(known)
+    return rows_.groupBy(F.col("a").alias("genome")).agg(*[F.coalesce(F.max(F.when(F.col("b") == F.lit(g), F.col("v"))), F.lit(float("nan"))).alias(g) for g in genomes])
+
 
 
 def best_first(rows: DataFrame, min_ani: float = 0.8) -> DataFrame:

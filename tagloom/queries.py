@@ -214,13 +214,19 @@ def screen_best(spark, sf):
 _GENOMES = [f"src{k}" for k in range(20)]
 
 
+def genome_names(spark: SparkSession, sf: str) -> list[str]:
+    """The sources of the table, shorter names first: one column of a matrix each."""
+    found = table(spark, sf, "documents").select("source").where("source is not null").distinct().collect()
+    return sorted((r.source for r in found), key=lambda g: (len(g), g))
+
+
 @query(
     _with(_tags_sql(), _KEYS, _PAIRS, f"v AS (SELECT query AS a, reference AS b, round(power(shared / min_total, 1.0 / 18), 9) AS x FROM pairs WHERE {_VERDICT} = 'pass')", "sym AS (SELECT * FROM v UNION ALL SELECT b, a, x FROM v)", f"g AS (SELECT unnest({_GENOMES!r}) AS genome)")
     + "SELECT genome, " + ", ".join(f"CASE WHEN genome = '{g}' THEN 1.0::DOUBLE ELSE coalesce(max(CASE WHEN b = '{g}' THEN x END), 'NaN'::DOUBLE) END AS {g}" for g in _GENOMES) + " FROM g LEFT JOIN sym ON a = genome GROUP BY genome"
 )
 def screen_matrix(spark, sf):
     p = screen.screen_pairs(screen_keys_once(spark, sf)).where("verdict = 'pass'").select("query", "reference", F.round("approx_ani", 9).alias("approx_ani"))
-    return report.matrix(p, _GENOMES, "approx_ani", 1.0)
+    return report.matrix(p, genome_names(spark, sf), "approx_ani", 1.0)
 
 
 # --- anchors and what is relational after them -----------------------------------------------
@@ -410,7 +416,7 @@ def triangle_edges(spark, sf):
 
 @query()
 def triangle_matrix(spark, sf):
-    return report.matrix(report.ani_rows(source_results(spark, sf)), _GENOMES)
+    return report.matrix(report.ani_rows(source_results(spark, sf)), genome_names(spark, sf))
 
 
 @query()

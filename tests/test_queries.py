@@ -43,3 +43,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_matrices_have_every_source(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    more = d.where("source in ('src1', 'src2')").select(*[F.concat(F.lit("new."), c).alias(c) if c == "source" else c for c in d.columns])
+    d.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["genome"]: r.asDict() for r in QUERIES["screen_matrix"](spark, str(tmp_path)).collect()}
+    names = {f"src{k}" for k in range(20)} | {"new.src1", "new.src2"}
+    assert set(got) == names and all(set(r) == names | {"genome"} for r in got.values())
+    assert all(got[g][g] == 1.0 for g in names) and got["src1"]["new.src1"] == got["new.src1"]["src1"] == 1.0
