@@ -7,12 +7,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.sequence import pack, packed_mismatches
+from tagloom.operators.anchors import TOLERANCE, parts
 from tagloom.operators.digest import kmers
+from tagloom.operators.enzymes import Enzyme, resolve
 from tagloom.sources.scratch import stored
 
 MATCH = "query string, reference string, enzyme string, q_contig long, q_pos long, r_contig long, r_pos long, mm int, gap_diff long"
 
 
+def _greedy(key: tuple, places) -> pd.DataFrame:
+    """Matches of one genome pair from (query place, its candidates as r_contig, r_pos, mm, enzyme by place) in query order."""
+    used, out, last = set(), [], None
+    for (qc, qp), candidates in places:
+        best = None
+        for rc, rp, mm, enzyme in candidates:
+            if (rc, rp) in used:
+                continue
+            lead = abs((rp - last[3]) - (qp - last[1])) if last and last[0] == qc and last[2] == rc else 0
+            if best is None or (mm, lead) < best[0]:
+                best = ((mm, lead), (rc, rp, mm, enzyme))
+        if best:
+            rc, rp, mm, enzyme = best[1]
+            used.add((rc, rp))
+            gap = abs((rp - last[3]) - (qp - last[1])) if last and last[0] == qc and last[2] == rc else 0
+            out.append((*key, enzyme, qc, qp, rc, rp, mm, gap))
+            last = (qc, qp, rc, rp)
+    return pd.DataFrame(out, columns=[x.split()[0] for x in MATCH.split(", ")])
+
+
 def match_tags(anchors: DataFrame) -> DataFrame:
     """Greedy one-to-one matches of forward anchors, in query order.
 
@@ -23,26 +45,44 @@ def match_tags(anchors: DataFrame) -> DataFrame:
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out, last = set(), [], None
-        for (qc, qp), g in pdf.sort_values(["q_contig", "q_pos", "r_contig", "r_pos"]).groupby(["q_contig", "q_pos"], sort=True):
-            best = None
-            for a in g.itertuples():
-                if (a.r_contig, a.r_pos) in used:
-                    continue
-                lead = abs((a.r_pos - last[3]) - (qp - last[1])) if last and last[0] == qc and last[2] == a.r_contig else 0
-                if best is None or (a.mm, lead) < best[0]:
-                    best = ((a.mm, lead), a)
-            if best:
-                a = best[1]
-                used.add((a.r_contig, a.r_pos))
-                gap = abs((a.r_pos - last[3]) - (qp - last[1])) if last and last[0] == qc and last[2] == a.r_contig else 0
-                out.append((*key, a.enzyme, qc, qp, a.r_contig, a.r_pos, a.mm, gap))
-                last = (qc, qp, a.r_contig, a.r_pos)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in MATCH.split(", ")])
+        by_place = pdf.sort_values(["q_contig", "q_pos", "r_contig", "r_pos"]).groupby(["q_contig", "q_pos"], sort=True)
+        return _greedy(key, ((at, zip(g.r_contig, g.r_pos, g.mm, g.enzyme)) for at, g in by_place))
 
     return anchors.where("orient = '+'").groupBy("query", "reference").applyInPandas(run, MATCH)
 
 
+def match_all(tags: DataFrame, pairs: DataFrame, panel: list[Enzyme] | None = None, tolerance: int = TOLERANCE) -> DataFrame:
+    """The matches of ``match_tags`` over all tags, however often they occur.
+
+    Distinct tags are compared, each once; a pair of them brings the list of its
+    places on either side, so copies add rows to neither the join nor the shuffle.
+    """
+    cut = tags.select("enzyme", "tag").distinct().select("enzyme", "tag", F.explode(parts(F.col("tag"), resolve() if panel is None else panel, tolerance)).alias("p")).select("enzyme", "tag", "p.part", "p.bits")
+    close = cut.join(cut.withColumnRenamed("tag", "other"), ["enzyme", "part", "bits"]).withColumn("mm", packed_mismatches(pack(F.col("tag")), pack(F.col("other")))).where(F.col("mm") <= tolerance).select("enzyme", "tag", "other", "mm").distinct()
+    places = tags.groupBy("genome_id", "enzyme", "tag").agg(F.collect_list(F.struct(F.col("contig_id").alias("contig"), F.col("position").alias("pos"))).alias("places"))
+    q = pairs.select("query", "reference").join(places.select(F.col("genome_id").alias("query"), "enzyme", "tag", F.col("places").alias("q_places")), "query")
+    both = q.join(close, ["enzyme", "tag"]).join(places.select(F.col("genome_id").alias("reference"), "enzyme", F.col("tag").alias("other"), F.col("places").alias("r_places")), ["reference", "enzyme", "other"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at: dict[tuple, list] = {}
+        for enzyme, mm, q_places, r_places in zip(pdf.enzyme, pdf.mm, pdf.q_places, pdf.r_places):
+            r = sorted((x["contig"], x["pos"], mm, enzyme) for x in r_places)
+            for x in q_places:
+                at.setdefault((x["contig"], x["pos"]), []).append(r)
+
+        def candidates(lists: list) -> list:
+            if len(lists) == 1:
+                return lists[0]
+            best: dict[tuple, tuple] = {}
+            for rc, rp, mm, enzyme in (c for x in lists for c in x):
+                best[rc, rp] = min(best.get((rc, rp), (mm, enzyme)), (mm, enzyme))
+            return [(*place, *c) for place, c in sorted(best.items())]
+
+        return _greedy(key, ((place, candidates(at[place])) for place in sorted(at)))
+
+    return both.select("query", "reference", "enzyme", "mm", "q_places", "r_places").groupBy("query", "reference").applyInPandas(run, MATCH)
+
+
 def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str = "query") -> DataFrame:
     """Tags of one side that no match has."""
     m = matches.select(F.col(role).alias("genome_id"), "enzyme", F.col(f"{side}_contig").alias("contig_id"), F.col(f"{side}_pos").alias("position")).distinct()

@@ -237,6 +237,19 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
     return anc.find_anchors(t, t, _unordered(spark, sf))
 
 
+_NO_LIMIT = 1 << 62
+
+
+def all_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors of all tags: the older path knows no limit of occurrences or buckets."""
+    t = tags_once(spark, sf)
+    return anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=_NO_LIMIT, max_bucket=_NO_LIMIT)
+
+
+def all_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return legacy.match_all(tags_once(spark, sf), _unordered(spark, sf))
+
+
 def _unordered(spark: SparkSession, sf: str) -> DataFrame:
     """Unordered pairs of sources (a few names)."""
     g = table(spark, sf, "documents").select(F.col("source").alias("query")).distinct()
@@ -266,7 +279,7 @@ def whole_genome_strata(spark, sf):
 
 @query(_with(_tags_sql(), _HITS, "m AS (SELECT query, reference, q_contig, r_contig, count(*) AS n, avg(mm) AS mean_mm FROM anchors GROUP BY ALL)") + "SELECT query, reference, q_contig, r_contig, n, round(mean_mm, 6) AS mean_mm FROM m QUALIFY row_number() OVER (PARTITION BY query, reference, q_contig ORDER BY n DESC, r_contig) = 1")
 def contig_mash(spark, sf):
-    return legacy.contig_mash(anchors(spark, sf)).withColumn("mean_mm", F.round("mean_mm", 6))
+    return legacy.contig_mash(all_anchors(spark, sf)).withColumn("mean_mm", F.round("mean_mm", 6))
 
 
 @query(_with(_tags_sql(), "s AS (SELECT genome_id, contig_id, position AS a, position + length(tag) AS b FROM tags)", "x AS (SELECT *, max(b) OVER (PARTITION BY genome_id, contig_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)", "y AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTITION BY genome_id, contig_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM x)", "z AS (SELECT genome_id, contig_id, i, max(b) - min(a) AS bp FROM y GROUP BY ALL)") + "SELECT genome_id, contig_id, sum(bp)::BIGINT AS covered_bp, count(*) AS islands FROM z GROUP BY ALL")
@@ -303,7 +316,7 @@ def median_gaps(spark, sf):
 @query(_with(_tags_sql(), _HITS) + "SELECT t.genome_id, t.enzyme, t.contig_id, t.position FROM tags t WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.query = t.genome_id AND a.q_contig = t.contig_id AND a.q_pos = t.position AND a.enzyme = t.enzyme)")
 def unmatched_tags(spark, sf):
     t = tags_once(spark, sf)
-    return legacy.unmatched(t, anc.find_anchors(t, t, _unordered(spark, sf))).select("genome_id", "enzyme", "contig_id", "position")
+    return legacy.unmatched(t, anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=_NO_LIMIT, max_bucket=_NO_LIMIT)).select("genome_id", "enzyme", "contig_id", "position")
 
 
 @query(
@@ -467,14 +480,14 @@ def panel_scores(spark, sf):
 
 @query()
 def legacy_matches(spark, sf):
-    return legacy.match_tags(anchors(spark, sf))
+    return all_matches(spark, sf)
 
 
 @query()
 def legacy_blocks(spark, sf):
-    return legacy.blocks(legacy.match_tags(anchors(spark, sf)))
+    return legacy.blocks(all_matches(spark, sf))
 
 
 @query()
 def legacy_ani(spark, sf):
-    return legacy.weighted_ani(legacy.blocks(legacy.match_tags(anchors(spark, sf))))
+    return legacy.weighted_ani(legacy.blocks(all_matches(spark, sf)))
