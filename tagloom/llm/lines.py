@@ -264,24 +264,22 @@ def _emit_runs(wanted: tuple[np.ndarray, np.ndarray] | None):
 
 def _remove_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Take the units of the windows in ``gone`` (array of struct a, b, h; not null, perhaps empty, where windows of the text repeat) and of those that stand before in it out of ``text`` and count them in n_removed; other columns stay."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=2 << 20):
         cols = dict(zip(batch.schema.names, batch.columns))
-        texts, removed = [], []
-        for text, gone in zip(cols["text"].to_pylist(), cols["gone"].to_pylist()):
-            out = np.zeros(0, bool)
-            if gone is not None and text is not None:
-                own, tails = units(text)
-                out = np.zeros(len(own), bool)
-                found = _windows([(own, tails)])[1:]
-                before = {(g["a"], g["b"], g["h"]) for g in gone}
-                later = _later(own, tails, found)
-                for k, w in enumerate(zip(*(x.tolist() for x in found))):
-                    if k in later or w in before:
-                        out[w[0] : w[1]] = True
-                if out.any():
-                    text = _rest(own, tails, out)
-            texts.append(text)
-            removed.append(int(out.sum()))
+        texts, gone = cols["text"].to_pylist(), cols["gone"].to_pylist()
+        removed = [0] * len(texts)
+        listed = [k for k, g in enumerate(gone) if g is not None and texts[k] is not None]
+        parts = [units(texts[k]) for k in listed]
+        at, *found = _windows(parts)
+        edges = np.searchsorted(at, np.arange(len(listed) + 1), sorter=(order := np.argsort(at, kind="stable")))
+        for k, (own, tails), x, y in zip(listed, parts, edges[:-1], edges[1:]):
+            mine = tuple(c[order[x:y]] for c in found)
+            before, later, out = {(g["a"], g["b"], g["h"]) for g in gone[k]}, _later(own, tails, mine), np.zeros(len(own), bool)
+            for w, (a, b, h) in enumerate(zip(*(c.tolist() for c in mine))):
+                if w in later or (a, b, h) in before:
+                    out[a:b] = True
+            if out.any():
+                texts[k], removed[k] = _rest(own, tails, out), int(out.sum())
         cols |= {"text": pa.array(texts, pa.string()), "n_removed": pa.array(removed, pa.int64())}
         yield pa.RecordBatch.from_arrays([cols[c] for c in batch.schema.names], batch.schema.names)
 
