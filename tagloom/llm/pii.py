@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 20
+LONGEST = 32
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _local = re.compile(r"[A-Za-z0-9._%+-]+\Z").search
@@ -138,7 +138,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
     tokens = [(m.start(), m.end()) for m in _tokens(text, lo, hi)]
     edge = [k for k, (a, b) in enumerate(tokens) if text[a].isalnum() or text[a] in "(+"]
     end = {k for k, (a, b) in enumerate(tokens) if text[a].isalnum()}
-    segments = [(i, j + 1) for i in edge for j in range(i + 2, min(i + LONGEST, len(tokens))) if j in end]
+    segments = [(i, j + 1) for i in edge for j in range(i, min(i + LONGEST, len(tokens))) if j in end]
     return [a for a, _ in tokens] + [tokens[-1][1] if tokens else lo], [(i, j) for i, j in segments if any_digit(text[tokens[i][0] : tokens[j - 1][1]]) or "at" in text[tokens[i][0] : tokens[j - 1][1]].lower() or "@" in text[tokens[i][0] : tokens[j - 1][1]]]
 
 

@@ -83,3 +83,15 @@ def test_odd_rows(spark):
     assert got == [(0, [("phone", 80000, 80014)]), (1, []), (2, []), (3, three), (3, three), (4, []), (5, [("phone", 0, 17)])]
     assert find_personal_data(docs.limit(0)).count() == 0
     assert luhn("4242424242424242") and not luhn("4242424242424241")
+
+
+def test_every_gold_span_is_a_candidate():
+    texts = _sentences(900, 11) + [("x first.last [at] host [dot] example [dot] com y", [(2, 46, "email")]), ("tel: 5551234567", [(5, 15, "phone")])]
+    for text, spans in texts:
+        base = base_spans(text)
+        for a, b, kind in spans:
+            if (a, b, kind) in base:
+                continue
+            lo, hi = next(((x, y) for x, y in bearing_ranges(text) if x <= a and b <= y), (0, len(text)))
+            at, segments = candidates(text, lo, hi)
+            assert any(at[i] == a and text[a:b].endswith(text[at[j - 1] : b]) and at[j - 1] < b <= (at[j] if j < len(at) else len(text)) for i, j in segments), (text, a, b)
