@@ -66,10 +66,13 @@ def corpus(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("seed,group,frequent", [(1, 64, 500_000), (2, 2, 50), (3, 5, 0), (4, 3, 500_000)])
-def test_equals_all_pairs(spark, monkeypatch, seed, group, frequent):
+@pytest.mark.parametrize("seed,group,frequent,hot,rows_", [(1, 64, 500_000, 8, 20_000), (2, 2, 50, 1, 5), (3, 5, 0, 8, 20_000), (4, 3, 500_000, 2, 20_000)])
+def test_equals_all_pairs(spark, monkeypatch, seed, group, frequent, hot, rows_):
     monkeypatch.setattr(neardup, "GROUP", group)
     monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "TOKEN_ROWS", rows_)
+    monkeypatch.setattr(neardup, "ASKERS", rows_)
     docs = corpus(seed, 260)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert plain(jaccard_components(df)) == brute(docs)
