@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+from tagloom.llm import pii
 from tagloom.llm.pii import KINDS, _sentences, _score, added_spans, base_spans, bearing_ranges, candidates, decode, features, find_personal_data, luhn, op4_semicrf_pii, train
 
 
@@ -95,3 +96,36 @@ def test_every_gold_span_is_a_candidate():
             lo, hi = next(((x, y) for x, y in bearing_ranges(text) if x <= a and b <= y), (0, len(text)))
             at, segments = candidates(text, lo, hi)
             assert any(at[i] == a and text[a:b].endswith(text[at[j - 1] : b]) and at[j - 1] < b <= (at[j] if j < len(at) else len(text)) for i, j in segments), (text, a, b)
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    field = pii.Field(train())
+    rng = random.Random(2)
+
+    def took(text):
+        began = time.time()
+        added_spans(field, text, base_spans(text))
+        return time.time() - began
+
+    # base64 as one word, columns of numbers, addresses: a megabyte
+    for text in ("".join(rng.choices("abcXYZ019", k=1_000_000)) + " at dot", " ".join(str(rng.randrange(1, 10_000)) for _ in range(200_000)), "joe@mail.example.com " * 45_000):
+        assert took(text) < 10, text[:30]
+    # hosts, signs and brackets without end
+    for part, n in (("b.", 100_000), ("-at", 100_000), ("a@", 100_000), ("1", 200_000), ("0 (1) [2] ", 4_000)):
+        took("x at " + part * n)
+        assert took("x at " + part * 2 * n + " dot") < 3.5 * took("x at " + part * n + " dot") + 0.3, part
+
+
+def test_columns_of_numbers_are_no_numbers_of_people():
+    field, rng = pii.Field(train()), random.Random(5)
+    texts = ["price 100 200 3000 4000"] + [" ".join(str(rng.randrange(1, 10 ** rng.randrange(2, 6))) for _ in range(40)) for _ in range(50)]
+    # of 2000 numbers in columns, some valid card numbers by chance may be named
+    found = [(t[a:b], k) for t in texts for a, b, k in added_spans(field, t, base_spans(t))]
+    assert len(found) <= 2, found
+
+
+def test_spelt_addresses():
+    for text, want in [("joe at example dot com", [(0, 22)]), ("x joe.b [at] a-b [dot] c, y", [(2, 24)]), ("look at that dot", []), ("a@b", []), ("at home dot com", []), ("joe(at)x.y and ann @ z.w", [(0, 10), (15, 24)])]:
+        assert list(pii.spelt(text)) == want, text
