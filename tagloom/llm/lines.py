@@ -7,10 +7,11 @@ every chunk inside has two lines at least. A line of ``LONG`` words or more is
 first wrapped into sentence lines and stands in a run of its own, so that a
 passage on one line is cut into chunks of its own too.
 
-Pass 1 finds the chunk hashes that several documents have, pass 2 sends the
-bytes of those chunks to an aggregation on the bytes themselves (the byte
-comparison; equal chunks meet pre-aggregated), pass 3 takes every occurrence but
-the first one out of the texts that have one.
+Pass 1 finds the chunk hashes that occur more than once, pass 2 sends the bytes
+of those chunks to an aggregation on the bytes themselves (the byte comparison;
+equal chunks meet pre-aggregated), pass 3 takes every occurrence but the first
+one out of the texts that have one. After the comparison a hash of one body stands
+for its bytes; only where bodies of one hash differ do the bytes go along.
 """
 
 from __future__ import annotations
@@ -156,8 +157,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     holders = bitmap(seen.mapInArrow(may_repeat, "did long, h long").select(F.xxhash64("did").alias("dh")), "dh")
     found = written(plain.mapInArrow(_emit((holders, repeated)), "did long, h long, k int, nth int, body string"), "chunks")
-    first = found.groupBy("h", "body").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = found.join(first, ["h", "body"]).where("did > first or nth > 1").select("did", F.struct("k", "h").alias("g")).groupBy("did").agg(F.collect_list("g").alias("gone"))
+    # the bytes meet in an aggregation; a hash of one body stands for its bytes after it, others take the bytes along
+    first = written(found.groupBy("h", "body").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")), "first-chunks")
+    one = written(first.groupBy("h").agg(F.count(F.lit(1)).alias("bodies"), F.min("first").alias("first"), F.max("n").alias("n")).where("n > 1"), "chunk-firsts")
+    plainly = found.drop("body").join(one.where("bodies = 1").select("h", "first"), "h")
+    clash = one.where("bodies > 1").select("h")
+    clashing = found.join(clash, "h", "left_semi").join(first.where("n > 1").drop("n"), ["h", "body"]).select("h", "did", "k", "nth", "first")
+    gone = plainly.select("h", "did", "k", "nth", "first").unionByName(clashing).where("did > first or nth > 1").groupBy("did").agg(F.collect_list(F.struct("k", "h")).alias("gone"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
     both = base.join(gone, "did", "left").select("doc_id", "text", "gone", n_lines, F.lit(0).cast("long").alias("n_removed"), *(["row"] if row else []))
     return both.mapInArrow(_remove, both.schema).drop("gone")
