@@ -50,3 +50,13 @@ def test_stages_bear_odd_rows(spark, sf):
     assert len(kept["line_dedup"]) == len(rows())
     assert sorted(kept["near_duplicates"], key=str) == sorted([1, 2, 3, 4, 5, 6, None], key=str)
     assert set(kept["sequence_packing"]) == {r[0] for r in rows()}
+
+
+def test_near_duplicates_of_repeated_ids(spark, sf):
+    """Rows of one id are judged by their texts; of a component without ids one row a set stays."""
+    text = lambda k, n=30: " ".join(f"w{k}x{j}" for j in range(n))
+    rows_ = [(1, text(1)), (2, text(2)), (2, text(3)), (2, text(3)), (3, text(3) + " more"), (4, text(1)), (4, text(4)), (None, text(2)), (None, text(5)), (None, text(5)), (5, None), (5, None), (6, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    want = [(1, text(1)), (2, text(2)), (2, text(3)), (4, text(4)), (None, text(5)), (5, None), (5, None), (6, text(6))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
