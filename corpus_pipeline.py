@@ -7,11 +7,11 @@ Whoever runs the stages writes each one's rows and reads them again for the next
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import lines, neardup, packing, phrases, quality
-from tagloom.llm.common import DOC_COLUMNS, drop_path, scratch, table
+from tagloom.llm.common import DOC_COLUMNS, drop_path, scratch, table, written
 
 COLUMNS = list(DOC_COLUMNS)
 
@@ -31,23 +31,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 9: of each component the document with the smallest id stays (one row, if rows repeat it); documents without shingles stay, and so do rows without an id."""
-    found = neardup.jaccard_components(docs)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    rest = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.col("source")))
-    repeated = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("nth") > 1)
-    return rest.withColumn("nth", nth).where(~repeated).select(COLUMNS)
+    """Op 9: of each component one document stays, that with the smallest id; documents without shingles all stay.
+
+    Rows that repeat an id are told apart by their shingle sets, so that texts
+    that are not near stay both. Rows without an id stay only where their
+    component has no id at all, one row a set. An empty table gives no rows.
+    """
+    found = written(neardup.jaccard_components(docs), "components")
+    # ids that several rows have are looked up by id and set, all others by id
+    several = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several-ids")
+    gone = found.where("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct().unionByName(several).distinct()
+    rest = docs.select(COLUMNS).where("doc_id is not null").join(gone, "doc_id", "left_anti").select(COLUMNS)
+    named = found.where("doc_id is not null").join(several, "doc_id").unionByName(found.where("doc_id is null"))
+    stays = named.where("n_shingles > 0 and doc_id <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("doc_id", True).alias("id")).select("fp", "id")
+    odd = docs.where("doc_id is null").unionByName(docs.join(several, "doc_id", "left_semi").select(docs.columns))
+    odd = neardup.fingerprints(odd, row=COLUMNS)
+    some = odd.join(stays, (odd.fp == stays.fp) & odd.doc_id.eqNullSafe(stays.id)).groupBy(odd.fp, odd.doc_id).agg(F.min("row").alias("row"))
+    return rest.unionByName(some.select("row.*")).unionByName(odd.where("fp = 0").select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 10: documents that hold a window of a benchmark item go."""
-    found = phrases.find_phrases(docs, table(spark, sf_dir, "benchmark"), row=COLUMNS)
-    return found.where("n_hit = 0").select("row.*")
+    """Op 10: documents that hold a window of a benchmark item go; null and empty texts and rows that repeat an id are judged like any other."""
+    found = phrases.ask_index(phrases.build_index(docs), table(spark, sf_dir, "benchmark"))
+    return phrases.carried(docs, found.where("n_hit > 0"), COLUMNS, "left_anti").select("row.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 7: the pieces of all documents, packed."""
+    """Op 7: the pieces of all documents, packed; a null text is an empty document, and rows that repeat an id are packed each."""
     return packing.pack(docs)
 
 
