@@ -73,8 +73,8 @@ def best_chains(q: np.ndarray, r: np.ndarray, rank: np.ndarray, max_skip: float,
             ok = alive[j] & (dq > 0) & (dr > 0) & (dq <= cfg.max_gap) & (dr <= cfg.max_gap) & (skip <= max_skip)
             if ok.any():
                 s = np.where(ok, score[j] + 1 - gap_penalty(np.abs(dq - dr)), -np.inf)
-                # the nearest place is looked at first, and only a better one replaces it
-                k = len(s) - 1 - int(np.argmax(s[::-1]))
+                # of equal ones the farthest stays
+                k = int(np.argmax(s))
                 if s[k] > score[i]:
                     score[i], back[i] = s[k], j[k]
         end = int(np.argmax(score))

@@ -91,10 +91,15 @@ def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str =
 
 def blocks(matches: DataFrame, tolerance: int = 5000) -> DataFrame:
     """Runs of matches on one pair of contigs that rise together with gap differences of at most ``tolerance``."""
+    m = _in_blocks(matches, tolerance)
+    return m.groupBy("query", "reference", "q_contig", "r_contig", "block").agg(F.count(F.lit(1)).alias("n_tags"), F.min("q_pos").alias("q_start"), F.max("q_pos").alias("q_end"), F.min("r_pos").alias("r_start"), F.max("r_pos").alias("r_end"), F.avg("mm").alias("mean_mm"))
+
+
+def _in_blocks(matches: DataFrame, tolerance: int) -> DataFrame:
+    """matches with the number of their block on their pair of contigs."""
     w = Window.partitionBy("query", "reference", "q_contig", "r_contig").orderBy("q_pos")
     dq, dr = F.col("q_pos") - F.lag("q_pos").over(w), F.col("r_pos") - F.lag("r_pos").over(w)
-    m = matches.withColumn("_new", F.when(dq.isNull() | (dr <= 0) | (F.abs(dq - dr) > tolerance), 1).otherwise(0)).withColumn("block", F.sum("_new").over(w))
-    return m.groupBy("query", "reference", "q_contig", "r_contig", "block").agg(F.count(F.lit(1)).alias("n_tags"), F.min("q_pos").alias("q_start"), F.max("q_pos").alias("q_end"), F.min("r_pos").alias("r_start"), F.max("r_pos").alias("r_end"), F.avg("mm").alias("mean_mm"))
+    return matches.withColumn("_new", F.when(dq.isNull() | (dr <= 0) | (F.abs(dq - dr) > tolerance), 1).otherwise(0)).withColumn("block", F.sum("_new").over(w)).drop("_new")
 
 
 def block_weight(scheme: str, n_tags: Column, q_start: Column, gap_diff: Column | None = None) -> Column:
@@ -102,8 +107,21 @@ def block_weight(scheme: str, n_tags: Column, q_start: Column, gap_diff: Column
     return {"uniform": F.lit(1.0), "synteny": F.sqrt(n_tags), "position": 1 + F.sin(q_start), "gap": 1 / (1 + (gap_diff if gap_diff is not None else F.lit(0)) / 1000)}[scheme]
 
 
+def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int = 5000, panel: list[Enzyme] | None = None) -> DataFrame:
+    """query, reference, raw_ani, weighted_ani (percent), n_tags: each match weighs by itself, its identity being over its own enzyme's tag length.
+
+    uniform 1; synteny the root of its block's number of tags; position
+    1 + sin(p / (max(p, 1) + 1)) of its query place p; gap 1 - min(|gap|, 10) / 20.
+    """
+    lengths = F.create_map(*[x for e in (resolve() if panel is None else panel) for x in (F.lit(e.name), F.lit(e.tag_length))])
+    weight = {"uniform": F.lit(1.0), "synteny": F.sqrt("n_tags"), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[scheme]
+    m = _in_blocks(matches, tolerance).withColumn("n_tags", F.count(F.lit(1)).over(Window.partitionBy("query", "reference", "q_contig", "r_contig", "block")))
+    m = m.select("query", "reference", (100 * (1 - F.col("mm") / lengths[F.col("enzyme")])).alias("ani"), weight.alias("w"))
+    return m.groupBy("query", "reference").agg(F.avg("ani").alias("raw_ani"), (F.sum(F.col("ani") * F.col("w")) / F.sum("w")).alias("weighted_ani"), F.count(F.lit(1)).alias("n_tags"))
+
+
 def weighted_ani(blocks_: DataFrame, tag_len: int = 32, scheme: str = "synteny") -> DataFrame:
-    """query, reference, raw_ani, weighted_ani (percent), n_tags, confidence by blocks."""
+    """query, reference, raw_ani, weighted_ani (percent), n_tags by blocks; ``weighted_pairs`` weighs each match."""
     ani = 100 * (1 - F.col("mean_mm") / tag_len)
     w = block_weight(scheme, F.col("n_tags"), F.col("q_start"))
     return blocks_.groupBy("query", "reference").agg((F.sum(ani * F.col("n_tags")) / F.sum("n_tags")).alias("raw_ani"), (F.sum(ani * w) / F.sum(w)).alias("weighted_ani"), F.sum("n_tags").alias("n_tags"))

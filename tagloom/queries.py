@@ -367,7 +367,7 @@ def db_merge(spark, sf):
 
 # --- reports on literal rows -----------------------------------------------------------------
 
-_CASES = [(0.95, 0.96, 0.94, 0.945, float("inf"), 0.7, 10, 2), (0.83, 0.90, 0.89, 0.95, 1.5, 0.3, 20, 11), (0.9, 0.91, 0.95, 0.90, 2.0, 0.1, 30, 5), (0.9, 0.91, 0.99, float("nan"), 2.0, 0.25, 1000, 501), (0.9, 0.91, 0.95, 0.8, 3.0, 0.5, 1000, 500)]
+_CASES = [(0.972, 0.977, 0.963, 0.971, float("inf"), 0.66, 14, 3), (0.861, 0.912, 0.874, 0.941, 1.25, 0.37, 24, 13), (0.884, 0.897, 0.93, 0.902, 2.5, 0.15, 36, 7), (0.915, 0.921, 0.98, float("nan"), 1.75, 0.28, 800, 401), (0.908, 0.914, 0.957, 0.816, 3.5, 0.45, 640, 320)]
 
 
 def _cases(spark: SparkSession) -> DataFrame:
@@ -490,4 +490,4 @@ def legacy_blocks(spark, sf):
 
 @query()
 def legacy_ani(spark, sf):
-    return legacy.weighted_ani(legacy.blocks(all_matches(spark, sf)))
+    return legacy.weighted_pairs(all_matches(spark, sf))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors see; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir``, which all executors see; where it is unset, a temporary folder in local mode (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = tempfile.mkdtemp(prefix="tagloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -105,6 +105,14 @@ def test_chaining_rules():
     assert chain.best_chains(np.arange(3), np.arange(3), np.arange(3), math.inf, Config()) == []
 
 
+def test_equal_predecessors():
+    """Two places before the last are as good (both begin a chain, with the same shift); the farther one is taken."""
+    q, r = np.array([0, 200, 5_000, 6_000]), np.array([300, 100, 5_100, 6_100])
+    cfg = Config(min_chain_anchors=2)
+    best = chain.best_chains(q, r, np.arange(4), math.inf, cfg)
+    assert best[0].tolist() == [0, 2, 3]
+
+
 def test_spans_and_gaps(spark):
     assert chain.covered([(0, 0, 10), (0, 5, 20), (0, 30, 40)]) == 30 and chain.covered([(c, 0, 100) for c in range(3)]) == 300
     assert chain.extend_span(1000, 2000, 300, 5000) == (700, 2300) and chain.extend_span(100, 4900, 300, 5000) == (0, 5000) and chain.extend_span(20_000, 30_000, 50_000, 0) == (10_000, 40_000)

@@ -1,5 +1,6 @@
 """The older path keeps tags that occur more often than the newer one takes."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -37,3 +38,14 @@ def test_matches_are_those_of_unlimited_anchors(spark, sf):
     key = lambda df: sorted(map(tuple, df.collect()))
     want = key(legacy.match_tags(anc.find_anchors(t, t, pairs, max_occurrence=1 << 62, max_bucket=1 << 62)))
     assert key(legacy.match_all(t, pairs)) == want and want
+
+
+def test_matches_weigh_by_themselves(spark):
+    rows = [("a", "b", "BcgI", 0, 0, 0, 0, 0, 0), ("a", "b", "BcgI", 0, 100, 0, 100, 2, 0), ("a", "b", "AloI", 0, 90_000, 0, 500_000, 1, -4)]
+    m = spark.createDataFrame(rows, legacy.MATCH)
+    ani = [100.0, 100 * (1 - 2 / 32), 100 * (1 - 1 / 27)]
+    weights = {"uniform": [1, 1, 1], "synteny": [2**0.5, 2**0.5, 1], "position": [1, 1 + math.sin(100 / 101), 1 + math.sin(90_000 / 90_001)], "gap": [1, 1, 0.8]}
+    for scheme, w in weights.items():
+        got = legacy.weighted_pairs(m, scheme).first()
+        assert got.n_tags == 3 and abs(got.raw_ani - sum(ani) / 3) < 1e-9
+        assert abs(got.weighted_ani - sum(x * y for x, y in zip(ani, w)) / sum(w)) < 1e-9, scheme
