@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = tempfile.mkdtemp(prefix="tagloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
