@@ -113,7 +113,7 @@ def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int =
     uniform 1; synteny the root of its block's number of tags; position
     1 + sin(p / (max(p, 1) + 1)) of its query place p; gap 1 - min(|gap|, 10) / 20.
     """
-    lengths = F.create_map(*[x for e in (resolve() if panel is None else panel) for x in (F.lit(e.name), F.lit(e.tag_length))])
+    lengths = F.create_map(*[x for e in (resolve() if panel is None else panel) for x in (F.lit(e.name), F.lit(e.tag_len))])
     weight = {"uniform": F.lit(1.0), "synteny": F.sqrt("n_tags"), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[scheme]
     m = _in_blocks(matches, tolerance).withColumn("n_tags", F.count(F.lit(1)).over(Window.partitionBy("query", "reference", "q_contig", "r_contig", "block")))
     m = m.select("query", "reference", (100 * (1 - F.col("mm") / lengths[F.col("enzyme")])).alias("ani"), weight.alias("w"))
