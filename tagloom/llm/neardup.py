@@ -47,7 +47,7 @@ GROUP = 64
 #: Bands of minhashes, and minhashes a band.
 BANDS, ROWS = 8, 2
 #: Turns of the start, at most; the share of classes below which another turn is not worth it; and queries that a class asks in a turn, at most.
-TURNS, WORTH, ASKED = 3, 0.01, 2
+TURNS, WORTH, ASKED = 3, 0.05, 2
 #: Longs of a signature; the signatures that go with tokens have half of them.
 SIGNATURE = 8
 #: Tokens reported so often are hot: signatures go with them. Rows of a hot token, and queries of a group, that one task takes.
