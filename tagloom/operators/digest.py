@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.sequence import canonical
-from tagloom.operators.enzymes import Enzyme, resolve
+from tagloom.functions.sequence import IUPAC_BASES, canonical
+from tagloom.operators.enzymes import LONGEST_TAG, Enzyme, MarginEnzyme, resolve
 from tagloom.sources.scratch import spread
 
 _BITS = np.zeros(256, np.uint8)
@@ -89,6 +89,55 @@ def digest(contigs: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
     return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, TAGS)
 
 
+def margin_digest(contigs: DataFrame, enzymes: list[MarginEnzyme]) -> DataFrame:
+    """Tags of enzymes given by two anchors and margins: genome_id, contig_id, enzyme, position, strand, tag.
+
+    position is where the site begins. A tag is the site with the margins, its
+    first 32 bases at most; one that the contig's start cuts is shorter, one that
+    its end cuts is none, and so is one with other letters than A, C, G, T. Sites
+    of the reverse strand, whose tags are reverse-complemented, are found on
+    their own; where both strands have a site, the forward one counts. Contigs
+    shorter than ``tag_len`` and null sequences have no tags.
+    """
+    mask = {code: np.uint8(sum(1 << "ACGT".index(b) for b in bases)) for code, bases in IUPAC_BASES.items()}
+    other = np.zeros(256, np.uint8)
+    other[list(b"ACGT")] = list(b"TGCA")
+
+    def sites(bits: np.ndarray, left: str, right: str, spacer: int) -> np.ndarray:
+        n = len(bits) - len(left) - spacer - len(right) + 1
+        at = np.arange(max(n, 0))
+        for k, code in [*enumerate(left), *enumerate(right, len(left) + spacer)]:
+            at = at[(bits[at + k] & mask[code]) > 0]
+        return at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, raw = _bytes(batch.column(2))
+            bits = _BITS[raw]
+            impure = np.concatenate(([0], np.cumsum(bits == 0)))
+            for e in enzymes:
+                size = len(e.left) + e.spacer + len(e.right)
+                if not size:
+                    continue
+                found = []
+                for strand, left, right, lead, tail in (("+", e.left, e.right, e.left_margin, e.right_margin), ("-", *e.reverse_anchors, e.right_margin, e.left_margin)):
+                    at = sites(bits, left.upper(), right.upper(), e.spacer)
+                    row = np.searchsorted(offsets, at, side="right") - 1
+                    start, end = np.maximum(at - lead, offsets[row]), at + size + tail
+                    ok = (end <= offsets[row + 1]) & (offsets[row + 1] - offsets[row] >= e.tag_len)
+                    ok[ok] = impure[end[ok]] == impure[start[ok]]
+                    found += [(int(a), strand, int(r), int(s), min(int(t - s), LONGEST_TAG)) for a, r, s, t in zip(at[ok], row[ok], start[ok], end[ok])]
+                sites_ = {}
+                for hit in found:
+                    sites_.setdefault(hit[0], hit)
+                rows = [sites_[a] for a in sorted(sites_)]
+                letters = [raw[s : s + n] if strand == "+" else other[raw[s : s + n]][::-1] for _, strand, _, s, n in rows]
+                of = pa.array([r[2] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array([e.name] * len(rows), pa.string()), pa.array([r[0] - int(offsets[r[2]]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([x.tobytes().decode() for x in letters], pa.string())], ["genome_id", "contig_id", "enzyme", "position", "strand", "tag"])
+
+    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, "genome_id string, contig_id long, enzyme string, position long, strand string, tag string")
+
+
 def with_canonical(tags: DataFrame) -> DataFrame:
     return tags.withColumn("canonical", canonical(F.col("tag")))
 

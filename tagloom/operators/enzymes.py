@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.functions.sequence import COMPLEMENT, IUPAC
+
 #: Fixed values. Enzyme: tag length, forward and reverse pattern (site@offset; [..] is a choice), left anchor, right anchor, spacer.
 TABLE = {
     "BcgI": (32, "CGA@10 TGC@19", "GCA@10 TCG@19", "CGA", "TGC", 6),
@@ -53,6 +55,28 @@ class Enzyme:
         return f"{self.left}-N{self.spacer}-{self.right}"
 
 
+@dataclass(frozen=True)
+class MarginEnzyme:
+    """An enzyme of one's own: two anchors in IUPAC codes around a spacer, and margins on either side of the site."""
+
+    name: str
+    left: str
+    right: str
+    spacer: int
+    tag_len: int
+    left_margin: int
+    right_margin: int
+
+    @property
+    def reverse_anchors(self) -> tuple[str, str]:
+        turn = str.maketrans(IUPAC, COMPLEMENT)
+        return self.right.upper().translate(turn)[::-1], self.left.upper().translate(turn)[::-1]
+
+    @property
+    def recognition(self) -> str:
+        return f"{self.left}-N{self.spacer}-{self.right}" if self.right else self.left
+
+
 def _places(pattern: str) -> tuple[tuple[int, str], ...]:
     out = []
     for part in pattern.split():

@@ -10,9 +10,12 @@ from tagloom.functions.sequence import pack, packed_mismatches
 from tagloom.operators.anchors import TOLERANCE, parts
 from tagloom.operators.digest import kmers
 from tagloom.operators.enzymes import Enzyme, resolve
+from tagloom.operators.synteny import block_sizes
 from tagloom.sources.scratch import stored
 
 MATCH = "query string, reference string, enzyme string, q_contig long, q_pos long, r_contig long, r_pos long, mm int, gap_diff long"
+#: The detour of a candidate on other contigs than the last match.
+ELSEWHERE = 1 << 62
 
 
 def _greedy(key: tuple, places) -> pd.DataFrame:
@@ -23,7 +26,7 @@ def _greedy(key: tuple, places) -> pd.DataFrame:
         for rc, rp, mm, enzyme in candidates:
             if (rc, rp) in used:
                 continue
-            lead = abs((rp - last[3]) - (qp - last[1])) if last and last[0] == qc and last[2] == rc else 0
+            lead = 0 if not last else abs((rp - last[3]) - (qp - last[1])) if last[0] == qc and last[2] == rc else ELSEWHERE
             if best is None or (mm, lead) < best[0]:
                 best = ((mm, lead), (rc, rp, mm, enzyme))
         if best:
@@ -110,12 +113,12 @@ def block_weight(scheme: str, n_tags: Column, q_start: Column, gap_diff: Column
 def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int = 5000, panel: list[Enzyme] | None = None) -> DataFrame:
     """query, reference, raw_ani, weighted_ani (percent), n_tags: each match weighs by itself, its identity being over its own enzyme's tag length.
 
-    uniform 1; synteny the root of its block's number of tags; position
+    uniform 1; synteny the root of the number of tags of its chained block; position
     1 + sin(p / (max(p, 1) + 1)) of its query place p; gap 1 - min(|gap|, 10) / 20.
     """
     lengths = F.create_map(*[x for e in (resolve() if panel is None else panel) for x in (F.lit(e.name), F.lit(e.tag_len))])
-    weight = {"uniform": F.lit(1.0), "synteny": F.sqrt("n_tags"), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[scheme]
-    m = _in_blocks(matches, tolerance).withColumn("n_tags", F.count(F.lit(1)).over(Window.partitionBy("query", "reference", "q_contig", "r_contig", "block")))
+    weight = {"uniform": F.lit(1.0), "synteny": F.sqrt(F.col("n_tags") if scheme == "synteny" else F.lit(1)), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[scheme]
+    m = block_sizes(matches, tolerance) if scheme == "synteny" else matches
     m = m.select("query", "reference", (100 * (1 - F.col("mm") / lengths[F.col("enzyme")])).alias("ani"), weight.alias("w"))
     return m.groupBy("query", "reference").agg(F.avg("ani").alias("raw_ani"), (F.sum(F.col("ani") * F.col("w")) / F.sum("w")).alias("weighted_ani"), F.count(F.lit(1)).alias("n_tags"))
 

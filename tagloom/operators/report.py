@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A linear calibration published with its training set's means and scales.
@@ -121,6 +121,44 @@ def predict_trees(df: DataFrame, features: list[str], trees: list[list[dict]], i
     return df.withColumn("prediction", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)) if clamp else total)
 
 
+def read_trees(spark: SparkSession, path: str) -> dict:
+    """A tree ensemble from JSON: {meta: {init_value, learning_rate, feature_names, ..}, trees: [{nodes: [{type: split, feature, threshold, left, right} or {type: leaf, value}]}]}.
+
+    One model is one small file, read whole; fields missing or nodes of another type are an error.
+    """
+    model = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    for key in ("init_value", "learning_rate", "feature_names"):
+        if key not in model["meta"]:
+            raise ValueError(f"the model has no {key}")
+    for node in (n for t in model["trees"] for n in t["nodes"]):
+        if node["type"] not in ("leaf", "split"):
+            raise ValueError(f"unknown node type: {node['type']}")
+    return model
+
+
+def predict_model(df: DataFrame, model: dict, features: list[str] | None = None) -> DataFrame:
+    """``prediction``, unclamped, from the columns ``features`` (the model's own names by default) in the model's order."""
+    meta = model["meta"]
+    return predict_trees(df, features or meta["feature_names"], [t["nodes"] for t in model["trees"]], meta["init_value"], meta["learning_rate"], clamp=False)
+
+
+#: The features that each version of a runtime model takes, in order; all but v2 predict what the raw identity lacks.
+RUNTIME = {
+    "v2": ["raw_ani", "af_query", "af_reference", "shared_tags", "containment", "1 - raw_ani", "0.5"],
+    "v3_6": ["raw_ani", "af_query", "af_reference", "0.0"],
+    "v4": ["raw_ani", "ln(1 + shared_tags)", "af_query", "af_reference"],
+    "v7": ["raw_ani", "mash_ani", "chained_kmer_ani", "ln(1 + shared_tags)", "af_query", "af_reference"],
+}
+
+
+def predict_runtime(df: DataFrame, model: dict, version: str) -> DataFrame:
+    """``prediction`` of a runtime model over the columns that ``RUNTIME`` names; v2 as it comes, the others added to raw_ani and kept within 0 and 1."""
+    names = [f"_feature{k}" for k in range(len(RUNTIME[version]))]
+    d = df.select("*", *[F.expr(f"cast({x} AS double)").alias(n) for x, n in zip(RUNTIME[version], names)])
+    d = predict_model(d, model, names).drop(*names)
+    return d if version == "v2" else d.withColumn("prediction", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw_ani") + F.col("prediction"))))
+
+
 def debias(raw: Column, af_min: Column, quadratic: bool = False) -> Column:
     """raw (percent) raised by 2 % of what it lacks, more so where little aligns; with a quadratic term on request."""
     gap = 100 - raw

@@ -60,6 +60,12 @@ def detect(chains: DataFrame, indel_min: int = 1000, rearrangement: bool = False
     return calls.where(F.col("sv_type").isin(kinds)) if kinds else calls
 
 
+def ordered(calls: DataFrame) -> DataFrame:
+    """The calls of each pair in the order of their query places; equal places by the rest of the row."""
+    first = ["query", "reference", "q_contig", "q_start", "q_end"]
+    return calls.orderBy(*first, *[c for c in CALLS if c not in first])
+
+
 def paf(chains: DataFrame, q_lengths: DataFrame, r_lengths: DataFrame, mean_tag_len: int = 29) -> DataFrame:
     """The 12 PAF columns of each chain. lengths: genome_id, contig_id, length."""
     q = q_lengths.select(F.col("genome_id").alias("query"), F.col("contig_id").alias("q_contig"), F.col("length").alias("q_len"))

@@ -15,7 +15,7 @@ from tagloom.functions import sequence as seq
 from tagloom.operators import anchors as anc
 from tagloom.operators import digest as dig
 from tagloom.operators import enzymes as enz
-from tagloom.operators import intervals, legacy, panel, report, screen, sv
+from tagloom.operators import intervals, legacy, legacy_report, panel, report, screen, sv, synteny
 from tagloom.plans import commands
 from tagloom.sources import sketch as sk
 from tagloom.sources.fasta import BASES, LETTERS, document_contigs, text_contigs
@@ -146,13 +146,31 @@ def digest_tags(spark, sf):
     return tags(spark, sf)
 
 
+_MARGINS = enz.MarginEnzyme("GacTrg", "GAC", "TRG", 4, 24, 9, 6)
+
+
+def _margin_sql(strand: str, site: str, lead: int, tail: int) -> str:
+    start = f"greatest(i - {lead}, 0)"
+    tag = f"substr(seq, {start} + 1, least(i + 10 + {tail} - {start}, 32))"
+    return f"SELECT genome_id, contig_id, i AS position, '{strand}' AS strand, {tag if strand == '+' else _RC.format(tag)} AS tag FROM places WHERE regexp_matches(substr(seq, i + 1, 10), '{site}') AND i + 10 + {tail} <= length(seq) AND length(seq) >= 24"
+
+
+@query(
+    _with(_contigs_sql())
+    + f", places AS (SELECT *, unnest(range(0, length(seq))) AS i FROM contigs), found AS ({_margin_sql('+', 'GAC....T[AG]G', 9, 6)} UNION ALL {_margin_sql('-', 'C[CT]A....GTC', 6, 9)})"
+    + " SELECT genome_id, contig_id, 'GacTrg' AS enzyme, position, min(strand) AS strand, min_by(tag, strand) AS tag FROM found WHERE regexp_full_match(tag, '[ACGT]+') GROUP BY genome_id, contig_id, position"
+)
+def margin_tags(spark, sf):
+    """Tags of an enzyme of one's own, given by anchors and margins."""
+    return dig.margin_digest(contigs(spark, sf), [_MARGINS])
+
+
 @query(_with(_tags_sql([e.name for e in enz.usable()])) + "SELECT genome_id, enzyme, count(*) AS n_tags, min(position) AS first, max(position) AS last FROM tags GROUP BY ALL")
 def tags_per_enzyme(spark, sf):
     t = dig.digest(contigs(spark, sf), enz.usable())
     return t.groupBy("genome_id", "enzyme").agg(F.count(F.lit(1)).alias("n_tags"), F.min("position").alias("first"), F.max("position").alias("last"))
 
 
-
 _lo = " + ".join(f"((CASE WHEN length(tag) >= {k + 1} THEN strpos('ACGT', substr(tag, {k + 1}, 1)) - 1 ELSE 0 END)::BIGINT << {2 * k})" for k in range(16))
 _hi = " + ".join(f"((CASE WHEN length(tag) >= {k + 17} THEN strpos('ACGT', substr(tag, {k + 17}, 1)) - 1 ELSE 0 END)::BIGINT << {2 * k})" for k in range(16))
 
@@ -485,7 +503,22 @@ def legacy_matches(spark, sf):
 
 @query()
 def legacy_blocks(spark, sf):
-    return legacy.blocks(all_matches(spark, sf))
+    return synteny.chained_blocks(all_matches(spark, sf))
+
+
+@query()
+def legacy_variants(spark, sf):
+    t = tags_once(spark, sf)
+    pairs = _unordered(spark, sf)
+    m = stored(legacy.match_all(t, pairs), "matches")
+    return synteny.variants(t, pairs, m, synteny.chained_blocks(m))
+
+
+@query()
+def legacy_summary(spark, sf):
+    t = tags_once(spark, sf)
+    pairs = _unordered(spark, sf)
+    return legacy_report.summary(stored(legacy.match_all(t, pairs), "matches"), t, pairs)
 
 
 @query()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions.sequence import gc_content
+from tagloom.functions.sequence import gc_content, unpack
 from tagloom.operators.enzymes import get
 
 SKETCH = ("genome_id", "contig_id", "contig_name", "contig_len", "gc", "enzyme", "position", "tag")
@@ -41,6 +41,12 @@ def contigs_of(sketches: DataFrame) -> DataFrame:
     return sketches.select("genome_id", "contig_id", "contig_name", F.col("contig_len").alias("length"), "gc").distinct()
 
 
+def one_enzyme_tags(packed: DataFrame, enzyme: str, genome_id: str = "sketch", length: int = 32) -> DataFrame:
+    """Tags (with strand) of packed rows (position, bits, direction: 0 is forward) without an enzyme table: all of one enzyme, on contig 0."""
+    strand = F.when(F.col("direction") == 0, "+").otherwise("-").alias("strand")
+    return packed.select(F.lit(genome_id).alias("genome_id"), F.lit(0).cast("long").alias("contig_id"), F.lit(enzyme).alias("enzyme"), F.col("position").cast("long").alias("position"), unpack(F.col("bits"), length).alias("tag"), strand)
+
+
 def refuse_equal_names(contigs: DataFrame, by: str = "source_file") -> None:
     """Two inputs of one name would overwrite each other."""
     twice = contigs.select("genome_id", by).distinct().groupBy("genome_id").count().where("count > 1").limit(1).collect()
