@@ -28,6 +28,20 @@ def test_odd_rows(spark):
     assert assign_shards(frame(spark).where("doc_id is null"), 2).count() == 1
 
 
+def test_ranges_within_ranges(spark):
+    """Many rows without an id, many of one id, and rows equal in all three."""
+    docs = [(None, "x" * (k % 97)) for k in range(300)] + [(5, f"{k} text") for k in range(300)] + [(5, "same")] * 400 + [(k, "y" * (k % 11)) for k in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for ranges, rows_a_range in ((8, 10), (3, 1), (2, 50), (256, 100_000)):
+        assert plain(assign_shards(df, 7, ranges, rows_a_range)) == brute(docs, 7)
+
+
+def test_equal_rows_beyond_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr("tagloom.llm.sharding.CHUNK", 16)
+    docs = [(1, "same")] * 100 + [(None, None)] * 33 + [(2, "z")] * 16
+    assert plain(assign_shards(spark.createDataFrame(docs, "doc_id long, text string"), 5, 2, 1)) == brute(docs, 5)
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = op3_sharding(spark, sf)
