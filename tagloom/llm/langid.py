@@ -28,7 +28,7 @@ from .common import slices, table, text_buffer
 ORDER = 3
 #: Documents learnt from, at most, for each language (those with the smallest hash of the id).
 SAMPLE = 2000
-#: Contexts of order 2 and 3 kept in the automaton, at most (the most frequent).
+#: Contexts of order 2 and 3 kept in the automaton, at most (those with the greatest sum of shares of each language's bytes).
 STATES = 16384
 UNIT = 1024
 PAD = 10
@@ -77,12 +77,12 @@ class Model:
         parts = {}
         for lang, (g, n) in grams.items():
             parts[lang] = [self.of[(g >> s) & 255] for s in (24, 16, 8, 0)] + [n.astype(np.float64)]
-        # contexts: 0 the empty one, 1..a-1 single symbols, then pairs and triples by frequency
-        three = np.zeros(a**3, np.int64)
-        two = np.zeros(a**2, np.int64)
+        # contexts: 0 the empty one, 1..a-1 single symbols, then pairs and triples by their shares of the languages' bytes, all languages alike
+        three = np.zeros(a**3)
+        two = np.zeros(a**2)
         for x, y, z, _, n in parts.values():
-            np.add.at(three, (x * a + y) * a + z, n.astype(np.int64))
-            np.add.at(two, y * a + z, n.astype(np.int64))
+            np.add.at(three, (x * a + y) * a + z, n / n.sum())
+            np.add.at(two, y * a + z, n / n.sum())
         keys = np.concatenate((np.flatnonzero(two), np.flatnonzero(three) + a * a))
         weight = np.concatenate((two[two > 0], three[three > 0]))
         keys = np.sort(keys[np.lexsort((keys, -weight))[:states]])
@@ -127,7 +127,7 @@ class Model:
         fill(0, below)
         for rows in (slice(1, a), slice(a, first3), slice(first3, self.n_states)):
             fill(rows, out[shorter[rows]])
-        return np.minimum(np.rint(out * UNIT), 32767).astype(np.int16).ravel()
+        return np.rint(out * UNIT).astype(np.int32).ravel()
 
     def lengths(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """Code length of each text in each language, int64[n, languages]."""
@@ -149,8 +149,11 @@ class Model:
 def learn(docs: DataFrame, sample: int = SAMPLE, states: int = STATES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts of at most ``sample`` labelled documents a language; rows with a null id, text or label teach nothing."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = d.select("id", "lang").distinct().withColumn("nth", nth).where(F.col("nth") <= sample).select("id", "lang")
+    ids = d.select("id", "lang").distinct().withColumn("hash", F.xxhash64("id"))
+    # first within 256 parts of a language, so that no task sorts all ids of one
+    for keys in (["lang", F.pmod("hash", F.lit(256))], ["lang"]):
+        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "id"))).where(F.col("nth") <= sample).select("id", "lang", "hash")
+    ids = ids.select("id", "lang")
     # at most ``sample`` ids a language
     rows = d.join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long")
     got = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])

@@ -57,6 +57,34 @@ def test_code_lengths_are_exact():
             assert abs(got[i, j] - brute_length(train[lang], t)) <= len(t.encode())
 
 
+def test_no_code_length_is_cut():
+    """A byte that only the escapes of all orders reach: more than 32 bits."""
+    train = {"a": ["a" * 20_000], "b": ["b" * 20_000 + "q"]}
+    m = Model({k: counts(v) for k, v in train.items()})
+    text = "a" * 10 + "q"
+    got = m.lengths(*text_buffer(pa.array([text])))[0]
+    for j, lang in enumerate(m.langs):
+        assert abs(got[j] - brute_length(train[lang], text)) <= len(text)
+    assert got[0] > 32 * UNIT
+
+
+def test_a_rare_language_keeps_its_contexts():
+    common = ["".join(chr(97 + (k * k + j * k) % 20) for k in range(400)) for j in range(60)]
+    m = Model({"common": counts(common), "rare": counts(["zvwzvwzvw"])}, states=40)
+    kept = m.state_of.reshape(m.symbols, m.symbols, m.symbols)
+    assert kept[m.of[122], m.of[118], m.of[119]] >= m.symbols
+
+
+def test_ids_are_those_of_the_smallest_hash(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(k, f"text {k} {'abc' * (k % 7)}", "x" if k % 10 else "y") for k in range(900)], "doc_id long, text string, lang string")
+    first = d.withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values("h").groupby("lang").head(50)
+    want = Model({x: counts(g.text.tolist()) for x, g in first.groupby("lang")})
+    got = learn(d, sample=50)
+    assert got.langs == want.langs and all((a == b).all() for a, b in zip(got.cost, want.cost))
+
+
 def test_pruning_keeps_shorter_contexts():
     train = {"a": counts(["the cat sat on the mat"]), "b": counts(["der hund und die katze"])}
     few, all_ = Model(train, states=5), Model(train)
