@@ -149,11 +149,13 @@ class Model:
 def learn(docs: DataFrame, sample: int = SAMPLE, states: int = STATES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts of at most ``sample`` labelled documents a language; rows with a null id, text or label teach nothing."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    ids = d.select("id", "lang").distinct().withColumn("hash", F.xxhash64("id"))
-    # first within 256 parts of a language, so that no task sorts all ids of one
-    for keys in (["lang", F.pmod("hash", F.lit(256))], ["lang"]):
-        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "id"))).where(F.col("nth") <= sample).select("id", "lang", "hash")
-    ids = ids.select("id", "lang")
+    ids = d.select("id", "lang").distinct().withColumn("hash", F.xxhash64("id")).withColumn("part", F.shiftright("hash", 48))
+    # the 65,536 parts of the hashes are counted first, so that only those with the smallest hashes are sorted
+    parts = ids.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")).where(F.col("before") < sample).select("lang", "part")
+    # at most ``sample`` parts a language
+    ids = ids.join(F.broadcast(parts), ["lang", "part"])
+    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))).where(F.col("nth") <= sample).select("id", "lang")
     # at most ``sample`` ids a language
     rows = d.join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long")
     got = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
