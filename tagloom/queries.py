@@ -15,7 +15,8 @@ from tagloom.functions import sequence as seq
 from tagloom.operators import anchors as anc
 from tagloom.operators import digest as dig
 from tagloom.operators import enzymes as enz
-from tagloom.operators import intervals, legacy, legacy_report, panel, report, screen, sv, synteny
+from tagloom.operators import fill, intervals, legacy, legacy_report, panel, report, screen, sv, synteny
+from tagloom.operators.chain import Config
 from tagloom.plans import commands
 from tagloom.sources import sketch as sk
 from tagloom.sources.fasta import BASES, LETTERS, document_contigs, text_contigs
@@ -383,48 +384,167 @@ def db_merge(spark, sf):
     return sk.db_list(sk.db_merge([mine, added])).select("genome_id", "n_contigs", "tag_count")
 
 
-# --- reports on literal rows -----------------------------------------------------------------
+# --- reports over whole rows of numbers: each line item stands for a result -------------------
 
-_CASES = [(0.972, 0.977, 0.963, 0.971, float("inf"), 0.66, 14, 3), (0.861, 0.912, 0.874, 0.941, 1.25, 0.37, 24, 13), (0.884, 0.897, 0.93, 0.902, 2.5, 0.15, 36, 7), (0.915, 0.921, 0.98, float("nan"), 1.75, 0.28, 800, 401), (0.908, 0.914, 0.957, 0.816, 3.5, 0.45, 640, 320)]
+_CASE_SQL = """c AS (SELECT l_orderkey AS id, l_linenumber AS line, 0.8 + l_discount AS het, 0.81 + l_tax AS uniform, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE 0.8 + l_tax END AS loss, CASE WHEN l_returnflag = 'R' THEN 'NaN'::DOUBLE ELSE 0.8 + l_discount END AS hist,
+CASE WHEN l_linestatus = 'O' THEN 'Infinity'::DOUBLE ELSE l_quantity / 8 END AS shape, l_quantity / 50 AS kept, l_suppkey AS n_anchors, l_partkey % 100 AS unconserved FROM lineitem)"""
 
 
-def _cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *c) for k, c in enumerate(_CASES)], "id int, het double, uniform double, loss double, hist double, shape double, kept double, n_anchors long, unconserved long")
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of a result, read off line items; some estimates are missing, some shapes infinite."""
+    nan, l = F.lit(float("nan")), table(spark, sf, "lineitem")
+    return l.select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (0.8 + F.col("l_discount")).alias("het"), (0.81 + F.col("l_tax")).alias("uniform"), F.when(F.col("l_linenumber") == 7, nan).otherwise(0.8 + F.col("l_tax")).alias("loss"), F.when(F.col("l_returnflag") == "R", nan).otherwise(0.8 + F.col("l_discount")).alias("hist"),
+        F.when(F.col("l_linestatus") == "O", F.lit(float("inf"))).otherwise(F.col("l_quantity") / 8).alias("shape"), (F.col("l_quantity") / 50).alias("kept"), F.col("l_suppkey").alias("n_anchors"), (F.col("l_partkey") % 100).alias("unconserved"),
+    )
 
 
-def _number(x: float) -> str:
-    return f"'{x}'::DOUBLE" if x != x or x in (float("inf"), float("-inf")) else f"{x}::DOUBLE"
-
-
-_CASE_SQL = "c(id, het, uniform, loss, hist, shape, kept, n_anchors, unconserved) AS (VALUES " + ", ".join(f"({k}, {', '.join(_number(x) for x in c[:6])}, {c[6]}, {c[7]})" for k, c in enumerate(_CASES)) + ")"
 _FALLBACK = "(isfinite(loss) AND isfinite(hist) AND abs(loss - hist) > 0.05 + 1e-12)"
 
 
-@query(_with(_CASE_SQL) + f"SELECT id, CASE WHEN {_FALLBACK} THEN uniform ELSE het END AS ani_gated, CASE WHEN {_FALLBACK} THEN 'uniform_fallback' WHEN isfinite(shape) THEN 'gamma' ELSE 'uniform' END AS gate, CASE WHEN isnan(kept) OR kept < 0.2 THEN 'BELOW_DETECTION' WHEN {_FALLBACK} OR unconserved / greatest(n_anchors, 1) > 0.5 THEN 'INCONSISTENT' ELSE 'ok' END AS flag FROM c")
+@query(_with(_CASE_SQL) + f"SELECT id, line, round(CASE WHEN {_FALLBACK} THEN uniform ELSE het END, 9) AS ani_gated, CASE WHEN {_FALLBACK} THEN 'uniform_fallback' WHEN isfinite(shape) THEN 'gamma' ELSE 'uniform' END AS gate, CASE WHEN isnan(kept) OR kept < 0.2 THEN 'BELOW_DETECTION' WHEN {_FALLBACK} OR unconserved / greatest(n_anchors, 1) > 0.5 THEN 'INCONSISTENT' ELSE 'ok' END AS flag FROM c")
 def gate_and_flag(spark, sf):
-    c = _cases(spark)
+    c = _cases(spark, sf)
     g = report.gated_estimate(F.col("het"), F.col("uniform"), F.col("loss"), F.col("hist"))
     fallback = g != F.col("het")
-    return c.select("id", g.alias("ani_gated"), report.gate_name(g, fallback, F.col("shape")).alias("gate"), report.flag(F.isnan("kept") | (F.col("kept") < 0.2), fallback | (F.col("unconserved") / F.greatest("n_anchors", F.lit(1)) > 0.5)).alias("flag"))
+    return c.select("id", "line", F.round(g, 9).alias("ani_gated"), report.gate_name(g, fallback, F.col("shape")).alias("gate"), report.flag(F.isnan("kept") | (F.col("kept") < 0.2), fallback | (F.col("unconserved") / F.greatest("n_anchors", F.lit(1)) > 0.5)).alias("flag"))
 
 
 @query(
-    _with(_CASE_SQL) + "SELECT id, round(" + f"{report.CALIBRATION['intercept']} + "
+    _with(_CASE_SQL) + "SELECT id, line, round(" + f"{report.CALIBRATION['intercept']} + "
     + " + ".join(f"({c!r} * ((CASE WHEN isfinite({x}) THEN {x} ELSE {m!r} END) - {mean!r}) / {s!r})" for x, mean, s, c, m in zip(["(het * 100)", "(uniform * 100)", "loss", "hist", "(shape * 100)", "kept", "n_anchors::DOUBLE", "unconserved::DOUBLE", "(n_anchors * 2)::DOUBLE"], report.CALIBRATION["means"], report.CALIBRATION["scales"], report.CALIBRATION["coefficients"], report.CALIBRATION["imputer_medians"]))
-    + ", 6) AS calibrated, round(het * 100 + 0.02 * (100 - het * 100) * (1 - kept), 6) AS debiased, round(het * 100 + 0.02 * (100 - het * 100) * (1 - kept) + 0.0001 * (100 - het * 100) * (100 - het * 100) * (1 - kept), 6) AS debiased_quadratic FROM c"
+    + ", 6) AS calibrated, round(het * 100 + 0.02 * (100 - het * 100) * (1 - kept), 10) AS debiased, round(het * 100 + 0.02 * (100 - het * 100) * (1 - kept) + 0.0001 * (100 - het * 100) * (100 - het * 100) * (1 - kept), 10) AS debiased_quadratic FROM c"
 )
 def calibration(spark, sf):
     x = [F.col("het") * 100, F.col("uniform") * 100, F.col("loss"), F.col("hist"), F.col("shape") * 100, F.col("kept"), F.col("n_anchors"), F.col("unconserved"), F.col("n_anchors") * 2]
-    d = lambda q: F.round(report.debias(F.col("het") * 100, F.col("kept"), q), 6)
-    return _cases(spark).select("id", F.round(report.calibrated(x), 6).alias("calibrated"), d(False).alias("debiased"), d(True).alias("debiased_quadratic"))
+    d = lambda q: F.round(report.debias(F.col("het") * 100, F.col("kept"), q), 10)
+    return _cases(spark, sf).select("id", "line", F.round(report.calibrated(x), 6).alias("calibrated"), d(False).alias("debiased"), d(True).alias("debiased_quadratic"))
 
 
 _TREES = [[{"feature": 0, "threshold": 0.9, "left": 1, "right": 2}, {"value": -0.2}, {"feature": 1, "threshold": 0.5, "left": 3, "right": 4}, {"value": 0.1}, {"value": 0.3}], [{"feature": 1, "threshold": 0.2, "left": 1, "right": 2}, {"value": 0.05}, {"value": -0.05}]]
 
 
-@query(_with(_CASE_SQL) + "SELECT id, round(greatest(0, least(1, 0.9 + 0.1 * (CASE WHEN het <= 0.9 THEN -0.2 WHEN kept <= 0.5 THEN 0.1 ELSE 0.3 END) + 0.1 * (CASE WHEN kept <= 0.2 THEN 0.05 ELSE -0.05 END))), 9) AS prediction FROM c")
+@query(_with(_CASE_SQL) + "SELECT id, line, round(greatest(0, least(1, 0.9 + 0.1 * (CASE WHEN het <= 0.9 THEN -0.2 WHEN kept <= 0.5 THEN 0.1 ELSE 0.3 END) + 0.1 * (CASE WHEN kept <= 0.2 THEN 0.05 ELSE -0.05 END)))::DOUBLE, 9) AS prediction FROM c")
 def tree_prediction(spark, sf):
-    return report.predict_trees(_cases(spark), ["het", "kept"], _TREES, 0.9, 0.1).select("id", F.round("prediction", 9).alias("prediction"))
+    return report.predict_trees(_cases(spark, sf), ["het", "kept"], _TREES, 0.9, 0.1).select("id", "line", F.round("prediction", 9).alias("prediction"))
+
+
+# --- first pass of a comparison: sources end to end, chains, tags in their spans ----------------
+
+_PLACED = """off AS (SELECT genome_id, contig_id, (sum(length(seq)) OVER (PARTITION BY genome_id ORDER BY contig_id) - length(seq))::BIGINT AS off FROM contigs),
+total AS (SELECT genome_id, sum(length(seq))::BIGINT AS bp FROM contigs GROUP BY ALL),
+pl AS (SELECT query, reference, orient, q_pos + a.off AS q, r_pos + b.off AS r, CASE orient WHEN '-' THEN -1 ELSE 1 END * (r_pos + b.off) AS s FROM anchors JOIN off a ON a.genome_id = query AND a.contig_id = q_contig JOIN off b ON b.genome_id = reference AND b.contig_id = r_contig),
+runs AS (SELECT query, reference, orient, list(q ORDER BY q, s) AS q, list(r ORDER BY q, s) AS r, list(s ORDER BY q, s) AS s, count(*) AS n FROM pl GROUP BY ALL HAVING n >= {least})"""
+_COST = "0.0005::DOUBLE * abs((q[i] - q[j]) - (s[i] - s[j])) + 0.05::DOUBLE * log2(abs((q[i] - q[j]) - (s[i] - s[j])) + 1)"
+# one row a step: an anchor is added to the programme, or the best path is taken and its anchors die
+_CHAINS = f"""st AS (
+  SELECT query, reference, orient, q, r, s, n, list_transform(q, lambda x: true) AS alive, 1::BIGINT AS i, []::DOUBLE[] AS score, []::BIGINT[][] AS path, NULL::BIGINT[] AS found, true AS go FROM runs
+  UNION ALL
+  SELECT query, reference, orient, q, r, s, n, CASE WHEN i <= n THEN alive ELSE list_transform(range(1, n + 1), lambda k: alive[k] AND NOT list_contains(top, k)) END, CASE WHEN i <= n THEN i + 1 ELSE 1 END,
+    CASE WHEN i <= n THEN list_append(score, CASE WHEN NOT alive[i] THEN '-inf'::DOUBLE WHEN best > 1 THEN best ELSE 1::DOUBLE END) ELSE [] END,
+    CASE WHEN i <= n THEN list_append(path, CASE WHEN alive[i] AND best > 1 THEN list_append(path[origin], i) ELSE [i] END) ELSE [] END,
+    CASE WHEN i > n AND high >= {{least}} THEN top END, i <= n OR high >= {{least}}
+  FROM (SELECT *, list_max(prev) AS best, greatest(1, i - 60) - 1 + list_position(prev, list_max(prev)) AS origin, list_max(score) AS high, path[list_position(score, list_max(score))] AS top
+    FROM (SELECT *, list_transform(range(greatest(1, i - 60), i), lambda j: CASE WHEN alive[j] AND q[i] > q[j] AND s[i] > s[j] AND q[i] - q[j] <= 50000 AND s[i] - s[j] <= 50000 THEN score[j] + 1 - ({_COST}) ELSE '-inf'::DOUBLE END) AS prev FROM st WHERE go))),
+ch AS (SELECT query, reference, row_number() OVER (PARTITION BY query, reference ORDER BY len(cq) DESC, cq[1], cr[1], orient) - 1 AS chain_id, orient, len(cq)::BIGINT AS n_anchors, cq, cr
+  FROM (SELECT query, reference, orient, list_transform(found, lambda k: q[k]) AS cq, list_transform(found, lambda k: r[k]) AS cr FROM st WHERE found IS NOT NULL))"""
+_STEP = "least(list_sort(list_transform(range(2, len({0}) + 1), lambda i: abs({0}[i] - {0}[i - 1])))[(len({0}) - 1) // 2 + 1] // 2, 10000)"
+_SPANS = f"""sp AS (SELECT query, reference, chain_id, 0::BIGINT AS q_contig, 0::BIGINT AS r_contig, orient, n_anchors, cq, cr, greatest(list_min(cq) - {_STEP.format('cq')}, 0) AS q_start, least(list_max(cq) + {_STEP.format('cq')}, a.bp) AS q_end, greatest(list_min(cr) - {_STEP.format('cr')}, 0) AS r_start, least(list_max(cr) + {_STEP.format('cr')}, b.bp) AS r_end, a.bp AS q_bp, b.bp AS r_bp
+  FROM ch JOIN total a ON a.genome_id = query JOIN total b ON b.genome_id = reference)"""
+_BLOCK_COLUMNS = "query, reference, chain_id, q_contig, r_contig, orient, n_anchors, q_start, q_end, r_start, r_end"
+
+
+def _recursive(*parts: str, least: int = 4) -> str:
+    """Chains of at least ``least`` anchors, and what is built on them."""
+    return _with(_tags_sql(), _HITS, _PLACED.replace("{least}", str(least)), _CHAINS.replace("{least}", str(least)), *parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def scaffold_anchors(spark: SparkSession, sf: str, t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Offsets of the documents in their source, the sources' lengths, and anchors at places of whole sources."""
+    c = contigs(spark, sf)
+    offsets = stored(fill.scaffold(c), "offsets")
+    lengths = c.groupBy("genome_id").agg(F.sum("length").alias("length")).select("genome_id", F.lit(0).cast("long").alias("contig_id"), "length")
+    a = anc.find_anchors(t, t, _unordered(spark, sf))
+    return offsets, lengths, fill.placed(fill.placed(a, offsets, "query", "q_contig", "q_pos"), offsets, "reference", "r_contig", "r_pos")
+
+
+def scaffold_spans(spark: SparkSession, sf: str, least: int = 4) -> DataFrame:
+    _, lengths, a = scaffold_anchors(spark, sf, tags_once(spark, sf))
+    return stored(fill.spanned(fill.collinear(a, Config(min_chain_anchors=least)), lengths, lengths), "chains")
+
+
+@query(_recursive(_SPANS) + f"SELECT {_BLOCK_COLUMNS}, list_aggregate(cq, 'string_agg', ',') AS q_places, list_aggregate(cr, 'string_agg', ',') AS r_places FROM sp")
+def scaffold_chains(spark, sf):
+    places = lambda side: F.array_join(F.transform(f"anchors.{side}_pos", lambda x: x.cast("string")), ",").alias(f"{side}_places")
+    return scaffold_spans(spark, sf).select(*_BLOCK_COLUMNS.split(", "), places("q"), places("r"))
+
+
+@query(_recursive(_SPANS, "cl AS (SELECT query, reference, count(*) AS n, sum(n_anchors)::BIGINT AS k, max(n_anchors) AS most, avg(n_anchors) AS mean FROM sp GROUP BY ALL)", "al AS (SELECT query, reference, count(*) AS n_all FROM pl GROUP BY ALL)") + "SELECT query, reference, n AS synteny_blocks, round(CASE WHEN k > 1 THEN (k - n) / (k - 1) ELSE 0 END, 9) AS synteny_score, n - 1 AS breakpoint_count, n_all - 1 - (k - n) AS unconserved, most AS max_block_anchors, round(mean, 9) AS mean_block_anchors FROM cl JOIN al USING (query, reference)")
+def scaffold_synteny(spark, sf):
+    _, _, a = scaffold_anchors(spark, sf, tags_once(spark, sf))
+    a = stored(a, "anchors")
+    s = intervals.synteny(fill.collinear(a), a)
+    return s.withColumn("synteny_score", F.round("synteny_score", 9)).withColumn("mean_block_anchors", F.round("mean_block_anchors", 9))
+
+
+def _union_sql(side: str) -> str:
+    """Covered base pairs of a side: gaps and islands over the chains' spans."""
+    a, b, w = f"{side}_start", f"{side}_end", f"OVER (PARTITION BY query, reference ORDER BY {side}_start, {side}_end"
+    return f"""{side}1 AS (SELECT *, max({b}) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sp),
+{side}2 AS (SELECT *, sum(CASE WHEN m IS NULL OR {a} > m THEN 1 ELSE 0 END) {w} ROWS UNBOUNDED PRECEDING) AS island FROM {side}1),
+{side}3 AS (SELECT query, reference, sum(bp)::BIGINT AS {side}_covered FROM (SELECT query, reference, island, max({b}) - min({a}) AS bp FROM {side}2 GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(_recursive(_SPANS, _union_sql("q"), _union_sql("r")) + "SELECT query, reference, q_covered, r_covered, round(q_covered / a.bp, 9) AS af_query, round(r_covered / b.bp, 9) AS af_reference FROM q3 JOIN r3 USING (query, reference) JOIN total a ON a.genome_id = query JOIN total b ON b.genome_id = reference")
+def scaffold_fractions(spark, sf):
+    """Aligned fractions of the pairs with chains."""
+    _, lengths, a = scaffold_anchors(spark, sf, tags_once(spark, sf))
+    chains = stored(fill.spanned(fill.collinear(a), lengths, lengths), "chains")
+    out = None
+    for side, genome, af in (("q", "query", "af_query"), ("r", "reference", "af_reference")):
+        c = intervals.covered(chains, ["query", "reference", f"{side}_contig"], f"{side}_start", f"{side}_end").select("query", "reference", F.col("covered_bp").alias(f"{side}_covered"))
+        c = c.join(lengths.select(F.col("genome_id").alias(genome), "length"), genome).withColumn(af, F.round(F.col(f"{side}_covered") / F.col("length"), 9)).drop("length")
+        out = c if out is None else out.join(c, ["query", "reference"])
+    return out.select("query", "reference", "q_covered", "r_covered", "af_query", "af_reference")
+
+
+@query(_recursive(_SPANS) + "SELECT query || ':0' AS q_name, q_bp AS q_len, q_start, q_end, orient AS strand, reference || ':0' AS r_name, r_bp AS r_len, r_start, r_end, least(n_anchors * 29, greatest(q_end - q_start, r_end - r_start)) AS n_match, greatest(q_end - q_start, r_end - r_start) AS aln_len, least(60, floor(10 * (n_anchors / (greatest(q_end - q_start, 1) / 1000))))::INT AS mapq FROM sp")
+def scaffold_paf(spark, sf):
+    _, lengths, a = scaffold_anchors(spark, sf, tags_once(spark, sf))
+    return sv.paf(fill.spanned(fill.collinear(a), lengths, lengths), lengths, lengths)
+
+
+_SV_SQL = """stp AS (SELECT *, unnest(range(1, n_anchors)) AS k FROM sp),
+wd AS (SELECT *, (cq[k + 1] - cq[k]) - CASE orient WHEN '-' THEN -1 ELSE 1 END * (cr[k + 1] - cr[k]) AS diff FROM stp),
+within AS (SELECT query, reference, CASE WHEN diff > 0 THEN 'insertion' ELSE 'deletion' END AS sv_type, q_contig, cq[k] AS q_start, cq[k + 1] AS q_end, r_contig, least(cr[k], cr[k + 1]) AS r_start, greatest(cr[k], cr[k + 1]) AS r_end, abs(diff) AS size, k AS support_left, n_anchors - k AS support_right FROM wd WHERE abs(diff) > 100),
+nb AS (SELECT *, coalesce(lag(n_anchors) OVER w, 0) AS l, coalesce(lead(n_anchors) OVER w, 0) AS g, cq[len(cq)] AS aq, cr[len(cr)] AS ar, lead(chain_id) OVER w AS b_id, lead(orient) OVER w AS bo, lead(cq[1]) OVER w AS bq, lead(cr[1]) OVER w AS br FROM sp WINDOW w AS (PARTITION BY query, reference ORDER BY q_start, q_end, chain_id)),
+inv AS (SELECT query, reference, 'inversion' AS sv_type, q_contig, q_start, q_end, r_contig, r_start, r_end, q_end - q_start AS size, l AS support_left, g AS support_right FROM nb WHERE orient = '-'),
+jn AS (SELECT *, bq - aq AS q_gap, CASE orient WHEN '-' THEN -1 ELSE 1 END * (br - ar) AS r_gap FROM nb WHERE b_id IS NOT NULL),
+trans AS (SELECT query, reference, 'translocation' AS sv_type, q_contig, aq AS q_start, greatest(aq, bq) AS q_end, r_contig, least(ar, br) AS r_start, greatest(ar, br) AS r_end, abs(r_gap) AS size, n_anchors AS support_left, g AS support_right FROM jn WHERE orient = bo AND r_gap < 0),
+gaps AS (SELECT query, reference, CASE WHEN q_gap > r_gap THEN 'insertion' ELSE 'deletion' END AS sv_type, q_contig, aq AS q_start, bq AS q_end, r_contig, least(ar, br) AS r_start, greatest(ar, br) AS r_end, abs(q_gap - r_gap) AS size, n_anchors AS support_left, g AS support_right FROM jn
+  WHERE orient = bo AND r_gap >= 0 AND abs(q_gap - r_gap) > 100 AND NOT EXISTS (SELECT 1 FROM sp o WHERE o.query = jn.query AND o.reference = jn.reference AND o.chain_id <> jn.chain_id AND o.chain_id <> jn.b_id AND len(list_filter(o.cr, lambda x: x > least(ar, br) AND x < greatest(ar, br))) > 0)),
+calls AS (SELECT * FROM within UNION ALL SELECT * FROM inv UNION ALL SELECT * FROM trans UNION ALL SELECT * FROM gaps)"""
+
+
+@query(_recursive(_SPANS, _SV_SQL, least=2) + "SELECT * FROM calls")
+def scaffold_variants(spark, sf):
+    """Variants of chains of two anchors and more, so that there are some to call."""
+    return sv.ordered(sv.detect(scaffold_spans(spark, sf, 2), indel_min=100))
+
+
+_FILL_SQL = f"""tp AS (SELECT t.genome_id, enzyme, position + off AS p, tag FROM tags t JOIN off USING (genome_id, contig_id)),
+stp AS (SELECT *, unnest(range(1, n_anchors)) AS k FROM ch),
+cand AS (SELECT query, reference, enzyme, p, tag, chain_id, orient, floor(cr[k] + (cr[k + 1] - cr[k]) * (p - cq[k]) / (cq[k + 1] - cq[k]))::BIGINT AS at, row_number() OVER (PARTITION BY query, reference, enzyme, p ORDER BY chain_id, k) AS nth FROM stp JOIN tp ON genome_id = query AND p >= cq[k] AND p <= cq[k + 1]),
+own AS (SELECT *, CASE orient WHEN '-' THEN {_RC.format('tag')} ELSE tag END AS s FROM cand WHERE nth = 1),
+near AS (SELECT o.query, o.reference, o.enzyme, o.p, min(hamming(o.s, t.tag)) AS mm FROM own o LEFT JOIN tp t ON t.genome_id = o.reference AND t.enzyme = o.enzyme AND abs(t.p - o.at) <= 3000 GROUP BY ALL)"""
+
+
+@query(_recursive(_FILL_SQL) + "SELECT query, reference, enzyme, count(CASE WHEN mm = 0 THEN 1 END) AS m0, count(CASE WHEN mm = 1 THEN 1 END) AS m1, count(CASE WHEN mm = 2 THEN 1 END) AS m2, count(CASE WHEN mm IS NULL OR mm > 2 THEN 1 END) AS n_miss FROM near GROUP BY ALL")
+def scaffold_strata(spark, sf):
+    t = tags_once(spark, sf)
+    offsets, _, a = scaffold_anchors(spark, sf, t)
+    p = stored(fill.placed(t.select("genome_id", "contig_id", "enzyme", "position", "tag"), offsets, "genome_id", "contig_id", "position"), "placed")
+    return fill.filled(stored(fill.claimed(stored(fill.collinear(a), "chains"), p), "claims"), p)
 
 
 # --- whole comparisons (no SQL: sequence programmes and likelihood fits) -----------------------
