@@ -152,7 +152,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE, states: int = STATES, id_col: s
     ids = d.select("id", "lang").distinct().withColumn("hash", F.xxhash64("id")).withColumn("part", F.shiftright("hash", 48))
     # the 65,536 parts of the hashes are counted first, so that only those with the smallest hashes are sorted
     parts = ids.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")).where(F.col("before") < sample).select("lang", "part")
+    # their prefix sums go by 256 blocks of 256 parts, so that no task holds all parts of a language
+    parts = parts.withColumn("block", F.shiftright("part", 8))
+    blocks = parts.groupBy("lang", "block").agg(F.sum("n").alias("all"))
+    blocks = blocks.select("lang", "block", (F.sum("all").over(Window.partitionBy("lang").orderBy("block")) - F.col("all")).alias("earlier")).where(F.col("earlier") < sample)
+    before = F.col("earlier") + F.sum("n").over(Window.partitionBy("lang", "block").orderBy("part")) - F.col("n")
+    # at most 256 blocks a language
+    parts = parts.join(F.broadcast(blocks), ["lang", "block"]).withColumn("before", before).where(F.col("before") < sample).select("lang", "part")
     # at most ``sample`` parts a language
     ids = ids.join(F.broadcast(parts), ["lang", "part"])
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))).where(F.col("nth") <= sample).select("id", "lang")
