@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, lines, neardup, packing, periods, phrases, pii, quality, sharding, tokencount, warc
+from . import langid, licenses, lines, neardup, packing, periods, phrases, pii, quality, resample, sharding, tokencount, warc
 
 QUERIES = {
     "op1_line_chunks": lines.op1_line_chunks,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_phrase_index": phrases.op10_phrase_index,
     "op11_periodic_runs": periods.op11_periodic_runs,
     "op12_token_counts": tokencount.op12_token_counts,
+    "op13_importance_resampling": resample.op13_importance_resampling,
     "op1_shared_runs": lines.op1_shared_runs,
 }
-SQL = lines.SQL | sharding.SQL | warc.SQL | neardup.SQL | phrases.SQL
+SQL = lines.SQL | sharding.SQL | warc.SQL | neardup.SQL | phrases.SQL | resample.SQL
