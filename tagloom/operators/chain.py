@@ -1,30 +1,11 @@
-"""Collinear chaining, fill, rescue and the result of one genome pair.
-
-All of it is local to a pair, so a pair is the unit of a grouped map: tags of
-both genomes and their anchors meet by (query, reference). Only screened pairs
-come this far.
-"""
+"""The collinear chains of one run of anchors: the sequential part of a comparison."""
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-from dataclasses import dataclass, field
+import heapq
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
-
-from tagloom.operators import estimate as est
-from tagloom.operators.anchors import find_anchors
-from tagloom.operators.digest import rank_tags, with_occurrences
-from tagloom.operators.enzymes import Enzyme, resolve
-from tagloom.operators.estimate import NAN, Stratum
-from tagloom.sources.scratch import spread, stored
-
-MIN_RETENTION = 0.20
 
 
 @dataclass(frozen=True)
@@ -40,294 +21,62 @@ class Config:
     max_occurrence: int = 5
 
 
-@dataclass
-class Chain:
-    q_contig: int
-    r_contig: int
-    orient: str
-    q: np.ndarray
-    r: np.ndarray
-    spans: tuple[int, int, int, int] = (0, 0, 0, 0)
-    anchors: int = field(default=0)
-
-
 def gap_penalty(d: np.ndarray) -> np.ndarray:
     return 0.0005 * d + 0.05 * np.log2(d + 1.0)
 
 
 def best_chains(q: np.ndarray, r: np.ndarray, rank: np.ndarray, max_skip: float, cfg: Config) -> list[np.ndarray]:
-    """Chains of a group of anchors (sorted by q, then r; r signed so that it must rise), as arrays of places.
+    """Chains of a run of anchors (sorted by q, then r; r signed so that it must rise), as arrays of places.
 
-    The best-scoring path is taken and its anchors die; then the programme runs
-    again on those alive, which look back over the same ``dp_window`` places,
-    dead ones included.
+    The best-scoring path is taken and its anchors die; then the best of those
+    alive, who look back over the same ``dp_window`` places, dead ones included.
+    A death changes only the anchors whose best path led through it, so these
+    alone are scored again, in order, and a heap holds the ends.
     """
-    n = len(q)
-    alive, out = np.ones(n, bool), []
-    w = cfg.dp_window
-    while alive.any():
-        score, back = np.where(alive, 1.0, -np.inf), np.full(n, -1)
-        for i in np.flatnonzero(alive):
-            j = np.arange(max(0, i - w), i)
-            dq, dr, skip = q[i] - q[j], r[i] - r[j], np.maximum(rank[i] - rank[j] - 1, 0)
-            ok = alive[j] & (dq > 0) & (dr > 0) & (dq <= cfg.max_gap) & (dr <= cfg.max_gap) & (skip <= max_skip)
-            if ok.any():
-                s = np.where(ok, score[j] + 1 - gap_penalty(np.abs(dq - dr)), -np.inf)
-                # of equal ones the farthest stays
-                k = int(np.argmax(s))
-                if s[k] > score[i]:
-                    score[i], back[i] = s[k], j[k]
-        end = int(np.argmax(score))
+    n, w = len(q), cfg.dp_window
+    alive, score, back = np.ones(n, bool), np.ones(n), np.full(n, -1)
+
+    def rescore(i: int) -> None:
+        lo = max(0, i - w)
+        dq, dr = q[i] - q[lo:i], r[i] - r[lo:i]
+        ok = alive[lo:i] & (dq > 0) & (dr > 0) & (dq <= cfg.max_gap) & (dr <= cfg.max_gap) & (rank[i] - rank[lo:i] - 1 <= max_skip)
+        score[i], back[i] = 1.0, -1
+        if ok.any():
+            s = np.where(ok, score[lo:i] + 1 - gap_penalty(np.abs(dq - dr)), -np.inf)
+            # of equal ones the farthest stays
+            k = int(np.argmax(s))
+            if s[k] > 1:
+                score[i], back[i] = s[k], lo + k
+
+    for i in range(n):
+        rescore(i)
+    ends = [(-x, i) for i, x in enumerate(score.tolist())]
+    heapq.heapify(ends)
+    out = []
+    while ends:
+        cost, end = heapq.heappop(ends)
+        if not alive[end] or -cost != score[end]:
+            continue  # dead, or scored again since
         if score[end] < cfg.min_chain_anchors:
             break
         path = []
         while end >= 0:
             path.append(end)
-            end = back[end]
+            end = int(back[end])
         alive[path] = False
         if len(path) >= cfg.min_chain_anchors:
             out.append(np.array(path[::-1]))
+        # what leaned on the path, and what leans on that
+        touched = [i for j in path for i in (j + 1 + np.flatnonzero(back[j + 1 : j + 1 + w] == j)).tolist()]
+        heapq.heapify(touched)
+        last = -1
+        while touched:
+            i = heapq.heappop(touched)
+            if i == last or not alive[i]:
+                continue
+            last = i
+            rescore(i)
+            heapq.heappush(ends, (-float(score[i]), i))
+            for k in (i + 1 + np.flatnonzero(back[i + 1 : i + 1 + w] == i)).tolist():
+                heapq.heappush(touched, k)
     return out
-
-
-def median_gap(x: np.ndarray) -> int:
-    """The upper median of the steps."""
-    return int(np.sort(np.abs(np.diff(x)))[(len(x) - 1) // 2]) if len(x) > 1 else 0
-
-
-def extend_span(lo: int, hi: int, by: int, length: int) -> tuple[int, int]:
-    by = min(by, 10_000)
-    return max(0, lo - by), min(hi + by, length) if length else hi + by
-
-
-def covered(spans: list[tuple[int, int, int]]) -> int:
-    """Base pairs in the union of (contig, start, end); touching spans are one."""
-    total, last, to = 0, None, 0
-    for c, a, b in sorted(spans):
-        if c != last or a > to:
-            total += b - a
-            last, to = c, b
-        elif b > to:
-            total += b - to
-            to = b
-    return total
-
-
-class Pair:
-    """One genome pair: tags as arrays, anchors grouped by (q_contig, r_contig, orient)."""
-
-    def __init__(self, q: pd.DataFrame, r: pd.DataFrame, anchors: pd.DataFrame, panel: list[Enzyme], cfg: Config) -> None:
-        self.cfg, self.panel = cfg, {e.name: e for e in panel}
-        self.q, self.anchors = q.reset_index(drop=True), anchors
-        self.q_len = dict(zip(q.contig, q.contig_len))
-        self.r_len = dict(zip(r.contig, r.contig_len))
-        self.q_total, self.r_total = (int(x.genome_len.iloc[0]) if len(x) else 0 for x in (q, r))
-        self.spacing = self.q_total / max(len(q), 1)
-        rank = {(c, p): k for c, p, k in zip(q.contig, q.position, q["rank"])}
-        self.groups = {}
-        for key, g in anchors.groupby(["q_contig", "r_contig", "orient"], sort=True):
-            sign = -1 if key[2] == "-" else 1
-            g = g.assign(s=g.r_pos * sign).sort_values(["q_pos", "s"], kind="stable")
-            self.groups[key] = (g.q_pos.to_numpy(), g.r_pos.to_numpy(), g.s.to_numpy(), np.array([rank[key[0], p] for p in g.q_pos]), g.mm.to_numpy(), g.uniq.to_numpy(bool))
-        letters = lambda tags: np.array([np.frombuffer(t.encode(), np.uint8) for t in tags])
-        flip = np.arange(256, dtype=np.uint8)
-        flip[[65, 67, 71, 84]] = [84, 71, 67, 65]
-        self.ref: dict = {}
-        for (e, c), g in r.sort_values("position", kind="stable").groupby(["enzyme", "contig"], sort=False):
-            fwd = letters(g.tag)
-            self.ref[e, c] = (g.position.to_numpy(), {"+": fwd, "-": flip[fwd[:, ::-1]]})
-        self.qry: dict = {}
-        for (e, c), g in self.q.sort_values("position", kind="stable").groupby(["enzyme", "contig"], sort=False):
-            self.qry[e, c] = (g.position.to_numpy(), letters(g.tag), g.index.to_numpy())
-        self.q_anchor_places = {c: np.unique(g.r_pos.to_numpy()) for c, g in anchors.groupby("r_contig")}
-
-    def chains(self, max_skip: float) -> list[Chain]:
-        out = []
-        for (qc, rc, o), (q, r, s, rank, _, _) in self.groups.items():
-            out += [Chain(qc, rc, o, q[p], r[p]) for p in best_chains(q, s, rank, max_skip, self.cfg)]
-        return sorted(out, key=lambda c: (-len(c.q), c.q_contig, c.q[0], c.r_contig, c.r[0], c.orient))
-
-    def _best(self, enzyme: str, r_contig: int, orient: str, tag: np.ndarray, at: float) -> int:
-        """Fewest mismatches with a reference tag within the window of a place."""
-        pos, tags = self.ref.get((enzyme, r_contig), (None, None))
-        if pos is None:
-            return 99
-        a, b = np.searchsorted(pos, max(0, int(max(at - self.cfg.local_window, 0)))), np.searchsorted(pos, int(max(at + self.cfg.local_window, 0)), side="right")
-        return int((tags[orient][a:b] != tag).sum(1).min()) if b > a else 99
-
-    def rescue_bases(self) -> dict[int, tuple]:
-        """A reference place for each short contig: its collinear group with the most unique anchors."""
-        count = self.q.groupby("contig").size()
-        short: dict[int, list] = defaultdict(list)
-        for (qc, rc, o), g in self.groups.items():
-            if count.get(qc, 0) < 8 * self.cfg.min_chain_anchors:
-                u = g[5]
-                if u.sum() >= 2 and (g[4][u] <= 1).any():
-                    short[qc].append((int(u.sum()), -int(g[4][u].sum()), rc, o, g[0][u], g[1][u], g[2][u]))
-        out = {}
-        for qc, found in short.items():
-            _, _, rc, o, q, r, s = max(found, key=lambda x: (x[0], x[1]))
-            if (np.diff(s) > 0).all() and (np.abs(np.diff(q - s)) <= self.cfg.max_gap).all():
-                out[qc] = (rc, o, q, r)
-        return out
-
-    def _bracket(self, r_contig: int, edge: int, way: int) -> int | None:
-        """Distance from an edge to the next anchor of the reference contig in one direction."""
-        x = self.q_anchor_places.get(r_contig, np.zeros(0, np.int64))
-        k = np.searchsorted(x, edge, side="right" if way > 0 else "left")
-        if way > 0:
-            return int(x[k] - edge) if k < len(x) else None
-        return int(edge - x[k - 1]) if k else None
-
-    def fill(self, chains: list[Chain], max_skip: float) -> tuple[list[Stratum], list, list]:
-        """Test every query tag in a chain's span, the largest chain first, against the reference tags near its place."""
-        cfg, tol = self.cfg, self.cfg.tolerance
-        hist = {e: [0] * (tol + 2) for e in self.panel}
-        claimed = np.zeros(len(self.q), bool)
-        q_spans, r_spans = [], []
-
-        def count(enzyme: str, best: int) -> None:
-            hist[enzyme][best if best <= tol else tol + 1] += 1
-
-        for c in chains:
-            up = np.argsort(c.r, kind="stable")
-            r_lo, r_hi = int(c.r[up[0]]), int(c.r[up[-1]])
-            qa, qb = extend_span(int(c.q[0]), int(c.q[-1]), median_gap(c.q) // 2, self.q_len.get(c.q_contig, 0))
-            ra, rb = extend_span(r_lo, r_hi, median_gap(c.r) // 2, self.r_len.get(c.r_contig, 0))
-            c.spans, c.anchors = (qa, qb, ra, rb), len(c.q)
-            q_spans.append((c.q_contig, qa, qb))
-            r_spans.append((c.r_contig, ra, rb))
-            for e in sorted(self.panel):
-                pos, tags, index = self.qry.get((e, c.q_contig), (np.zeros(0, np.int64), None, None))
-                a, b = np.searchsorted(pos, c.q[0]), np.searchsorted(pos, c.q[-1], side="right")
-                for k in range(a, b):
-                    if not claimed[index[k]]:
-                        claimed[index[k]] = True
-                        count(e, self._best(e, c.r_contig, c.orient, tags[k], float(np.interp(pos[k], c.q, c.r))))
-        if cfg.rescue:
-            tail = math.inf if math.isinf(max_skip) else (max_skip + 1) * self.spacing
-            for contig, (rc, o, q, r) in sorted(self.rescue_bases().items()):
-                sign = -1 if o == "-" else 1
-                reach = {-1: 0, 1: 0}
-                limit = {side: self._bracket(rc, int(r[0 if side < 0 else -1]), sign * side) for side in (-1, 1)}
-                any_ = False
-                for e in sorted(self.panel):
-                    pos, tags, index = self.qry.get((e, contig), (np.zeros(0, np.int64), None, None))
-                    for k in range(len(pos)):
-                        if claimed[index[k]]:
-                            continue
-                        side = -1 if pos[k] < q[0] else 1 if pos[k] > q[-1] else 0
-                        out = int(q[0] - pos[k]) if side < 0 else int(pos[k] - q[-1]) if side else 0
-                        if side and (limit[side] is None or limit[side] > tail or out > limit[side]):
-                            continue
-                        at = float(np.interp(pos[k], q, r)) if not side else float(r[0 if side < 0 else -1] + side * sign * out)
-                        claimed[index[k]], any_ = True, True
-                        if side:
-                            reach[side] = max(reach[side], out)
-                        count(e, self._best(e, rc, o, tags[k], max(int(at), 0)))
-                if any_:
-                    left, right = reach[-1], reach[1]
-                    q_spans.append((contig, *extend_span(int(q[0]) - left, int(q[-1]) + right, median_gap(q) // 2, self.q_len.get(contig, 0))))
-                    lo, hi = (right, left) if o == "-" else (left, right)
-                    r_spans.append((rc, *extend_span(max(0, int(r.min()) - lo), int(r.max()) + hi, median_gap(r) // 2, self.r_len.get(rc, 0))))
-        strata = [Stratum(e, min(p.tag_len, 32), p.exact_site, p.d2, p.d3, tuple(hist[e][: tol + 1]), hist[e][tol + 1]) for e, p in sorted(self.panel.items()) if sum(hist[e])]
-        return strata, q_spans, r_spans
-
-    def raw_strata(self) -> list[Stratum]:
-        """All rare query tags, found if they have an anchor, as one bin."""
-        rare = self.q[self.q.n <= self.cfg.max_occurrence]
-        has = set(zip(self.anchors.q_contig, self.anchors.q_pos, self.anchors.enzyme))
-        out = []
-        for e, g in rare.groupby("enzyme"):
-            found = sum((c, p, e) in has for c, p in zip(g.contig, g.position))
-            s = self.panel[e]
-            out.append(Stratum(e, min(s.tag_len, 32), s.exact_site, s.d2, s.d3, (found,) + (0,) * self.cfg.tolerance, len(g) - found))
-        return out
-
-    def synteny(self, chains: list[Chain]) -> dict:
-        n = len(self.anchors)
-        sizes = [len(c.q) for c in chains]
-        if not chains or n < 2:
-            return {"synteny_blocks": 0, "synteny_score": 0.0, "breakpoint_count": 0, "unconserved": 0, "max_block_anchors": 0, "mean_block_anchors": 0.0}
-        contigs = len({c.q_contig for c in chains})
-        kept, possible = sum(sizes) - len(sizes), sum(sizes) - contigs
-        return {"synteny_blocks": len(chains), "synteny_score": kept / possible if possible > 0 else 0.0, "breakpoint_count": len(chains) - contigs, "unconserved": n - self.anchors.q_contig.nunique() - kept, "max_block_anchors": max(sizes), "mean_block_anchors": sum(sizes) / len(sizes)}
-
-    def result(self) -> dict:
-        chains = self.chains(math.inf) if len(self.anchors) else []
-        if not chains:
-            return self._row([], [], [], [], est.upper_bound(self.raw_strata()))
-        strata, qs, rs = self.fill(chains, math.inf)
-        fit = est.estimate(strata)
-        p = est.retention(strata, fit.ani)
-        if self.cfg.adaptive_gap and math.isfinite(p) and 0 < p < 1:
-            skip = max(5.0, math.ceil(math.log(self.cfg.gap_alpha) / math.log1p(-p)))
-            again = self.chains(skip)
-            if again:
-                s2, q2, r2 = self.fill(again, skip)
-                if math.isfinite(est.estimate(s2).ani):
-                    chains, strata, qs, rs = again, s2, q2, r2
-        return self._row(chains, strata, qs, rs, est.upper_bound(strata))
-
-    def _row(self, chains: list[Chain], strata: list[Stratum], qs: list, rs: list, upper: float) -> dict:
-        fit = est.estimate(strata)
-        het, shape = est.estimate_heterogeneous(strata) if strata else (NAN, NAN)
-        gated, fallback = est.gated(het, fit.ani, fit.from_loss, fit.from_hist)
-        kept = est.retention(strata, fit.ani) if strata else NAN
-        agree, syn, n = est.agreement(strata), self.synteny(chains), len(self.anchors)
-        below = not math.isfinite(kept) or kept < MIN_RETENTION
-        unreliable = not chains or fallback or syn["unconserved"] / max(n, 1) > 0.5
-        return syn | {
-            "ani_het": het, "ani_uniform": fit.ani, "ani_gated": gated, "gate_fallback": fallback, "ani_upper95": upper, "std_err": fit.std_err, "het_shape": shape, "retention": kept,
-            "ani_from_loss": fit.from_loss, "ani_from_hist": fit.from_hist, "inconsistent": fit.inconsistent, "below_detection": below, "unreliable": unreliable,
-            "af_query": covered(qs) / max(self.q_total, 1), "af_reference": covered(rs) / max(self.r_total, 1),
-            "n_anchors": n, "n_chains": len(chains), "n_tags": fit.n_tags, "enzyme_mean": agree["mean"], "enzyme_spread": agree["spread"], "enzyme_chi2": agree["chi2"], "per_enzyme": agree["fits"],
-            "strata": [{"enzyme": s.enzyme, "tag_len": s.k, "body_len": s.body, "exact_site": s.exact, "d2": s.d2, "d3": s.d3, "hist": list(s.hist), "n_miss": s.miss} for s in strata],
-            "chains": [{"chain_id": k, "q_contig": c.q_contig, "r_contig": c.r_contig, "orient": c.orient, "q_start": c.spans[0], "q_end": c.spans[1], "r_start": c.spans[2], "r_end": c.spans[3], "n_anchors": len(c.q), "anchors": [{"q_pos": int(a), "r_pos": int(b)} for a, b in zip(c.q, c.r)]} for k, c in enumerate(chains)],
-        }
-
-
-RESULT = """query string, reference string, ani_het double, ani_uniform double, ani_gated double, gate_fallback boolean, ani_upper95 double, std_err double, het_shape double, retention double,
-ani_from_loss double, ani_from_hist double, inconsistent boolean, below_detection boolean, unreliable boolean, af_query double, af_reference double, n_anchors long, n_chains long, n_tags long,
-enzyme_mean double, enzyme_spread double, enzyme_chi2 double, synteny_blocks long, synteny_score double, breakpoint_count long, unconserved long, max_block_anchors long, mean_block_anchors double,
-per_enzyme array<struct<enzyme:string,ani:double,std_err:double,n_tags:long>>,
-strata array<struct<enzyme:string,tag_len:int,body_len:int,exact_site:int,d2:int,d3:int,hist:array<long>,n_miss:long>>,
-chains array<struct<chain_id:int,q_contig:long,r_contig:long,orient:string,q_start:long,q_end:long,r_start:long,r_end:long,n_anchors:long,anchors:array<struct<q_pos:long,r_pos:long>>>>"""
-
-
-def compare(query_tags: DataFrame, reference_tags: DataFrame, contigs: DataFrame, pairs: DataFrame, panel: list[Enzyme] | None = None, cfg: Config = Config()) -> DataFrame:
-    """One result row for each of ``pairs`` (query, reference).
-
-    contigs: genome_id, contig_id, length of all genomes. Pairs without anchors or
-    chains have NaN estimates, are below detection and carry the bound only.
-    """
-    panel = resolve() if panel is None else panel
-    anchors = find_anchors(query_tags, reference_tags, pairs, panel, cfg.tolerance, cfg.max_occurrence)
-    # lengths are all that is needed of the sequences from here on
-    lengths = stored(spread(contigs).select("genome_id", "contig_id", F.col("length").alias("contig_len")), "lengths")
-    lengths = lengths.join(lengths.groupBy("genome_id").agg(F.sum("contig_len").alias("genome_len")), "genome_id")
-    def side(tags: DataFrame, role: str, kind: int) -> DataFrame:
-        t = rank_tags(with_occurrences(tags), panel).join(lengths, ["genome_id", "contig_id"]).withColumnRenamed("genome_id", role)
-        null = lambda kind_: F.lit(None).cast(kind_)
-        return t.join(pairs.select("query", "reference"), role).select("query", "reference", F.lit(kind).alias("kind"), "enzyme", F.col("contig_id").alias("contig"), "position", "tag", F.col("tag_rank").alias("rank"), "n", "contig_len", "genome_len", null("long").alias("r_contig"), null("long").alias("r_pos"), null("string").alias("orient"), null("int").alias("mm"), null("boolean").alias("uniq"))
-
-    null = lambda kind_: F.lit(None).cast(kind_)
-    links = anchors.select("query", "reference", F.lit(0).alias("kind"), "enzyme", F.col("q_contig").alias("contig"), F.col("q_pos").alias("position"), null("string").alias("tag"), null("long").alias("rank"), null("long").alias("n"), null("long").alias("contig_len"), null("long").alias("genome_len"), "r_contig", "r_pos", "orient", F.col("mm").cast("int").alias("mm"), "uniq")
-    rows = links.unionByName(side(query_tags, "query", 1)).unionByName(side(reference_tags, "reference", 2))
-    # a pair whose genomes have no tags still gets its row
-    rows = rows.unionByName(pairs.select("query", "reference", F.lit(3).alias("kind"), *[null(t).alias(c) for c, t in rows.dtypes[3:]]))
-
-    names = StructType.fromDDL(RESULT).names
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf.kind == 0].rename(columns={"contig": "q_contig", "position": "q_pos"}).astype({c: "int64" for c in ("q_contig", "q_pos", "r_contig", "r_pos", "mm")})
-        q, r = (pdf[pdf.kind == k].astype({c: "int64" for c in ("contig", "position", "rank", "n", "contig_len", "genome_len")}).sort_values(["contig", "rank"]) for k in (1, 2))
-        row = {"query": key[0], "reference": key[1]} | Pair(q, r, a.sort_values(["q_contig", "q_pos", "r_contig", "r_pos", "orient"]), panel, cfg).result()
-        return pd.DataFrame([[row[n] for n in names]], columns=names)
-
-    # the work of a pair is out of proportion to its bytes, so pairs are dealt out by number, which adaptive coalescing leaves alone
-    spark = pairs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    found = rows.repartition(n, "query", "reference").groupBy("query", "reference").applyInPandas(run, RESULT)
-    # pandas has no difference between NaN and null; an estimate that cannot be made is NaN
-    return found.select(*[F.coalesce(F.col(f.name), F.lit(NAN)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in StructType.fromDDL(RESULT)])

@@ -159,6 +159,13 @@ def rank_tags(tags: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
     return tags.withColumn("tag_rank", (F.row_number().over(Window.partitionBy("genome_id").orderBy("contig_id", "position", place)) - 1).cast("long"))
 
 
+def rank_in_contig(tags: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
+    """tag_rank from 0 by position within a contig: what counts the tags that a step on it skips; at one position by the order of the panel, then the name."""
+    order = {e.name: k for k, e in enumerate(resolve() if panel is None else panel)}
+    place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("enzyme")), F.lit(len(order)))
+    return tags.withColumn("tag_rank", (F.row_number().over(Window.partitionBy("genome_id", "contig_id").orderBy("position", place, "enzyme")) - 1).cast("long"))
+
+
 def kmers(contigs: DataFrame, k: int = 15) -> DataFrame:
     """Distinct canonical k-mers of each contig (genome_id, contig_id, kmer), k at most 31; windows with other letters are skipped.
 

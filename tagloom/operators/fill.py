@@ -1,7 +1,7 @@
 """Chains of anchors and the tags within their spans, as plans over all pairs at once.
 
-This is the first pass of a comparison: no limit of skipped tags, no second pass,
-no rescue of short contigs. Only the chain programme of a run of anchors is Python.
+The steps of a comparison: ``compare`` takes them twice, with limits and rescue.
+Only the chain programme of a run of anchors is Python.
 """
 
 from __future__ import annotations
@@ -37,36 +37,44 @@ def placed(rows: DataFrame, offsets: DataFrame, genome: str, contig: str, at: st
     return rows.join(o, [genome, contig]).withColumn(at, F.col(at) + F.col("offset")).withColumn(contig, F.lit(0).cast("long")).drop("offset")
 
 
-_FOUND = "query string, reference string, q_contig long, r_contig long, orient string, anchors array<struct<q_pos:long,r_pos:long>>"
+_FOUND = "query string, reference string, q_contig long, r_contig long, orient string, widest long, anchors array<struct<q_pos:long,r_pos:long>>"
+GROUP = ["query", "reference", "q_contig", "r_contig", "orient"]
 
 
-def collinear(anchors: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The chains of each pair, numbered from the largest; equal ones by their first places.
+def numbered(chains: DataFrame) -> DataFrame:
+    """The chains of each pair, numbered from the largest; equal ones by their first places."""
+    first = F.col("anchors")[0]
+    order = Window.partitionBy("query", "reference").orderBy(F.desc("n_anchors"), "q_contig", first["q_pos"], "r_contig", first["r_pos"], "orient")
+    return chains.withColumn("chain_id", (F.row_number().over(order) - 1).cast("long")).select("query", "reference", "chain_id", "q_contig", "r_contig", "orient", "n_anchors", "widest", "anchors")
+
+
+def collinear(anchors: DataFrame, cfg: Config = Config(), limits: DataFrame | None = None) -> DataFrame:
+    """The numbered chains of each pair, with the most query tags that a step of a chain skips (``widest``).
 
     Anchors of one contig pair and strand are cut where a step on the query is wider than
     ``max_gap``: no chain goes across, so each run is a group of its own. A run of too few
-    anchors never reaches Python.
+    anchors never reaches Python. limits (query, reference, max_skip): the most tags that a step
+    may skip, by the anchors' ``q_rank``; pairs without a limit have none.
     """
-    keys = ["query", "reference", "q_contig", "r_contig", "orient"]
-    w = Window.partitionBy(*keys).orderBy("q_pos")
-    a = anchors.select(*keys, "q_pos", "r_pos").withColumn("_new", (F.col("q_pos") - F.lag("q_pos").over(w) > cfg.max_gap).cast("int"))
+    w = Window.partitionBy(*GROUP).orderBy("q_pos")
+    rank = F.col("q_rank") if "q_rank" in anchors.columns else F.lit(0).cast("long")
+    a = anchors.select(*GROUP, "q_pos", "r_pos", rank.alias("rank")).withColumn("_new", (F.col("q_pos") - F.lag("q_pos").over(w) > cfg.max_gap).cast("int"))
     a = a.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w))
-    runs = a.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct("q_pos", F.when(F.col("orient") == "-", -F.col("r_pos")).otherwise(F.col("r_pos")).alias("s")))).alias("a"))
+    runs = a.groupBy(*GROUP, "_run").agg(F.sort_array(F.collect_list(F.struct("q_pos", F.when(F.col("orient") == "-", -F.col("r_pos")).otherwise(F.col("r_pos")).alias("s"), "rank"))).alias("a"))
     runs = runs.where(F.size("a") >= cfg.min_chain_anchors)
+    runs = runs.withColumn("max_skip", F.lit(float("inf"))) if limits is None else runs.join(limits.select("query", "reference", "max_skip"), ["query", "reference"], "left").fillna(float("inf"), ["max_skip"])
 
     def chains(frames):
         for pdf in frames:
             rows = []
             for x in pdf.itertuples():
-                q, s = (np.array([p[k] for p in x.a], np.int64) for k in ("q_pos", "s"))
-                for path in best_chains(q, s, np.zeros(len(q), np.int64), np.inf, cfg):
-                    rows.append((x.query, x.reference, x.q_contig, x.r_contig, x.orient, [{"q_pos": int(q[k]), "r_pos": int(abs(s[k]))} for k in path]))
-            yield pd.DataFrame(rows, columns=[*keys, "anchors"])
+                q, s, rank = (np.array([p[k] for p in x.a], np.int64) for k in ("q_pos", "s", "rank"))
+                for path in best_chains(q, s, rank, x.max_skip, cfg):
+                    rows.append((*(getattr(x, k) for k in GROUP), max(int(np.diff(rank[path]).max(initial=1)) - 1, 0), [{"q_pos": int(q[k]), "r_pos": int(abs(s[k]))} for k in path]))
+            yield pd.DataFrame(rows, columns=[*GROUP, "widest", "anchors"])
 
-    found = runs.select(F.col("query").cast("string"), F.col("reference").cast("string"), F.col("q_contig").cast("long"), F.col("r_contig").cast("long"), "orient", "a").mapInPandas(chains, _FOUND)
-    first = F.col("anchors")[0]
-    order = Window.partitionBy("query", "reference").orderBy(F.desc("n_anchors"), "q_contig", first["q_pos"], "r_contig", first["r_pos"], "orient")
-    return found.withColumn("n_anchors", F.size("anchors").cast("long")).withColumn("chain_id", (F.row_number().over(order) - 1).cast("long")).select("query", "reference", "chain_id", "q_contig", "r_contig", "orient", "n_anchors", "anchors")
+    found = runs.select(F.col("query").cast("string"), F.col("reference").cast("string"), F.col("q_contig").cast("long"), F.col("r_contig").cast("long"), "orient", "max_skip", "a").mapInPandas(chains, _FOUND)
+    return numbered(found.withColumn("n_anchors", F.size("anchors").cast("long")))
 
 
 def spanned(chains: DataFrame, q_lengths: DataFrame, r_lengths: DataFrame) -> DataFrame:
@@ -78,23 +86,25 @@ def spanned(chains: DataFrame, q_lengths: DataFrame, r_lengths: DataFrame) -> Da
         at = F.col(f"anchors.{side}_pos")
         lo, hi = intervals.extend_span(F.array_min(at), F.array_max(at), F.floor(intervals.upper_median_gap(at) / 2), F.col(f"_{side}"))
         out = out.withColumn(f"{side}_start", lo).withColumn(f"{side}_end", hi)
-    return out.select(*chains.columns, "q_start", "q_end", "r_start", "r_end")
+    return out.select("query", "reference", "chain_id", "q_contig", "r_contig", "orient", "n_anchors", "anchors", "q_start", "q_end", "r_start", "r_end")
 
 
 def claimed(chains: DataFrame, tags: DataFrame) -> DataFrame:
     """Query tags between the first and last anchor of a chain, each by its pair's largest such chain, with the reference place they map to.
 
     Steps of a chain are at most ``max_gap`` wide, so the range join is an equi-join
-    on the few bins that a step covers. tags: genome_id, contig_id, enzyme, position, tag.
+    on the few bins that a step covers. tags: genome_id, contig_id, enzyme, position,
+    and what else is to be carried along.
     """
     step = chains.select("query", "reference", "chain_id", "q_contig", "r_contig", "orient", F.explode(F.arrays_zip(F.slice("anchors", 1, F.size("anchors") - 1).alias("a"), F.slice("anchors", 2, F.size("anchors") - 1).alias("b"))).alias("s"))
     step = step.select("query", "reference", "chain_id", "q_contig", "r_contig", "orient", F.col("s.a.q_pos").alias("q0"), F.col("s.b.q_pos").alias("q1"), F.col("s.a.r_pos").alias("r0"), F.col("s.b.r_pos").alias("r1"))
     step = step.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("q0") / _BIN), F.floor(F.col("q1") / _BIN))))
-    t = tags.select(F.col("genome_id").alias("query"), F.col("contig_id").alias("q_contig"), "enzyme", "position", "tag", F.floor(F.col("position") / _BIN).alias("_bin"))
+    more = [c for c in tags.columns if c not in ("genome_id", "contig_id", "enzyme", "position")]
+    t = tags.select(F.col("genome_id").alias("query"), F.col("contig_id").alias("q_contig"), "enzyme", "position", *more, F.floor(F.col("position") / _BIN).alias("_bin"))
     j = step.join(t, ["query", "q_contig", "_bin"]).where("position >= q0 and position <= q1")
     at = F.floor(F.col("r0") + (F.col("r1") - F.col("r0")) * (F.col("position") - F.col("q0")) / (F.col("q1") - F.col("q0")))
-    first = F.min(F.struct("chain_id", "q0", "r_contig", "orient", at.alias("at"))).alias("c")
-    return j.groupBy("query", "reference", "q_contig", "enzyme", "position", "tag").agg(first).select("query", "reference", "q_contig", "enzyme", "position", "tag", "c.chain_id", "c.r_contig", "c.orient", "c.at")
+    first = F.min(F.struct("chain_id", "q0", "r_contig", "orient", at.alias("at"), *more)).alias("c")
+    return j.groupBy("query", "reference", "q_contig", "enzyme", "position").agg(first).select("query", "reference", "q_contig", "enzyme", "position", *[f"c.{c}" for c in more], "c.chain_id", "c.r_contig", "c.orient", "c.at")
 
 
 def filled(claims: DataFrame, tags: DataFrame, cfg: Config = Config()) -> DataFrame:

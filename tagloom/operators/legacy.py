@@ -60,8 +60,9 @@ def match_all(tags: DataFrame, pairs: DataFrame, panel: list[Enzyme] | None = No
     Distinct tags are compared, each once; a pair of them brings the list of its
     places on either side, so copies add rows to neither the join nor the shuffle.
     """
-    cut = tags.select("enzyme", "tag").distinct().select("enzyme", "tag", F.explode(parts(F.col("tag"), resolve() if panel is None else panel, tolerance)).alias("p")).select("enzyme", "tag", "p.part", "p.bits")
-    close = cut.join(cut.withColumnRenamed("tag", "other"), ["enzyme", "part", "bits"]).withColumn("mm", packed_mismatches(pack(F.col("tag")), pack(F.col("other")))).where(F.col("mm") <= tolerance).select("enzyme", "tag", "other", "mm").distinct()
+    cut = tags.where(F.col("enzyme").isin([e.name for e in (resolve() if panel is None else panel)])).select("enzyme", "tag").distinct().select("enzyme", "tag", pack(F.col("tag")).alias("x"))
+    cut = cut.select("enzyme", "tag", "x", F.inline(parts(F.col("x"), F.length("tag"), tolerance)))
+    close = cut.join(cut.withColumnsRenamed({"tag": "other", "x": "y"}), ["enzyme", "part", "bits"]).withColumn("mm", packed_mismatches(F.col("x"), F.col("y"))).where(F.col("mm") <= tolerance).select("enzyme", "tag", "other", "mm").distinct()
     places = tags.groupBy("genome_id", "enzyme", "tag").agg(F.collect_list(F.struct(F.col("contig_id").alias("contig"), F.col("position").alias("pos"))).alias("places"))
     q = pairs.select("query", "reference").join(places.select(F.col("genome_id").alias("query"), "enzyme", "tag", F.col("places").alias("q_places")), "query")
     both = q.join(close, ["enzyme", "tag"]).join(places.select(F.col("genome_id").alias("reference"), "enzyme", F.col("tag").alias("other"), F.col("places").alias("r_places")), ["reference", "enzyme", "other"])

@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.estimate import Stratum, estimate_heterogeneous
+from tagloom.operators import fits
+from tagloom.operators.anchors import TOLERANCE
 
 
-def estimates(strata: DataFrame, panels: dict[str, list[str] | None]) -> DataFrame:
-    """query, reference, panel, ani (percent): the heterogeneous fit on each panel's strata (None: all enzymes)."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [Stratum(r.enzyme, int(r.tag_len), int(r.exact_site), int(r.d2), int(r.d3), tuple(int(x) for x in r.hist), int(r.n_miss)) for r in pdf.itertuples()]
-        rows = []
-        for name, enzymes in panels.items():
-            s = [x for x in own if enzymes is None or x.enzyme in enzymes]
-            rows.append((*key, name, 100 * estimate_heterogeneous(s)[0] if s else math.nan))
-        return pd.DataFrame(rows, columns=["query", "reference", "panel", "ani"])
-
-    return strata.groupBy("query", "reference").applyInPandas(run, "query string, reference string, panel string, ani double")
+def estimates(strata: DataFrame, panels: dict[str, list[str] | None], tolerance: int = TOLERANCE) -> DataFrame:
+    """query, reference, panel, ani (percent): the heterogeneous fit on each panel's strata (None: all enzymes); NaN where a pair has none of them."""
+    arrays = fits.gathered(strata, ["query", "reference"], tolerance)
+    own = lambda names: F.col("s") if names is None else F.filter("s", lambda t: t["enzyme"].isin(names))
+    rows = arrays.select("query", "reference", F.inline(F.array(*[F.struct(F.lit(n).alias("panel"), own(names).alias("s")) for n, names in panels.items()])))
+    f = fits.Fits(F.col("s"), tolerance)
+    ani = fits.let(f.uniform(), f.heterogeneous)["ani"]
+    return fits.dealt(rows).select("query", "reference", "panel", fits.once(F.struct((100 * ani).alias("ani"))))
 
 
 def score(estimated: DataFrame, truth: DataFrame) -> DataFrame:

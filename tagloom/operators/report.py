@@ -95,10 +95,9 @@ def best_first(rows: DataFrame, min_ani: float = 0.8) -> DataFrame:
     return hits.withColumn("hit", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ani_gated"), "reference")))
 
 
-def strata_rows(results: DataFrame) -> DataFrame:
+def strata_rows(strata: DataFrame) -> DataFrame:
     """query, reference, enzyme, tag_len, body_len, n_miss, hist (comma list)."""
-    s = results.select("query", "reference", F.inline("strata"))
-    return s.select("query", "reference", "enzyme", "tag_len", "body_len", "n_miss", F.array_join(F.transform("hist", lambda x: x.cast("string")), ",").alias("hist"))
+    return strata.select("query", "reference", "enzyme", "tag_len", "body_len", "n_miss", F.array_join(F.transform("hist", lambda x: x.cast("string")), ",").alias("hist"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 CALLS = ("query", "reference", "sv_type", "q_contig", "q_start", "q_end", "r_contig", "r_start", "r_end", "size", "support_left", "support_right")
 
 
-def chain_table(results: DataFrame) -> DataFrame:
-    """query, reference and the fields of each chain."""
-    return results.select("query", "reference", F.inline("chains"))
-
-
 def within_chain(chains: DataFrame, indel_min: int = 1000) -> DataFrame:
     """Neighbouring anchors whose steps on query and reference differ by more than ``indel_min``."""
     a = chains.select("query", "reference", "chain_id", "q_contig", "r_contig", "orient", "n_anchors", F.posexplode("anchors").alias("i", "a"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators import report, sv
-from tagloom.operators.chain import Config, compare
+from tagloom.operators.chain import Config
+from tagloom.operators.compare import Comparison, compare
 from tagloom.operators.digest import digest
 from tagloom.operators.enzymes import DEFAULT_PANEL, Enzyme, resolve
 from tagloom.operators.screen import MIN_CONTAINMENT, MIN_SHARED, WINDOW, screen_keys, screen_pairs
@@ -49,7 +50,7 @@ def screened(q: Genomes, r: Genomes | None = None, window: int = WINDOW, min_sha
     return pairs.where((F.col("verdict") == "pass") & (F.col("approx_ani") >= min_approx))
 
 
-def results(q: Genomes, r: Genomes, pairs: DataFrame, cfg: Config = Config()) -> DataFrame:
+def results(q: Genomes, r: Genomes, pairs: DataFrame, cfg: Config = Config()) -> Comparison:
     lengths = q.contigs.select("genome_id", "contig_id", "length")
     if r is not q:
         lengths = lengths.unionByName(r.contigs.select("genome_id", "contig_id", "length")).dropDuplicates(["genome_id", "contig_id"])
@@ -59,26 +60,26 @@ def results(q: Genomes, r: Genomes, pairs: DataFrame, cfg: Config = Config()) ->
 
 def ani(q: Genomes, r: Genomes, cfg: Config = Config(), calibrate: bool = False, verbose: bool = False) -> DataFrame:
     """Every query against every reference, without a screen."""
-    return report.ani_rows(results(q, r, cross_pairs(q, r), cfg), calibrate, verbose)
+    return report.ani_rows(results(q, r, cross_pairs(q, r), cfg).pairs, calibrate, verbose)
 
 
 def dist(q: Genomes, r: Genomes, min_ani: float = 0.0, min_approx: float = 0.0, cfg: Config = Config(), **screen) -> DataFrame:
     """Screened pairs, refined; with min_ani > 0 only those that reach it."""
-    rows = report.ani_rows(results(q, r, screened(q, r, min_approx=min_approx, **screen), cfg))
+    rows = report.ani_rows(results(q, r, screened(q, r, min_approx=min_approx, **screen), cfg).pairs)
     return rows.where(~F.isnan("ani_gated") & (F.col("ani_gated") >= 100 * min_ani)) if min_ani > 0 else rows
 
 
 def search(q: Genomes, r: Genomes, min_ani: float = 0.8, cfg: Config = Config(), **screen) -> DataFrame:
     """Hits of each query, the best first."""
-    return report.best_first(report.ani_rows(results(q, r, screened(q, r, **screen), cfg)), min_ani)
+    return report.best_first(report.ani_rows(results(q, r, screened(q, r, **screen), cfg).pairs), min_ani)
 
 
 def triangle(g: Genomes, cfg: Config = Config(), **screen) -> DataFrame:
     """All unordered pairs that pass the screen, refined; report.edges and report.matrix give its two forms."""
-    return report.ani_rows(results(g, g, screened(g, **screen), cfg))
+    return report.ani_rows(results(g, g, screened(g, **screen), cfg).pairs)
 
 
 def struct(q: Genomes, r: Genomes, indel_min: int = 1000, rearrangement: bool = False, indel: bool = False, pairs: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
     """Structural variants of the pairs (all, unless given)."""
     found = results(q, r, cross_pairs(q, r) if pairs is None else pairs, cfg)
-    return sv.detect(stored(sv.chain_table(found), "chains"), indel_min, rearrangement, indel)
+    return sv.detect(found.chains, indel_min, rearrangement, indel)

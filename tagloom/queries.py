@@ -17,6 +17,7 @@ from tagloom.operators import digest as dig
 from tagloom.operators import enzymes as enz
 from tagloom.operators import fill, intervals, legacy, legacy_report, panel, report, screen, sv, synteny
 from tagloom.operators.chain import Config
+from tagloom.operators.compare import Comparison
 from tagloom.plans import commands
 from tagloom.sources import sketch as sk
 from tagloom.sources.fasta import BASES, LETTERS, document_contigs, text_contigs
@@ -256,13 +257,10 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
     return anc.find_anchors(t, t, _unordered(spark, sf))
 
 
-_NO_LIMIT = 1 << 62
-
-
 def all_anchors(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of all tags: the older path knows no limit of occurrences or buckets."""
     t = tags_once(spark, sf)
-    return anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=_NO_LIMIT, max_bucket=_NO_LIMIT)
+    return anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)
 
 
 def all_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,7 +333,7 @@ def median_gaps(spark, sf):
 @query(_with(_tags_sql(), _HITS) + "SELECT t.genome_id, t.enzyme, t.contig_id, t.position FROM tags t WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.query = t.genome_id AND a.q_contig = t.contig_id AND a.q_pos = t.position AND a.enzyme = t.enzyme)")
 def unmatched_tags(spark, sf):
     t = tags_once(spark, sf)
-    return legacy.unmatched(t, anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=_NO_LIMIT, max_bucket=_NO_LIMIT)).select("genome_id", "enzyme", "contig_id", "position")
+    return legacy.unmatched(t, anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)).select("genome_id", "enzyme", "contig_id", "position")
 
 
 @query(
@@ -547,27 +545,27 @@ def scaffold_strata(spark, sf):
     return fill.filled(stored(fill.claimed(stored(fill.collinear(a), "chains"), p), "claims"), p)
 
 
-# --- whole comparisons (no SQL: sequence programmes and likelihood fits) -----------------------
+# --- whole comparisons ---------------------------------------------------------------------------
 
 
-def source_results(spark: SparkSession, sf: str) -> DataFrame:
+def source_results(spark: SparkSession, sf: str) -> Comparison:
     g = genomes(spark, sf)
     return commands.results(g, g, commands.screened(g))
 
 
 @query()
 def triangle(spark, sf):
-    return report.ani_rows(source_results(spark, sf), calibrate=True, verbose=True)
+    return report.ani_rows(source_results(spark, sf).pairs, calibrate=True, verbose=True)
 
 
 @query()
 def triangle_edges(spark, sf):
-    return report.edges(report.ani_rows(source_results(spark, sf)))
+    return report.edges(report.ani_rows(source_results(spark, sf).pairs))
 
 
 @query()
 def triangle_matrix(spark, sf):
-    return report.matrix(report.ani_rows(source_results(spark, sf)), genome_names(spark, sf))
+    return report.matrix(report.ani_rows(source_results(spark, sf).pairs), genome_names(spark, sf))
 
 
 @query()
@@ -589,30 +587,30 @@ def dist_sources(spark, sf):
 
 @query()
 def chain_blocks(spark, sf):
-    return sv.chain_table(source_results(spark, sf)).drop("anchors")
+    return source_results(spark, sf).chains.drop("anchors")
 
 
 @query()
 def pair_strata(spark, sf):
-    return report.strata_rows(source_results(spark, sf))
+    return report.strata_rows(source_results(spark, sf).strata)
 
 
 @query()
 def structural_variants(spark, sf):
-    return sv.detect(stored(sv.chain_table(source_results(spark, sf)), "chains"), indel_min=100)
+    return sv.detect(source_results(spark, sf).chains, indel_min=100)
 
 
 @query()
 def chain_paf(spark, sf):
     lengths = contigs(spark, sf).select("genome_id", "contig_id", "length")
-    return sv.paf(sv.chain_table(source_results(spark, sf)), lengths, lengths)
+    return sv.paf(source_results(spark, sf).chains, lengths, lengths)
 
 
 @query()
 def panel_scores(spark, sf):
-    found = stored(source_results(spark, sf), "results")
-    s = found.select("query", "reference", F.inline("strata"))
-    truth = found.select("query", "reference", (100 * F.col("ani_uniform")).alias("truth"))
+    found = source_results(spark, sf)
+    s = stored(found.strata, "strata")
+    truth = stored(found.pairs.select("query", "reference", (100 * F.col("ani_uniform")).alias("truth")), "truth")
     return panel.score(panel.estimates(s, {"all": None, "BcgI": ["BcgI"], "BcgI+AlfI": ["BcgI", "AlfI"]}), truth)
 
 

@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.operators import anchors as anc
 from tagloom.operators import chain, intervals, report, sv
+from tagloom.operators import digest as dig
 from tagloom.operators.chain import Config
 from tagloom.plans import commands
+from tests import pair_program
 
 L = 400_000
 FLIP = str.maketrans("ACGT", "TGCA")
@@ -46,11 +49,12 @@ def ladder(spark):
     g = commands.Genomes.from_contigs(contigs(spark, parts))
     g.tags = g.tags.cache()
     pairs = spark.createDataFrame([("base", n) for n in parts], "query string, reference string")
-    return {r.reference: r for r in commands.results(g, g, pairs).collect()}, g
+    found = commands.results(g, g, pairs)
+    return {r.reference: r for r in found.pairs.collect()}, g, found
 
 
 def test_ladder(ladder):
-    rows, _ = ladder
+    rows = ladder[0]
     for a in (95, 98, 99.5):
         assert abs(100 * rows[f"m{a}"].ani_uniform - a) < 0.35 and rows[f"m{a}"].af_query > 0.9
     assert abs(100 * rows["m90"].ani_uniform - 90) < 1.0
@@ -58,8 +62,8 @@ def test_ladder(ladder):
 
 
 def test_strand_and_fragments(ladder):
-    rows, _ = ladder
-    assert rows["rc"].ani_gated > 0.99999 and {c.orient for c in rows["rc"].chains} == {"-"}
+    rows, _, found = ladder
+    assert rows["rc"].ani_gated > 0.99999 and {c.orient for c in found.chains.where("reference = 'rc'").collect()} == {"-"}
     assert abs(100 * rows["frag"].ani_uniform - 98) < 0.5
 
 
@@ -69,7 +73,7 @@ def test_unrelated(ladder):
 
 
 def test_variants(spark, ladder):
-    rows, g = ladder
+    g = ladder[1]
     pairs = spark.createDataFrame([("base", "inv"), ("base", "del")], "query string, reference string")
     calls = commands.struct(g, g, pairs=pairs).collect()
     inv = [c for c in calls if c.reference == "inv" and c.sv_type == "inversion"]
@@ -81,7 +85,7 @@ def test_variants(spark, ladder):
 
 
 def test_plans(spark, ladder):
-    _, g = ladder
+    g = ladder[1]
     t = commands.triangle(g)
     rows = {(r.query, r.reference): r for r in t.collect()}
     assert ("base", "m99.5") in rows and not any("other" in k for k in rows)
@@ -114,9 +118,10 @@ def test_equal_predecessors():
 
 
 def test_spans_and_gaps(spark):
-    assert chain.covered([(0, 0, 10), (0, 5, 20), (0, 30, 40)]) == 30 and chain.covered([(c, 0, 100) for c in range(3)]) == 300
-    assert chain.extend_span(1000, 2000, 300, 5000) == (700, 2300) and chain.extend_span(100, 4900, 300, 5000) == (0, 5000) and chain.extend_span(20_000, 30_000, 50_000, 0) == (10_000, 40_000)
-    assert chain.median_gap(np.array([0, 10, 30, 60])) == 20 and chain.median_gap(np.array([5])) == 0
+    c = spark.createDataFrame([(1, 0, 0, 10), (1, 0, 5, 20), (1, 0, 30, 40), (2, 1, 0, 100), (2, 2, 0, 100), (2, 3, 0, 100)], "k int, contig int, start long, end long")
+    assert {(r.k, r.bp) for r in intervals.covered(c, ["k", "contig"]).groupBy("k").agg(F.sum("covered_bp").alias("bp")).collect()} == {(1, 30), (2, 300)}
+    e = spark.createDataFrame([(1000, 2000, 300, 5000), (100, 4900, 300, 5000), (20_000, 30_000, 50_000, 0)], "a long, b long, by long, n long")
+    assert [tuple(r) for r in e.select(*intervals.extend_span(F.col("a"), F.col("b"), F.col("by"), F.col("n"))).collect()] == [(700, 2300), (0, 5000), (10_000, 40_000)]
     df = spark.createDataFrame([([100, 200, 400], [1000, 1100, 1300])], "q array<long>, r array<long>")
     out = df.select(*[intervals.interpolate(F.lit(x), F.col("q"), F.col("r")).alias(str(x)) for x in (50, 150, 500)], intervals.upper_median_gap(F.col("q")).alias("g")).first()
     assert (out["50"], out["150"], out["500"], out.g) == (1000, 1050, 1300, 200)
@@ -156,3 +161,55 @@ def test_synteny(spark):
 def test_calibration_checks():
     with pytest.raises(ValueError):
         report.load_calibration('{"feature_names": ["a"], "means": [], "scales": [1], "coefficients": [1], "imputer_medians": [0], "intercept": 0}')
+
+
+def test_plan_equals_the_programme_of_a_pair(spark):
+    """Fragments on both strands, an inversion, a replaced block (second pass), repeats and a foreign genome: every number of every pair."""
+    rng = np.random.default_rng(23)
+    base = genome(rng, 120_000)
+    text = "".join(base)
+    other = "".join(mutate(rng, base, 0.03))
+    cuts = np.sort(rng.choice(120_000, 45, replace=False)).tolist()
+    frag = [other[a:b] if k % 3 else other[a:b][::-1].translate(FLIP) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, 120_000]))]
+    swapped = "".join(mutate(rng, base, 0.01))
+    swapped = swapped[:50_000] + "".join(genome(rng, 25_000)) + swapped[75_000:100_000][::-1].translate(FLIP) + swapped[100_000:]
+    far = "".join(mutate(rng, base, 0.12))
+    parts = {"a": [text[:60_000], text[60_000:]], "frag": frag, "swap": [swapped], "far": [far[:30_000], far[30_000:90_000], far[90_000:]], "alien": ["".join(genome(rng, 30_000))], "twice": [text[:20_000] + text[:20_000]], "none": ["ACGT" * 10]}
+    g = commands.Genomes.from_contigs(contigs(spark, parts))
+    g.tags = g.tags.cache()
+    names = list(parts)
+    pairs = [("a", n) for n in names] + [("frag", n) for n in names] + [("far", "swap"), ("swap", "a"), ("swap", "frag"), ("twice", "a"), ("none", "a")]
+    for cfg in (Config(), Config(rescue=False), Config(adaptive_gap=False)):
+        found = commands.results(g, g, spark.createDataFrame(pairs, "query string, reference string"), cfg)
+        got = {(r.query, r.reference): r for r in found.pairs.collect()}
+        strata, chains = {}, {}
+        for r in found.strata.collect():
+            strata.setdefault((r.query, r.reference), []).append((r.enzyme, r.tag_len, list(r.hist), r.n_miss))
+        for r in found.chains.collect():
+            chains.setdefault((r.query, r.reference), []).append((r.chain_id, r.q_contig, r.r_contig, r.orient, r.q_start, r.q_end, r.r_start, r.r_end, [tuple(x) for x in r.anchors]))
+        assert set(got) == set(pairs)
+        for (a, b), want in programme(spark, g, pairs, cfg).items():
+            row = got[a, b]
+            assert sorted(strata.get((a, b), [])) == [(s["enzyme"], s["tag_len"], s["hist"], s["n_miss"]) for s in want.pop("strata")], (a, b)
+            assert sorted(chains.get((a, b), [])) == [(c["chain_id"], c["q_contig"], c["r_contig"], c["orient"], c["q_start"], c["q_end"], c["r_start"], c["r_end"], [(x["q_pos"], x["r_pos"]) for x in c["anchors"]]) for c in want.pop("chains")], (a, b)
+            fits = want.pop("per_enzyme")
+            assert [(x.enzyme, x.n_tags) for x in row.per_enzyme] == [(x["enzyme"], x["n_tags"]) for x in fits]
+            for name, value in want.items():
+                x = row[name]
+                assert x == value or (x != x and value != value) or (isinstance(value, float) and math.isclose(x, value, rel_tol=2e-3 if name in ("std_err", "enzyme_chi2") else 1e-5, abs_tol=1e-7)), (a, b, name, x, value)
+    assert any(len(c) > 3 for c in chains.values())
+
+
+def programme(spark, g, pairs, cfg):
+    """The plain programme's result of each pair."""
+    tags = dig.rank_tags(dig.with_occurrences(g.tags), g.panel).join(g.contigs.select("genome_id", "contig_id", F.col("length").alias("contig_len")), ["genome_id", "contig_id"]).toPandas().rename(columns={"contig_id": "contig", "tag_rank": "rank"})
+    size = {r.genome_id: r.n for r in g.contigs.groupBy("genome_id").agg(F.sum("length").alias("n")).collect()}
+    anchors = anc.find_anchors(g.tags, g.tags, spark.createDataFrame(pairs, "query string, reference string"), g.panel).toPandas()
+    side = lambda n: tags[tags.genome_id == n].assign(genome_len=size[n]).sort_values(["contig", "rank"])
+    out = {}
+    for a, b in pairs:
+        own = anchors[(anchors["query"] == a) & (anchors["reference"] == b)].sort_values(["q_contig", "q_pos", "r_contig", "r_pos", "orient"])
+        pair = pair_program.Pair(side(a), side(b), own, g.panel, cfg)
+        pair.q_total, pair.r_total = size[a], size[b]
+        out[a, b] = pair.result()
+    return out

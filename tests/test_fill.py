@@ -7,6 +7,7 @@ from tagloom.operators import anchors as anc
 from tagloom.operators import chain, fill
 from tagloom.operators import digest as dig
 from tagloom.operators.enzymes import resolve
+from tests import pair_program
 
 ANCHORS = "query string, reference string, enzyme string, q_contig long, q_pos long, r_contig long, r_pos long, orient string, mm int, uniq boolean"
 CFG = chain.Config(rescue=False)
@@ -62,7 +63,7 @@ def test_strata_equal_those_of_a_pair(spark):
         size = {(g, c): len(s) for g, c, s in rows}
         return t.assign(contig_len=[size[name, c] for c in t.contig], genome_len=60_000).sort_values(["contig", "rank"])
 
-    pair = chain.Pair(side("a"), side("b"), links.toPandas(), panel, CFG)
+    pair = pair_program.Pair(side("a"), side("b"), links.toPandas(), panel, CFG)
     found = pair.chains(np.inf)
     strata, q_spans, r_spans = pair.fill(found, np.inf)
     assert len(found) >= 3 and {c.orient for c in found} == {"+", "-"}
