@@ -190,7 +190,7 @@ def estimate_heterogeneous(strata: list[Stratum]) -> tuple[float, float]:
     grid = np.linspace(math.log(0.1), math.log(200), 49)
     _, cost = _best_rate(strata, np.exp(grid))
     at = grid[int(np.argmin(cost))]
-    fine = np.clip(np.linspace(at - 0.35, at + 0.35, 25), math.log(0.1), math.log(200))
+    fine = np.linspace(at - 0.35, at + 0.35, 25)
     rate, cost = _best_rate(strata, np.exp(fine))
     k = int(np.argmin(cost))
     alpha, d = float(np.exp(fine[k])), float(rate[k])
