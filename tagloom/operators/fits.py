@@ -232,7 +232,8 @@ class Fits:
 def log_gamma(x: Column) -> Column:
     """ln gamma of x >= 1: Stirling's series from x + 8 on, less the factors in between."""
     y = x + 8
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y)
+    z = 1 / (y * y)
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
     less = F.lit(0.0)
     for i in range(8):
         less = less + F.log(x + i)
