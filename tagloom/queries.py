@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom import comparison_sql as csql
 from tagloom.functions import sequence as seq
 from tagloom.operators import anchors as anc
 from tagloom.operators import digest as dig
@@ -515,12 +516,12 @@ def scaffold_paf(spark, sf):
 _SV_SQL = """stp AS (SELECT *, unnest(range(1, n_anchors)) AS k FROM sp),
 wd AS (SELECT *, (cq[k + 1] - cq[k]) - CASE orient WHEN '-' THEN -1 ELSE 1 END * (cr[k + 1] - cr[k]) AS diff FROM stp),
 within AS (SELECT query, reference, CASE WHEN diff > 0 THEN 'insertion' ELSE 'deletion' END AS sv_type, q_contig, cq[k] AS q_start, cq[k + 1] AS q_end, r_contig, least(cr[k], cr[k + 1]) AS r_start, greatest(cr[k], cr[k + 1]) AS r_end, abs(diff) AS size, k AS support_left, n_anchors - k AS support_right FROM wd WHERE abs(diff) > 100),
-nb AS (SELECT *, coalesce(lag(n_anchors) OVER w, 0) AS l, coalesce(lead(n_anchors) OVER w, 0) AS g, cq[len(cq)] AS aq, cr[len(cr)] AS ar, lead(chain_id) OVER w AS b_id, lead(orient) OVER w AS bo, lead(cq[1]) OVER w AS bq, lead(cr[1]) OVER w AS br FROM sp WINDOW w AS (PARTITION BY query, reference ORDER BY q_start, q_end, chain_id)),
+nb AS (SELECT *, coalesce(lag(n_anchors) OVER w, 0) AS l, coalesce(lead(n_anchors) OVER w, 0) AS g, cq[len(cq)] AS aq, cr[len(cr)] AS ar, lead(chain_id) OVER w AS b_id, lead(orient) OVER w AS bo, lead(r_contig) OVER w AS bc, lead(cq[1]) OVER w AS bq, lead(cr[1]) OVER w AS br FROM sp WINDOW w AS (PARTITION BY query, reference, q_contig ORDER BY q_start, q_end, chain_id)),
 inv AS (SELECT query, reference, 'inversion' AS sv_type, q_contig, q_start, q_end, r_contig, r_start, r_end, q_end - q_start AS size, l AS support_left, g AS support_right FROM nb WHERE orient = '-'),
-jn AS (SELECT *, bq - aq AS q_gap, CASE orient WHEN '-' THEN -1 ELSE 1 END * (br - ar) AS r_gap FROM nb WHERE b_id IS NOT NULL),
-trans AS (SELECT query, reference, 'translocation' AS sv_type, q_contig, aq AS q_start, greatest(aq, bq) AS q_end, r_contig, least(ar, br) AS r_start, greatest(ar, br) AS r_end, abs(r_gap) AS size, n_anchors AS support_left, g AS support_right FROM jn WHERE orient = bo AND r_gap < 0),
+jn AS (SELECT *, bq - aq AS q_gap, CASE orient WHEN '-' THEN -1 ELSE 1 END * (br - ar) AS r_gap, r_contig = bc AS same FROM nb WHERE b_id IS NOT NULL),
+trans AS (SELECT query, reference, 'translocation' AS sv_type, q_contig, aq AS q_start, greatest(aq, bq) AS q_end, bc AS r_contig, CASE WHEN same THEN least(ar, br) ELSE br END AS r_start, CASE WHEN same THEN greatest(ar, br) ELSE br END AS r_end, CASE WHEN same THEN abs(r_gap) ELSE greatest(0, q_gap) END AS size, n_anchors AS support_left, g AS support_right FROM jn WHERE NOT same OR (orient = bo AND r_gap < 0)),
 gaps AS (SELECT query, reference, CASE WHEN q_gap > r_gap THEN 'insertion' ELSE 'deletion' END AS sv_type, q_contig, aq AS q_start, bq AS q_end, r_contig, least(ar, br) AS r_start, greatest(ar, br) AS r_end, abs(q_gap - r_gap) AS size, n_anchors AS support_left, g AS support_right FROM jn
-  WHERE orient = bo AND r_gap >= 0 AND abs(q_gap - r_gap) > 100 AND NOT EXISTS (SELECT 1 FROM sp o WHERE o.query = jn.query AND o.reference = jn.reference AND o.chain_id <> jn.chain_id AND o.chain_id <> jn.b_id AND len(list_filter(o.cr, lambda x: x > least(ar, br) AND x < greatest(ar, br))) > 0)),
+  WHERE same AND orient = bo AND r_gap >= 0 AND abs(q_gap - r_gap) > 100 AND NOT EXISTS (SELECT 1 FROM sp o WHERE o.query = jn.query AND o.reference = jn.reference AND o.r_contig = jn.r_contig AND o.chain_id <> jn.chain_id AND o.chain_id <> jn.b_id AND len(list_filter(o.cr, lambda x: x > least(ar, br) AND x < greatest(ar, br))) > 0)),
 calls AS (SELECT * FROM within UNION ALL SELECT * FROM inv UNION ALL SELECT * FROM trans UNION ALL SELECT * FROM gaps)"""
 
 
@@ -547,71 +548,98 @@ def scaffold_strata(spark, sf):
 
 # --- whole comparisons ---------------------------------------------------------------------------
 
+_SEL = f"sel AS MATERIALIZED (SELECT query, reference FROM pairs WHERE {_VERDICT} = 'pass')"
+
+
+def _compared(*parts: str, sel: str = _SEL, more: str = "", ordered: bool = False) -> str:
+    """The comparison of the pairs of ``sel``; more: further contigs, to be united with the documents; ordered: (a, b), (b, a) and (a, a) are pairs."""
+    tags_ = _tags_sql().replace("FROM documents)", f"FROM documents UNION ALL {more})", 1) if more else _tags_sql()
+    materialized = lambda x: x.replace("\ntags AS (", "\ntags AS MATERIALIZED (").replace("anchors AS (", "anchors AS MATERIALIZED (").replace("contigs AS (", "contigs AS MATERIALIZED (")
+    out = materialized(_with(tags_, _KEYS, _PAIRS, _HITS, sel, csql.chains_sql(), *parts)).replace("WITH ", "WITH RECURSIVE ", 1)
+    return out.replace(" WHERE a.genome_id < b.genome_id", "").replace("q.genome_id < r.genome_id AND ", "") if ordered else out
+
+
+def _calibrated_sql() -> str:
+    m = report.CALIBRATION
+    x = ["gated * 100", "uniform * 100", "af_query", "af_reference", "std_err * 100", "kept", "n_anchors::DOUBLE", "blocks::DOUBLE", "n_tags::DOUBLE"]
+    return f"{m['intercept']!r} + " + " + ".join(f"{c!r} * ((CASE WHEN isfinite({v}) THEN {v} ELSE {med!r} END) - {mean!r}) / {scale!r}" for v, mean, scale, c, med in zip(x, m["means"], m["scales"], m["coefficients"], m["imputer_medians"], strict=True))
+
 
 def source_results(spark: SparkSession, sf: str) -> Comparison:
     g = genomes(spark, sf)
     return commands.results(g, g, commands.screened(g))
 
 
-@query()
+@query(_compared(csql.results_sql()) + csql.verbose_rows(_calibrated_sql()))
 def triangle(spark, sf):
     return report.ani_rows(source_results(spark, sf).pairs, calibrate=True, verbose=True)
 
 
-@query()
+@query(_compared(csql.results_sql()) + f"SELECT query, reference, {csql.pct('gated')} AS ani_gated FROM flagged WHERE NOT isnan(gated)")
 def triangle_edges(spark, sf):
     return report.edges(report.ani_rows(source_results(spark, sf).pairs))
 
 
-@query()
+@query(
+    _compared(csql.results_sql(), f"v AS (SELECT query AS a, reference AS b, {csql.pct('gated')} AS x FROM flagged WHERE NOT isnan(gated))", "sym AS (SELECT * FROM v UNION ALL SELECT b, a, x FROM v)", f"g AS (SELECT unnest({_GENOMES!r}) AS genome)")
+    + "SELECT genome, " + ", ".join(f"CASE WHEN genome = '{g}' THEN 100.0::DOUBLE ELSE coalesce(max(CASE WHEN b = '{g}' THEN x END), 'NaN'::DOUBLE) END AS {g}" for g in _GENOMES) + " FROM g LEFT JOIN sym ON a = genome GROUP BY genome"
+)
 def triangle_matrix(spark, sf):
     return report.matrix(report.ani_rows(source_results(spark, sf).pairs), genome_names(spark, sf))
 
 
-@query()
+@query(_compared(csql.results_sql(), sel=_SEL.replace("pairs WHERE", "pairs WHERE query = 'benchmark' AND"), more=_BENCH) + f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY ani_gated DESC, reference) AS hit FROM ({csql.ROWS}) WHERE ani_gated >= 50 AND NOT isnan(ani_gated)")
 def search_benchmark(spark, sf):
     g = genomes(spark, sf)
     return commands.search(benchmark_genomes(spark, sf), g, min_ani=0.5)
 
 
-@query()
+@@ AS query, reference FROM (SELECT DISTINCT genome_id AS reference FROM contigs WHERE genome_id <> 'benchmark'))", more=_BENCH) + csql.ROWS)
 def ani_benchmark(spark, sf):
     return commands.ani(benchmark_genomes(spark, sf), genomes(spark, sf))
 
 
-@query()
+@query(_compared(csql.results_sql(), ordered=True) + csql.ROWS + " WHERE gated >= 0.8 AND NOT isnan(gated)")
 def dist_sources(spark, sf):
     g = genomes(spark, sf)
     return commands.dist(g, g, min_ani=0.8)
 
 
-@query()
+@query(_compared() + "SELECT query, reference, chain_id, q_contig, r_contig, orient, n_anchors, q_start, q_end, r_start, r_end FROM sp")
 def chain_blocks(spark, sf):
     return source_results(spark, sf).chains.drop("anchors")
 
 
-@query()
+@query(_compared() + "SELECT query, reference, enzyme, tag_len, body_len, miss::BIGINT AS n_miss, concat_ws(',', h0::BIGINT, h1::BIGINT, h2::BIGINT) AS hist FROM str2 JOIN geo USING (enzyme)")
 def pair_strata(spark, sf):
     return report.strata_rows(source_results(spark, sf).strata)
 
 
-@query()
+@query(_compared(_SV_SQL) + "SELECT * FROM calls")
 def structural_variants(spark, sf):
     return sv.detect(source_results(spark, sf).chains, indel_min=100)
 
 
-@query()
+@query(_compared() + "SELECT query || ':' || q_contig AS q_name, q_bp AS q_len, q_start, q_end, orient AS strand, reference || ':' || r_contig AS r_name, r_bp AS r_len, r_start, r_end, least(n_anchors * 29, greatest(q_end - q_start, r_end - r_start)) AS n_match, greatest(q_end - q_start, r_end - r_start) AS aln_len, least(60, floor(10 * (n_anchors / (greatest(q_end - q_start, 1) / 1000))))::INT AS mapq FROM sp")
 def chain_paf(spark, sf):
     lengths = contigs(spark, sf).select("genome_id", "contig_id", "length")
     return sv.paf(source_results(spark, sf).chains, lengths, lengths)
 
 
-@query()
+_PANELS = "pn1 AS (SELECT query, reference, p.panel AS panel, list_filter(s, lambda t: p.names IS NULL OR list_contains(p.names, t.enzyme)) AS s FROM ar2, (VALUES ('all', NULL), ('BcgI', ['BcgI']), ('BcgI+AlfI', ['BcgI', 'AlfI'])) p(panel, names)), "
+_PANELS += f"pn AS MATERIALIZED (SELECT query, reference, panel, query || '|' || reference || '|' || panel AS key, s, {csql.UNIFORM} AS uniform FROM pn1 WHERE len(s) > 0)"
+
+
+@query(
+    _compared(csql.results_sql(), _PANELS, csql.heterogeneous("hp", "pn"), "er AS (SELECT panel, 100 * ani - 100 * f.uniform AS e FROM pn1 JOIN fit3 f USING (query, reference) LEFT JOIN (SELECT key, ani FROM hp) h ON h.key = query || '|' || reference || '|' || panel)")
+    + "SELECT panel, count(e) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias FROM er GROUP BY panel"
+)
 def panel_scores(spark, sf):
     found = source_results(spark, sf)
     s = stored(found.strata, "strata")
     truth = stored(found.pairs.select("query", "reference", (100 * F.col("ani_uniform")).alias("truth")), "truth")
-    return panel.score(panel.estimates(s, {"all": None, "BcgI": ["BcgI"], "BcgI+AlfI": ["BcgI", "AlfI"]}), truth)
+    found = panel.score(panel.estimates(s, {"all": None, "BcgI": ["BcgI"], "BcgI+AlfI": ["BcgI", "AlfI"]}), truth)
+    return found.withColumn("mae", F.round("mae", 6)).withColumn("bias", F.round("bias", 6))
 
 
 @query()
