@@ -594,7 +594,14 @@ def search_benchmark(spark, sf):
     return commands.search(benchmark_genomes(spark, sf), g, min_ani=0.5)
 
 
-@@ AS query, reference FROM (SELECT DISTINCT genome_id AS reference FROM contigs WHERE genome_id <> 'benchmark'))", more=_BENCH) + csql.ROWS)
+@query(_compared(csql.results_sql(), ordered=True) + f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY ani_gated DESC, reference) AS hit FROM ({csql.ROWS}) WHERE ani_gated >= 80 AND NOT isnan(ani_gated)")
+def search_sources(spark, sf):
+    """Each source against all, itself included: the hits best first."""
+    g = genomes(spark, sf)
+    return commands.search(g, g, min_ani=0.8)
+
+
+@query(_compared(csql.results_sql(), sel="sel AS MATERIALIZED (SELECT 'benchmark' AS query, reference FROM (SELECT DISTINCT genome_id AS reference FROM contigs WHERE genome_id <> 'benchmark'))", more=_BENCH) + csql.ROWS)
 def ani_benchmark(spark, sf):
     return commands.ani(benchmark_genomes(spark, sf), genomes(spark, sf))
 
