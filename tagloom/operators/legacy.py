@@ -10,6 +10,7 @@ from tagloom.functions.sequence import pack, packed_mismatches
 from tagloom.operators.anchors import TOLERANCE, parts
 from tagloom.operators.digest import kmers
 from tagloom.operators.enzymes import Enzyme, resolve
+from tagloom.operators.postings import shared_counts
 from tagloom.operators.synteny import block_sizes
 from tagloom.sources.scratch import stored
 
@@ -145,7 +146,7 @@ def kmer_containment(contigs: DataFrame, k: int = 15) -> DataFrame:
     """query, reference, shared, n_query, containment, kmer_ani of genomes by their distinct canonical k-mers; only pairs that share one."""
     own = stored(kmers(contigs, k).select("genome_id", "kmer").distinct(), "kmers")
     sizes = own.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n_query"))
-    shared = own.withColumnRenamed("genome_id", "query").join(own.withColumnRenamed("genome_id", "reference"), "kmer").where("query < reference").groupBy("query", "reference").agg(F.count(F.lit(1)).alias("shared"))
+    shared = shared_counts(own, "genome_id", ["kmer"])
     c = F.col("shared") / F.col("n_query")
     return shared.join(sizes.withColumnRenamed("genome_id", "query"), "query").select("query", "reference", "shared", "n_query", c.alias("containment"), F.pow(c, F.lit(1.0 / k)).alias("kmer_ani"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.sequence import screen_key
+from tagloom.operators.postings import shared_counts
+from tagloom.sources.scratch import stored
 
 WINDOW, MIN_SHARED, MIN_CONTAINMENT = 18, 3, 0.001
 
@@ -23,16 +25,13 @@ def screen_pairs(keys: DataFrame, other: DataFrame | None = None, window: int =
     """query, reference, shared, min_total, containment, approx_ani, verdict of all pairs that share a key.
 
     Only pairs with a common key arise (the gate needs three), never the cross
-    product. min_total sums the smaller key count of each enzyme both genomes
-    have. Without ``other``, all unordered pairs of ``keys``.
+    product, and a key that many genomes hold makes no row for each pair of them
+    (``postings``). min_total sums the smaller key count of each enzyme both
+    genomes have. Without ``other``, all unordered pairs of ``keys``. Both are
+    read several times, so they should be stored tables.
     """
     ref = keys if other is None else other
-    q = keys.select(F.col("genome_id").alias("query"), "enzyme", "key")
-    r = ref.select(F.col("genome_id").alias("reference"), "enzyme", "key")
-    pairs = q.join(r, ["enzyme", "key"])
-    if other is None:
-        pairs = pairs.where("query < reference")
-    shared = pairs.groupBy("query", "reference").agg(F.count(F.lit(1)).alias("shared"))
+    shared = stored(shared_counts(keys, "genome_id", ["enzyme", "key"], other), "shared")
     size = lambda k, name: k.groupBy(F.col("genome_id").alias(name), "enzyme").agg(F.count(F.lit(1)).alias(f"n_{name}"))
     total = shared.select("query", "reference").join(size(keys, "query"), "query").join(size(ref, "reference"), ["reference", "enzyme"]).groupBy("query", "reference").agg(F.sum(F.least("n_query", "n_reference")).alias("min_total"))
     out = shared.join(total, ["query", "reference"]).withColumn("containment", F.col("shared") / F.col("min_total")).withColumn("approx_ani", approx_ani(F.col("shared"), F.col("min_total"), window))

@@ -46,7 +46,9 @@ def cross_pairs(q: Genomes, r: Genomes) -> DataFrame:
 
 def screened(q: Genomes, r: Genomes | None = None, window: int = WINDOW, min_shared: int = MIN_SHARED, min_containment: float = MIN_CONTAINMENT, min_approx: float = 0.0) -> DataFrame:
     """Pairs that pass the screen; without r all unordered pairs of q."""
-    pairs = screen_pairs(screen_keys(q.tags, window), None if r is None else screen_keys(r.tags, window), window, min_shared, min_containment)
+    keys = lambda g: stored(screen_keys(g.tags, window), "keys")
+    own = keys(q)
+    pairs = screen_pairs(own, None if r is None else own if r is q else keys(r), window, min_shared, min_containment)
     return pairs.where((F.col("verdict") == "pass") & (F.col("approx_ani") >= min_approx))
 
 
