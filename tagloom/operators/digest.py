@@ -166,8 +166,8 @@ def rank_in_contig(tags: DataFrame, panel: list[Enzyme] | None = None) -> DataFr
     return tags.withColumn("tag_rank", (F.row_number().over(Window.partitionBy("genome_id", "contig_id").orderBy("position", place, "enzyme")) - 1).cast("long"))
 
 
-def kmers(contigs: DataFrame, k: int = 15) -> DataFrame:
-    """Distinct canonical k-mers of each contig (genome_id, contig_id, kmer), k at most 31; windows with other letters are skipped.
+def kmers(contigs: DataFrame, k: int = 15, places: bool = False) -> DataFrame:
+    """Distinct canonical k-mers of each contig (genome_id, contig_id, kmer), k at most 31; windows with other letters are skipped. With ``places`` every one, and where it starts (position).
 
     kmer is a number: two bits a base, of the strand with the smaller one.
     """
@@ -189,8 +189,12 @@ def kmers(contigs: DataFrame, k: int = 15) -> DataFrame:
             at = np.arange(n)
             row = np.searchsorted(offsets, at, side="right") - 1
             ok = (at + k <= offsets[row + 1]) & (impure[k:] == impure[:-k])
+            if places:
+                of = pa.array(row[ok])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.minimum(forward, back)[ok]), pa.array(at[ok] - offsets[row[ok]])], ["genome_id", "contig_id", "kmer", "position"])
+                continue
             pairs = np.unique(np.stack((row[ok], np.minimum(forward, back)[ok])), axis=1)
             rows = pa.array(pairs[0])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pairs[1])], ["genome_id", "contig_id", "kmer"])
 
-    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, "genome_id string, contig_id long, kmer long")
+    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, "genome_id string, contig_id long, kmer long" + (", position long" if places else ""))

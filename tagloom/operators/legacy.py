@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.sequence import pack, packed_mismatches
@@ -94,24 +94,6 @@ def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str =
     return tags.join(m, ["genome_id", "enzyme", "contig_id", "position"], "left_anti")
 
 
-def blocks(matches: DataFrame, tolerance: int = 5000) -> DataFrame:
-    """Runs of matches on one pair of contigs that rise together with gap differences of at most ``tolerance``."""
-    m = _in_blocks(matches, tolerance)
-    return m.groupBy("query", "reference", "q_contig", "r_contig", "block").agg(F.count(F.lit(1)).alias("n_tags"), F.min("q_pos").alias("q_start"), F.max("q_pos").alias("q_end"), F.min("r_pos").alias("r_start"), F.max("r_pos").alias("r_end"), F.avg("mm").alias("mean_mm"))
-
-
-def _in_blocks(matches: DataFrame, tolerance: int) -> DataFrame:
-    """matches with the number of their block on their pair of contigs."""
-    w = Window.partitionBy("query", "reference", "q_contig", "r_contig").orderBy("q_pos")
-    dq, dr = F.col("q_pos") - F.lag("q_pos").over(w), F.col("r_pos") - F.lag("r_pos").over(w)
-    return matches.withColumn("_new", F.when(dq.isNull() | (dr <= 0) | (F.abs(dq - dr) > tolerance), 1).otherwise(0)).withColumn("block", F.sum("_new").over(w)).drop("_new")
-
-
-def block_weight(scheme: str, n_tags: Column, q_start: Column, gap_diff: Column | None = None) -> Column:
-    """uniform 1; synteny sqrt(n); position 1 + sin(start); gap 1 / (1 + gap / 1000)."""
-    return {"uniform": F.lit(1.0), "synteny": F.sqrt(n_tags), "position": 1 + F.sin(q_start), "gap": 1 / (1 + (gap_diff if gap_diff is not None else F.lit(0)) / 1000)}[scheme]
-
-
 def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int = 5000, panel: list[Enzyme] | None = None) -> DataFrame:
     """query, reference, raw_ani, weighted_ani (percent), n_tags: each match weighs by itself, its identity being over its own enzyme's tag length.
 
@@ -125,13 +107,6 @@ def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int =
     return m.groupBy("query", "reference").agg(F.avg("ani").alias("raw_ani"), (F.sum(F.col("ani") * F.col("w")) / F.sum("w")).alias("weighted_ani"), F.count(F.lit(1)).alias("n_tags"))
 
 
-def weighted_ani(blocks_: DataFrame, tag_len: int = 32, scheme: str = "synteny") -> DataFrame:
-    """query, reference, raw_ani, weighted_ani (percent), n_tags by blocks; ``weighted_pairs`` weighs each match."""
-    ani = 100 * (1 - F.col("mean_mm") / tag_len)
-    w = block_weight(scheme, F.col("n_tags"), F.col("q_start"))
-    return blocks_.groupBy("query", "reference").agg((F.sum(ani * F.col("n_tags")) / F.sum("n_tags")).alias("raw_ani"), (F.sum(ani * w) / F.sum(w)).alias("weighted_ani"), F.sum("n_tags").alias("n_tags"))
-
-
 def confidence(n_tags: Column, af_min: Column) -> Column:
     return (1 - F.exp(-n_tags / 100)) * F.sqrt(af_min)
 
@@ -151,19 +126,47 @@ def kmer_containment(contigs: DataFrame, k: int = 15) -> DataFrame:
     return shared.join(sizes.withColumnRenamed("genome_id", "query"), "query").select("query", "reference", "shared", "n_query", c.alias("containment"), F.pow(c, F.lit(1.0 / k)).alias("kmer_ani"))
 
 
+_BIN = 8192
+
+
+def block_kmers(spans: DataFrame, contigs: DataFrame, ids: list[str], k: int = 15) -> DataFrame:
+    """ids, n_query, n_reference, shared: distinct canonical k-mers within each block's span on either side, and those of both.
+
+    spans: ids (query and reference among them), q_contig, q_start, q_end, r_contig,
+    r_start, r_end, the ends included; they are cut at the contigs' ends, and a span
+    of no more than k bases has no k-mer. k-mers meet spans by bins of places, so that
+    neither a long contig nor a contig of many blocks is one task's.
+    """
+    sides = []
+    for side, genome in (("q", "query"), ("r", "reference")):
+        sides.append(spans.select(*ids, F.lit(side).alias("side"), F.col(genome).alias("genome_id"), F.col(f"{side}_contig").alias("contig_id"), F.col(f"{side}_start").alias("lo"), F.col(f"{side}_end").alias("end")))
+    c = contigs.select("genome_id", "contig_id", "length")
+    s = sides[0].unionByName(sides[1]).join(c, ["genome_id", "contig_id"]).withColumn("lo", F.least("lo", "length")).withColumn("hi", F.least(F.col("end") + 1, F.col("length")))
+    s = s.where(F.col("hi") > F.col("lo") + k).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / _BIN), F.floor((F.col("hi") - k) / _BIN))))
+    own = contigs.join(s.select("genome_id", "contig_id").distinct(), ["genome_id", "contig_id"], "left_semi")
+    at = kmers(own, k, places=True).withColumn("bin", F.floor(F.col("position") / _BIN))
+    j = s.join(at, ["genome_id", "contig_id", "bin"]).where(F.col("position").between(F.col("lo"), F.col("hi") - k))
+    of = lambda x: F.max((F.col("side") == x).cast("int")).alias(x)
+    per = j.groupBy(*ids, "kmer").agg(of("q"), of("r"))
+    return per.groupBy(*ids).agg(F.sum("q").alias("n_query"), F.sum("r").alias("n_reference"), F.sum(F.col("q") * F.col("r")).alias("shared"))
+
+
+def block_kmer_identity(spans: DataFrame, contigs: DataFrame, ids: list[str], weight: str = "n_tags", k: int = 15) -> DataFrame:
+    """query, reference, kmer_ani: 1 + ln(shared / smaller set) / k of each block, weighted by its tags; blocks without k-mers on both sides do not count.
+
+    Shares under 1e-9 count as that; the identity lies between 0 and 1. Pairs without such a block have no row.
+    """
+    n = block_kmers(spans, contigs, ids, k).where("n_query > 0 and n_reference > 0").join(spans.select(*ids, F.greatest(F.col(weight), F.lit(1)).alias("w")), ids)
+    share = F.greatest(F.least(F.col("shared") / F.least("n_query", "n_reference"), F.lit(1.0)), F.lit(1e-9))
+    local = F.greatest(F.least(1 + F.log(share) / k, F.lit(1.0)), F.lit(0.0))
+    return n.groupBy("query", "reference").agg((F.sum(local * F.col("w")) / F.sum("w")).alias("kmer_ani"))
+
+
 def tag_identity(a: Column, b: Column, length: int = 32) -> Column:
     """Share of equal bases of two tags."""
     return 1 - packed_mismatches(pack(a), pack(b), length) / length
 
 
-def legacy_variants(matches: DataFrame, jump: int = 100_000) -> DataFrame:
-    """Large jumps between neighbouring matches of one contig pair, as translocations (confidence 0.7)."""
-    w = Window.partitionBy("query", "reference", "q_contig").orderBy("q_pos")
-    m = matches.withColumn("p", F.lag(F.struct("q_pos", "r_contig", "r_pos")).over(w)).where("p is not null")
-    far = (F.col("r_contig") != F.col("p.r_contig")) | (F.abs(F.col("r_pos") - F.col("p.r_pos")) > jump)
-    return m.where(far).select("query", "reference", F.lit("translocation").alias("sv_type"), "q_contig", F.col("p.q_pos").alias("q_start"), F.col("q_pos").alias("q_end"), "r_contig", F.least("p.r_pos", "r_pos").alias("r_start"), F.greatest("p.r_pos", "r_pos").alias("r_end"), F.lit(0.7).alias("confidence"))
-
-
 def block_paf(blocks_: DataFrame) -> DataFrame:
     """Blocks as PAF lines with mapping quality 60."""
     span = F.greatest(F.col("q_end") - F.col("q_start"), F.col("r_end") - F.col("r_start")) + 32

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.enzymes import Enzyme
-from tagloom.operators.legacy import confidence
+from tagloom.operators.legacy import block_kmer_identity, confidence
 from tagloom.operators.report import debias
-from tagloom.operators.synteny import block_sizes, tag_length
+from tagloom.operators.synteny import GROUP, block_sizes, chained_blocks, tag_length
 
 #: The header lines of the formats.
 TSV = ("query_file", "ref_file", "ani", "af_q", "af_r", "query_name", "ref_name", "shared_tags", "sv_count")
@@ -33,14 +33,16 @@ def contig_mash_ani(matches: DataFrame, tags: DataFrame, panel: list[Enzyme] | N
     return best.select("query", "reference", "q_contig", "r_contig", "n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.log(shared) / F.col("len"))).alias("mash_ani"))
 
 
-def summary(matches: DataFrame, tags: DataFrame, pairs: DataFrame, min_shared: int = 10, min_af: float = 0.1, weights: str = "synteny", tolerance: int = 5000, mash: bool = True, panel: list[Enzyme] | None = None) -> DataFrame:
-    """One row a pair: ani, raw_ani, weighted_ani, mash_ani (fractions), af_query, af_reference, confidence, shared_tags, below_detection.
+def summary(matches: DataFrame, tags: DataFrame, pairs: DataFrame, min_shared: int = 10, min_af: float = 0.1, weights: str = "synteny", tolerance: int = 5000, mash: bool = True, panel: list[Enzyme] | None = None, contigs: DataFrame | None = None, k: int = 15) -> DataFrame:
+    """One row a pair: ani, raw_ani, weighted_ani, mash_ani, kmer_ani (fractions), af_query, af_reference, confidence, shared_tags, below_detection.
 
     Aligned fractions are the matched shares of either genome's tags. With fewer
     than ``min_shared`` matches or a fraction below ``min_af`` all but these two
     are 0 and the pair is below detection; so it is with an ani under 0.83. ani
-    is the contigs' mash identity weighted by their matches, or, without
-    ``mash``, the raw one with the simple correction. weights: uniform, synteny,
+    is kmer_ani, the k-mer identity of the matches' blocks, which takes ``contigs``
+    (genome_id, contig_id, seq, length) and is the contigs' mash identity weighted
+    by their matches where there are none; or, without ``mash``, the raw one with
+    the simple correction. weights: uniform, synteny,
     position or gap (of the matches' own gap_diff). A pair without matches has a
     row, too.
     """
@@ -49,8 +51,12 @@ def summary(matches: DataFrame, tags: DataFrame, pairs: DataFrame, min_shared: i
     weight = {"uniform": F.lit(1.0), "synteny": F.sqrt(F.col("n_tags") if weights == "synteny" else F.lit(1)), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[weights]
     per = per.select("query", "reference", (1 - F.col("mm") / tag_length(F.col("enzyme"), panel)).alias("local"), weight.alias("w"))
     per = per.groupBy("query", "reference").agg(F.count(F.lit(1)).alias("shared"), F.avg("local").alias("raw"), (F.sum(F.col("local") * F.col("w")) / F.sum("w")).alias("weighted"))
-    contigs = contig_mash_ani(matches, tags, panel).groupBy("query", "reference").agg((F.sum(F.col("mash_ani") * F.col("n")) / F.sum("n")).alias("mash"))
-    d = pairs.select("query", "reference").join(per, ["query", "reference"], "left").join(contigs, ["query", "reference"], "left")
+    mashed = contig_mash_ani(matches, tags, panel).groupBy("query", "reference").agg((F.sum(F.col("mash_ani") * F.col("n")) / F.sum("n")).alias("mash"))
+    d = pairs.select("query", "reference").join(per, ["query", "reference"], "left").join(mashed, ["query", "reference"], "left")
+    if contigs is None:
+        d = d.withColumn("kmer_ani", F.lit(None).cast("double"))
+    else:
+        d = d.join(block_kmer_identity(chained_blocks(matches, tolerance, panel), contigs, [*GROUP, "block"], "n_tags", k), ["query", "reference"], "left")
     for role, name in (("query", "q_tags"), ("reference", "r_tags")):
         d = d.join(sizes.select(F.col("genome_id").alias(role), F.col("n").alias(name)), role, "left")
     share = lambda total: F.when(F.coalesce(F.col(total), F.lit(0)) > 0, F.coalesce(F.col("shared"), F.lit(0)) / F.col(total)).otherwise(0.0)
@@ -58,8 +64,9 @@ def summary(matches: DataFrame, tags: DataFrame, pairs: DataFrame, min_shared: i
     low = F.least("af_query", "af_reference")
     ok = (F.col("shared") >= min_shared) & (low >= min_af)
     kept = lambda c: F.when(ok, c).otherwise(0.0)
-    ani = F.col("mash") if mash else debias(100 * F.col("raw"), low) / 100
-    d = d.select("query", "reference", kept(ani).alias("ani"), kept(F.col("raw")).alias("raw_ani"), kept(F.col("weighted")).alias("weighted_ani"), kept(F.col("mash")).alias("mash_ani"), "af_query", "af_reference", kept(confidence(F.col("shared"), low)).alias("confidence"), F.when(ok, F.col("shared")).otherwise(0).alias("shared_tags"))
+    kmer = F.coalesce("kmer_ani", "mash")
+    ani = kmer if mash else debias(100 * F.col("raw"), low) / 100
+    d = d.select("query", "reference", kept(ani).alias("ani"), kept(F.col("raw")).alias("raw_ani"), kept(F.col("weighted")).alias("weighted_ani"), kept(F.col("mash")).alias("mash_ani"), kept(kmer).alias("kmer_ani"), "af_query", "af_reference", kept(confidence(F.col("shared"), low)).alias("confidence"), F.when(ok, F.col("shared")).otherwise(0).alias("shared_tags"))
     return d.withColumn("below_detection", F.col("ani") < 0.83)
 
 

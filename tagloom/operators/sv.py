@@ -41,9 +41,13 @@ def junctions(chains: DataFrame, indel_min: int = 1000) -> DataFrame:
     moved = j.where("a.rc <> b.rc or (a.o = b.o and r_gap < 0)")
     moved = moved.select("query", "reference", F.lit("translocation").alias("sv_type"), "q_contig", F.col("a.q").alias("q_start"), F.greatest("a.q", "b.q").alias("q_end"), F.col("b.rc").alias("r_contig"), F.when(F.col("a.rc") == F.col("b.rc"), F.least("a.r", "b.r")).otherwise(F.col("b.r")).alias("r_start"), F.when(F.col("a.rc") == F.col("b.rc"), F.greatest("a.r", "b.r")).otherwise(F.col("b.r")).alias("r_end"), F.when(F.col("a.rc") == F.col("b.rc"), F.abs(F.col("r_gap"))).otherwise(F.greatest(F.lit(0), F.col("q_gap"))).alias("size"), *support)
     near = j.where("a.rc = b.rc and a.o = b.o and r_gap >= 0").withColumn("diff", F.col("q_gap") - F.col("r_gap")).where(F.abs("diff") > indel_min).withColumn("lo", F.least("a.r", "b.r")).withColumn("hi", F.greatest("a.r", "b.r"))
-    places = chains.select("query", "reference", F.col("r_contig").alias("rc"), F.col("chain_id").alias("other"), F.explode("anchors.r_pos").alias("place"))
-    # a range anti join, but within one pair and contig
-    free = near.join(places, (near["query"] == places["query"]) & (near["reference"] == places["reference"]) & (near["a.rc"] == places["rc"]) & (places["other"] != near["a.id"]) & (places["other"] != near["b.id"]) & (places["place"] > near["lo"]) & (places["place"] < near["hi"]), "left_anti")
+    # both ends are anchors, and their own chains lie outside: so the anchors within are those of other chains, counted from places up to either end
+    c = chains.select("query", "reference", F.col("r_contig").alias("rc"), F.explode("anchors.r_pos").alias("place")).groupBy("query", "reference", "rc", "place").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("upto", F.sum("n").over(Window.partitionBy("query", "reference", "rc").orderBy("place")))
+    keys = ["query", "reference", "rc"]
+    near = near.withColumn("rc", F.col("a.rc"))
+    near = near.join(c.select(*keys, F.col("place").alias("lo"), F.col("upto").alias("_lo")), [*keys, "lo"]).join(c.select(*keys, F.col("place").alias("hi"), (F.col("upto") - F.col("n")).alias("_hi")), [*keys, "hi"])
+    free = near.where("_hi <= _lo")
     free = free.select("query", "reference", F.when(F.col("diff") > 0, "insertion").otherwise("deletion").alias("sv_type"), "q_contig", F.col("a.q").alias("q_start"), F.col("b.q").alias("q_end"), F.col("a.rc").alias("r_contig"), F.col("lo").alias("r_start"), F.col("hi").alias("r_end"), F.abs("diff").alias("size"), *support)
     return moved.unionByName(free)
 

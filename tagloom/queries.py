@@ -649,6 +649,32 @@ def panel_scores(spark, sf):
     return found.withColumn("mae", F.round("mae", 6)).withColumn("bias", F.round("bias", 6))
 
 
+_BLOCK_KMERS = f"""side AS (SELECT query, reference, chain_id, 'q' AS side, query AS genome_id, q_contig AS contig_id, list_min(cq) AS lo, list_max(cq) + 1 AS hi FROM ch UNION ALL SELECT query, reference, chain_id, 'r', reference, r_contig, list_min(cr), list_max(cr) + 1 FROM ch),
+trimmed AS (SELECT s.query, s.reference, s.chain_id, s.side, substr(c.seq, lo + 1, least(hi, length(seq)) - lo) AS w FROM side s JOIN contigs c USING (genome_id, contig_id)),
+km AS (SELECT DISTINCT query, reference, chain_id, side, least(m, {_RC.format('m')}) AS m FROM (SELECT *, substr(w, i + 1, 15) AS m FROM (SELECT *, unnest(range(0, length(w) - 14)) AS i FROM trimmed WHERE length(w) > 15))),
+two AS (SELECT query, reference, chain_id, m, max(CASE WHEN side = 'q' THEN 1 ELSE 0 END) AS q, max(CASE WHEN side = 'r' THEN 1 ELSE 0 END) AS r FROM km GROUP BY ALL),
+bk AS (SELECT query, reference, chain_id, sum(q) AS n_query, sum(r) AS n_reference, sum(q * r) AS shared FROM two GROUP BY ALL)"""
+
+
+def block_spans(chains: DataFrame) -> DataFrame:
+    """From the first anchor of a chain to its last, on either side."""
+    ends = [f(f"anchors.{s}_pos").alias(f"{s}_{e}") for s in ("q", "r") for e, f in (("start", F.array_min), ("end", F.array_max))]
+    return chains.select("query", "reference", "chain_id", "q_contig", "r_contig", "n_anchors", *ends)
+
+
+@query(_compared(_BLOCK_KMERS) + "SELECT query, reference, chain_id, n_query::BIGINT AS n_query, n_reference::BIGINT AS n_reference, shared::BIGINT AS shared FROM bk")
+def block_kmers(spark, sf):
+    """k-mers of both sides within each chain."""
+    return legacy.block_kmers(stored(block_spans(source_results(spark, sf).chains), "blocks"), contigs(spark, sf), ["query", "reference", "chain_id"])
+
+
+@query(_compared(_BLOCK_KMERS) + "SELECT query, reference, round(sum(greatest(least(1 + ln(greatest(least(shared / least(n_query, n_reference), 1), 1e-9)) / 15, 1), 0) * n_anchors) / sum(n_anchors), 9) AS kmer_ani FROM bk JOIN ch USING (query, reference, chain_id) WHERE n_query > 0 AND n_reference > 0 GROUP BY ALL")
+def block_kmer_identity(spark, sf):
+    """k-mer identity of each pair's chains, weighted by their anchors."""
+    k = legacy.block_kmer_identity(stored(block_spans(source_results(spark, sf).chains), "blocks"), contigs(spark, sf), ["query", "reference", "chain_id"], "n_anchors")
+    return k.withColumn("kmer_ani", F.round("kmer_ani", 9))
+
+
 @query()
 def legacy_matches(spark, sf):
     return all_matches(spark, sf)
@@ -671,7 +697,7 @@ def legacy_variants(spark, sf):
 def legacy_summary(spark, sf):
     t = tags_once(spark, sf)
     pairs = _unordered(spark, sf)
-    return legacy_report.summary(stored(legacy.match_all(t, pairs), "matches"), t, pairs)
+    return legacy_report.summary(stored(legacy.match_all(t, pairs), "matches"), t, pairs, contigs=contigs(spark, sf))
 
 
 @query()

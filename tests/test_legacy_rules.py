@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,35 @@ def test_variants_in_order(spark):
     rows = [("a", "b", "deletion", 0, q, q + n, 0, 0, 0, 5, 1, 1) for q, n in ((500, 9), (20, 7), (20, 3))] + [("a", "a", "insertion", 3, 1, 1, 0, 0, 0, 5, 1, 1)]
     d = spark.createDataFrame(rows, "query string, reference string, sv_type string, q_contig long, q_start long, q_end long, r_contig long, r_start long, r_end long, size long, support_left long, support_right long")
     assert [(r.q_contig, r.q_start, r.q_end) for r in sv.ordered(d).collect()] == [(3, 1, 1), (0, 20, 23), (0, 20, 27), (0, 500, 509)]
+
+
+def test_kmers_of_blocks(spark):
+    """Both strands, other letters, ends beyond the contig, spans of no more than k bases, shared and repeated k-mers."""
+    rng = np.random.default_rng(6)
+    a = "".join(rng.choice(list("ACGT"), 20_000))
+    b = a[:9_000] + "N" + a[9_001:15_000][::-1].translate(str.maketrans("ACGT", "TGCA")) + a[:3_000]
+    contigs = spark.createDataFrame([("a", 1, a, len(a)), ("b", 2, b, len(b)), ("b", 3, "ACGT" * 3, 12)], "genome_id string, contig_id long, seq string, length long")
+    blocks = [("a", "b", 0, 1, 100, 8_900, 2, 90, 9_100, 5), ("a", "b", 1, 1, 9_500, 99_999, 2, 8_000, 99_999, 2), ("a", "b", 2, 1, 10, 24, 2, 0, 500, 9), ("a", "b", 3, 1, 0, 400, 3, 0, 100, 9), ("a", "b", 4, 1, 0, 2_000, 2, 15_000, 17_500, 0)]
+    spans = spark.createDataFrame(blocks, "query string, reference string, block long, q_contig long, q_start long, q_end long, r_contig long, r_start long, r_end long, n_tags long")
+    k = 15
+    turn = str.maketrans("ACGT", "TGCA")
+
+    def own(seq, lo, end):
+        w = seq[lo : min(end + 1, len(seq))]
+        if len(w) <= k:
+            return set()
+        return {min(x, x[::-1].translate(turn)) for x in (w[i : i + k] for i in range(len(w) - k + 1)) if "N" not in x}
+
+    seqs = {1: a, 2: b, 3: "ACGT" * 3}
+    want, top, weight = {}, 0.0, 0
+    for _, _, block, qc, q0, q1, rc, r0, r1, n in blocks:
+        q, r = own(seqs[qc], q0, q1), own(seqs[rc], r0, r1)
+        if q or r:
+            want[block] = (len(q), len(r), len(q & r))
+        if q and r:
+            top += max(n, 1) * max(0.0, 1 + math.log(max(len(q & r) / min(len(q), len(r)), 1e-9)) / k)
+            weight += max(n, 1)
+    ids = ["query", "reference", "block"]
+    assert {r.block: (r.n_query, r.n_reference, r.shared) for r in legacy.block_kmers(spans, contigs, ids).collect()} == want
+    assert math.isclose(legacy.block_kmer_identity(spans, contigs, ids).first().kmer_ani, top / weight)
+    assert legacy.block_kmer_identity(spans.limit(0), contigs, ids).count() == 0

@@ -4,7 +4,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import legacy, panel
+from tagloom.operators import legacy, panel, synteny
 from tagloom.operators.digest import digest
 from tagloom.operators.enzymes import resolve
 from tagloom.sources import fasta, sketch, strata
@@ -88,10 +88,8 @@ def test_legacy(spark):
     a = spark.createDataFrame(rows, "query string, reference string, enzyme string, q_contig long, q_pos long, r_contig long, r_pos long, orient string, mm int, uniq boolean")
     m = legacy.match_tags(a)
     assert m.count() == 10 and m.agg(F.max("gap_diff")).first()[0] == 6000 and m.where("q_pos = 0").first().mm == 0
-    b = legacy.blocks(m)
-    assert sorted(r.n_tags for r in b.collect()) == [5, 5]
-    assert legacy.weighted_ani(b).first().weighted_ani == 100.0
-    assert legacy.legacy_variants(m, jump=6500).count() == 1 and legacy.block_paf(b).count() == 2
+    b = synteny.chained_blocks(m)
+    assert sorted(r.n_tags for r in b.collect()) == [5, 5] and legacy.block_paf(b).count() == 2
     assert legacy.contig_mash(a).first().n == 11
     one = spark.createDataFrame([(100, 0.25)], "n int, af double").select(legacy.confidence(F.col("n"), F.col("af")).alias("c")).first().c
     assert abs(one - 0.5 * (1 - 2.718281828 ** -1)) < 1e-6
