@@ -13,6 +13,7 @@ from tagloom.operators.compare import Comparison, compare
 from tagloom.operators.digest import digest
 from tagloom.operators.enzymes import DEFAULT_PANEL, Enzyme, resolve
 from tagloom.operators.screen import MIN_CONTAINMENT, MIN_SHARED, WINDOW, screen_keys, screen_pairs
+from tagloom.sources.database import warn_of_other_panels
 from tagloom.sources.scratch import stored
 from tagloom.sources.sketch import contigs_of, tags_of
 
@@ -31,8 +32,11 @@ class Genomes:
         return cls(contigs, digest(contigs, enzymes), enzymes)
 
     @classmethod
-    def from_sketches(cls, sketches: DataFrame, panel: str | list[str] = list(DEFAULT_PANEL)) -> Genomes:
+    def from_sketches(cls, sketches: DataFrame, panel: str | list[str] = list(DEFAULT_PANEL), warn: bool = False) -> Genomes:
+        """warn: say how many sketches have tags of another panel, which takes a pass over them."""
         enzymes = resolve(panel)
+        if warn:
+            warn_of_other_panels(sketches, [e.name for e in enzymes])
         return cls(contigs_of(sketches), tags_of(sketches).where(F.col("enzyme").isin([e.name for e in enzymes])), enzymes)
 
     def names(self) -> DataFrame:
