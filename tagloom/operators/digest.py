@@ -65,15 +65,18 @@ def digest(contigs: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
 
     A batch of contigs is scanned end to end, once for all enzymes; windows that
     cross from one contig to the next are none. Lower-case bases count as upper
-    case; windows with other letters have no tag; null sequences have none.
+    case; windows with other letters have no tag; null sequences have none. Where
+    contigs have a column ``start``, a sequence begins at that place of its contig.
     """
     panel = resolve() if panel is None else panel
+    start = F.col("start").cast("long") if "start" in contigs.columns else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, raw = _bytes(batch.column(2))
             bits = _BITS[raw]
             impure = np.concatenate(([0], np.cumsum(bits == 0)))
+            first = batch.column(3).to_numpy(zero_copy_only=False)
             for e in panel:
                 at = positions(bits, e, impure)
                 row = np.searchsorted(offsets, at, side="right") - 1
@@ -84,9 +87,32 @@ def digest(contigs: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
                 letters = np.ascontiguousarray(raw[at[:, None] + np.arange(e.tag_len)])
                 ends = np.arange(0, letters.size + 1, e.tag_len, dtype=np.int32)
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([e.name] * len(at), pa.string()), pa.array(at - offsets[row]), pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters))], ["genome_id", "contig_id", "enzyme", "position", "tag"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([e.name] * len(at), pa.string()), pa.array(at - offsets[row] + first[row]), pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters))], ["genome_id", "contig_id", "enzyme", "position", "tag"])
 
-    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"))).mapInArrow(run, TAGS)
+    return spread(contigs.select(F.col("genome_id").cast("string"), F.col("contig_id").cast("long"), F.col("seq").cast("string"), start)).mapInArrow(run, TAGS)
+
+
+def digest_segments(segments: DataFrame, panel: list[Enzyme] | None = None) -> DataFrame:
+    """The tags of contigs cut into segments (genome_id, contig_id, start, seq): those of the whole contigs.
+
+    Every window belongs to the segment that it starts in. Those that end there
+    are found in place; those that reach beyond, in the segment's last bases with
+    the first ones of the segments that follow. Only these ends are shuffled, so a
+    chromosome is as many tasks as it has segments.
+    """
+    panel = resolve() if panel is None else panel
+    reach = max((e.tag_len for e in panel), default=1) - 1
+    if not reach:
+        return digest(segments, panel)
+    ends = segments.select("genome_id", "contig_id", "start", F.length("seq").cast("long").alias("n"), F.substring("seq", 1, reach).alias("head"), F.right("seq", F.lit(reach)).alias("tail")).where("n > 0")
+    # a segment shorter than the reach is its own head, and the next ones' heads go on where it ends
+    after = Window.partitionBy("genome_id", "contig_id").orderBy("start").rowsBetween(1, reach)
+    ends = ends.select("genome_id", "contig_id", (F.col("start") + F.col("n") - F.length("tail")).alias("start"), F.length("tail").alias("own"), "tail", F.substring(F.array_join(F.collect_list("head").over(after), ""), 1, reach).alias("next")).where("next <> ''")
+    over = digest(ends.select("genome_id", "contig_id", "start", F.concat("tail", "next").alias("seq")), panel)
+    edges = ends.select("genome_id", "contig_id", (F.col("start") + F.col("own")).alias("edge"))
+    over = over.withColumn("edge", F.explode(F.sequence(F.col("position") + 1, F.col("position") + F.length("tag") - 1))).join(edges, ["genome_id", "contig_id", "edge"])
+    # a window over several edges is found at each of them
+    return digest(segments, panel).unionByName(over.select("genome_id", "contig_id", "enzyme", "position", "tag").distinct())
 
 
 def margin_digest(contigs: DataFrame, enzymes: list[MarginEnzyme]) -> DataFrame:

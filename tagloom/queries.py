@@ -6,6 +6,7 @@ over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,9 +21,11 @@ from tagloom.operators import fill, intervals, legacy, legacy_report, panel, rep
 from tagloom.operators.chain import Config
 from tagloom.operators.compare import Comparison
 from tagloom.plans import commands
+from tagloom.sources import container
 from tagloom.sources import sketch as sk
-from tagloom.sources.fasta import BASES, LETTERS, document_contigs, text_contigs
-from tagloom.sources.scratch import stored
+from tagloom.sources.database import SketchDatabase
+from tagloom.sources.fasta import BASES, LETTERS, cut_segments, document_contigs, text_contigs
+from tagloom.sources.scratch import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +152,12 @@ def digest_tags(spark, sf):
     return tags(spark, sf)
 
 
+@query(_with(_tags_sql()) + "SELECT * FROM tags")
+def segment_tags(spark, sf):
+    """Tags of contigs cut into segments of 500 bases."""
+    return dig.digest_segments(stored(cut_segments(contigs(spark, sf), 500), "segments"))
+
+
 _MARGINS = enz.MarginEnzyme("GacTrg", "GAC", "TRG", 4, 24, 9, 6)
 
 
@@ -383,6 +392,26 @@ def db_merge(spark, sf):
     return sk.db_list(sk.db_merge([mine, added])).select("genome_id", "n_contigs", "tag_count")
 
 
+@query(_with(_tags_sql()) + "SELECT genome_id, contig_id, enzyme, position, tag FROM tags")
+def container_tags(spark, sf):
+    """The tags of all sources, written as containers and read back."""
+    container.register(spark)
+    path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    sketches(spark, sf).where("genome_id is not null").repartition("genome_id").write.format("s2ba").mode("append").save(path)
+    back = sk.tags_of(spark.read.format("s2ba").load(path).withColumn("contig_id", F.col("contig_name").cast("long")))
+    return back.select("genome_id", "contig_id", "enzyme", "position", "tag")
+
+
+@query(_with(_tags_sql().replace("FROM documents)", f"FROM documents WHERE source <> 'src1' UNION ALL {_BENCH})", 1), _DB) + "SELECT genome_id, n_contigs, coalesce(n, 0) AS tag_count FROM c LEFT JOIN n USING (genome_id)")
+def database_states(spark, sf):
+    """A database after three commits: all sources, one of them gone, and the benchmark passages digested with its panel."""
+    db = SketchDatabase(spark, f"{shared_dir(spark)}/database-{uuid.uuid4().hex}")
+    db.put(sketches(spark, sf))
+    db.remove(["src1"])
+    db.add(benchmark_genomes(spark, sf).contigs)
+    return sk.db_list(db.read()).select("genome_id", "n_contigs", "tag_count")
+
+
 # --- reports over whole rows of numbers: each line item stands for a result -------------------
 
 _CASE_SQL = """c AS (SELECT l_orderkey AS id, l_linenumber AS line, 0.8 + l_discount AS het, 0.81 + l_tax AS uniform, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE 0.8 + l_tax END AS loss, CASE WHEN l_returnflag = 'R' THEN 'NaN'::DOUBLE ELSE 0.8 + l_discount END AS hist,
@@ -675,6 +704,21 @@ def block_kmer_identity(spark, sf):
     return k.withColumn("kmer_ani", F.round("kmer_ani", 9))
 
 
+_ALONE = "pa1 AS (SELECT query, reference, x.enzyme AS panel, [x] AS s FROM (SELECT query, reference, unnest(s) AS x FROM ar2))"
+_ALONE += f", pa AS MATERIALIZED (SELECT query, reference, panel, query || '|' || reference || '|' || panel AS key, s, {csql.UNIFORM} AS uniform FROM pa1)"
+
+
+@query(
+    _compared(csql.results_sql(), _ALONE, csql.heterogeneous("ha", "pa"), "er AS (SELECT panel, 100 * h.ani - 100 * f.uniform AS e FROM pa JOIN fit3 f USING (query, reference) JOIN (SELECT key, ani FROM ha) h ON h.key = pa.key)")
+    + "SELECT panel, count(e) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias FROM er GROUP BY panel"
+)
+def panel_singles(spark, sf):
+    """Each enzyme alone against the fit of all."""
+    found = source_results(spark, sf)
+    truth = stored(found.pairs.select("query", "reference", (100 * F.col("ani_uniform")).alias("truth")), "truth")
+    return panel.singles(stored(found.strata, "strata"), truth).withColumn("mae", F.round("mae", 6)).withColumn("bias", F.round("bias", 6))
+
+
 @query()
 def legacy_matches(spark, sf):
     return all_matches(spark, sf)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.sources.scratch import stored
+
 #: Letters a..z to bases by code point modulo 4.
 LETTERS = "".join(chr(97 + k) for k in range(26))
 BASES = "".join("ACGT"[(97 + k) % 4] for k in range(26))
@@ -51,6 +56,80 @@ def read_fasta(spark: SparkSession, path: str | list[str], genome_from_stem: boo
     return out.select("genome_id", "contig_id", "contig_name", "seq", F.length("seq").cast("long").alias("length"))
 
 
+_CHUNKS = "file string, block long, nth long, record long, name string, at long, seq string"
+
+
+def read_segments(spark: SparkSession, path: str | list[str], size: int = 1 << 20, genome_from_stem: bool = True) -> DataFrame:
+    """genome_id, contig_id, contig_name, start, seq of FASTA files of any size: the records in segments of ``size`` bases.
+
+    Lines are read by splits of a file, so that a file of many gigabytes, or one
+    chromosome of it, is many tasks (a gzipped file is one, but never one row). A
+    split says how many records begin in it and how many bases follow the last of
+    them; sums over a file's splits make contig numbers and places of that.
+    contig_id, names, letters and errors are those of ``read_fasta``.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one split after another, its lines in order
+        split, record, name, at, nth, parts, held = None, 0, None, 0, 0, [], 0
+
+        def chunk() -> tuple:
+            nonlocal name, at, nth, parts, held
+            out = (*split, nth, record, name, at, "".join(parts))
+            name, at, nth, parts, held = None, at + held, nth + 1, [], 0
+            return out
+
+        for batch in batches:
+            rows = []
+            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != split:
+                    if split is not None:
+                        rows.append(chunk())
+                    split, record, name, at, nth = (file, block), 0, None, 0, 0
+                if line.startswith(">"):
+                    if held or record or nth:
+                        rows.append(chunk())
+                    record, name, at = record + 1, line[1:], 0
+                    continue
+                bases = "".join(line.split())
+                if bases and not record and not block:
+                    raise ValueError(f"not FASTA: {file}")
+                parts.append(bases)
+                held += len(bases)
+                if held >= size:
+                    rows.append(chunk())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], [x.split()[0] for x in _CHUNKS.split(", ")])
+        if split is not None:
+            last = chunk()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], [x.split()[0] for x in _CHUNKS.split(", ")])
+
+    chunks = stored(lines.mapInArrow(run, _CHUNKS), "segments")
+    n = F.length("seq").cast("long")
+    splits = chunks.groupBy("file", "block").agg(F.max("record").alias("records"), F.max_by(F.struct("at", n.alias("n")), F.struct("record", "nth")).alias("last"))
+    splits = splits.select("file", "block", "records", (F.col("last.at") + F.col("last.n")).alias("tail"))
+    order = Window.partitionBy("file").orderBy("block")
+    splits = splits.withColumn("run", F.sum((F.col("records") > 0).cast("int")).over(order)).withColumn("sum", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("block")))
+    splits = splits.select("file", "block", (F.sum("records").over(order) - F.col("records")).alias("before"), F.coalesce(F.lag("sum").over(order), F.lit(0)).alias("carried"))
+    stem = F.regexp_replace("file", r"(\.(fa|fasta|fna|fas))?(\.gz)?$", "")
+    out = chunks.join(splits, ["file", "block"]).where("before + record > 0").select("file", (F.col("before") + F.col("record") - 1).alias("contig_id"), F.col("name").alias("contig_name"), (F.col("at") + F.when(F.col("record") == 0, F.col("carried")).otherwise(0)).alias("start"), F.upper("seq").alias("seq"))
+    if genome_from_stem:
+        return out.select(stem.alias("genome_id"), "contig_id", "contig_name", "start", "seq")
+    first = out.where("contig_id = 0 and contig_name is not null").select("file", F.substring_index("contig_name", " ", 1).alias("genome_id"))
+    return out.join(first, "file").select("genome_id", "contig_id", "contig_name", "start", "seq")
+
+
+def segment_contigs(segments: DataFrame) -> DataFrame:
+    """genome_id, contig_id, contig_name, length of the contigs of segments."""
+    return segments.groupBy("genome_id", "contig_id").agg(F.max("contig_name").alias("contig_name"), F.sum(F.length("seq")).alias("length"))
+
+
+def cut_segments(contigs: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """Contigs (genome_id, contig_id, seq) cut into segments of ``size`` bases; an empty one is one empty segment."""
+    places = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
+    return contigs.select("genome_id", "contig_id", "seq", F.explode(places).alias("start")).select("genome_id", "contig_id", F.col("start").cast("long").alias("start"), F.expr(f"substr(seq, start + 1, {size})").alias("seq"))
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """genome_id (stem), contig_id, contig_name, seq, length of four-line FASTQ records."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))

@@ -80,7 +80,19 @@ def test_strata_and_panel(spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         path = panel.greedy(s, t)
-    assert path[0][1] == min(r.mae for r in scores.values())
+    assert path[0].mae == min(r.mae for r in scores.values())
+    # all enzymes come in, and marks say which steps helped
+    assert [len(x.panel) for x in path] == list(range(1, len(scores) + 1)) and path[0].improved
+    best = float("inf")
+    for x in path:
+        assert x.improved == (x.mae < best)
+        best = min(best, x.mae)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        lines = panel.report(s, t, "BcgI;nobody", True)
+    assert lines[0].endswith(",".join(sorted(scores))) and any(x.startswith("  nobody") and x.endswith("n/a") for x in lines) and sum(x.startswith("  BcgI") for x in lines) == 2
+    with pytest.raises(ValueError, match="truth"):
+        panel.report(s, t.limit(0))
 
 
 def test_legacy(spark):
