@@ -9,83 +9,89 @@ from pyspark.sql import functions as F
 from tagloom.functions.sequence import pack, packed_mismatches
 from tagloom.operators.anchors import TOLERANCE, parts
 from tagloom.operators.digest import kmers
-from tagloom.operators.enzymes import Enzyme, resolve
+from tagloom.operators.enzymes import LONGEST_TAG, Enzyme, resolve
 from tagloom.operators.postings import shared_counts
-from tagloom.operators.synteny import block_sizes
+from tagloom.operators.synteny import block_sizes, match_length
 from tagloom.sources.scratch import stored
 
 MATCH = "query string, reference string, enzyme string, q_contig long, q_pos long, r_contig long, r_pos long, mm int, gap_diff long"
+#: Matches across enzymes name the reference tag's too.
+MATCHES = MATCH + ", r_enzyme string"
 #: The detour of a candidate on other contigs than the last match.
 ELSEWHERE = 1 << 62
 
 
-def _greedy(key: tuple, places) -> pd.DataFrame:
-    """Matches of one genome pair from (query place, its candidates as r_contig, r_pos, mm, enzyme by place) in query order."""
+def _greedy(key: tuple, places) -> list[tuple]:
+    """Matches of one genome pair from (query place and enzyme, its candidates as (differs, mm, (r_contig, r_pos, r_enzyme))) in query order."""
     used, out, last = set(), [], None
-    for (qc, qp), candidates in places:
+    for (qc, qp, enzyme), candidates in places:
         best = None
-        for rc, rp, mm, enzyme in candidates:
-            if (rc, rp) in used:
+        for differs, mm, place in candidates:
+            if place in used:
                 continue
+            rc, rp, _ = place
             lead = 0 if not last else abs((rp - last[3]) - (qp - last[1])) if last[0] == qc and last[2] == rc else ELSEWHERE
-            if best is None or (mm, lead) < best[0]:
-                best = ((mm, lead), (rc, rp, mm, enzyme))
+            best = min(best or (2,), (differs, mm, lead, place))
         if best:
-            rc, rp, mm, enzyme = best[1]
-            used.add((rc, rp))
-            gap = abs((rp - last[3]) - (qp - last[1])) if last and last[0] == qc and last[2] == rc else 0
-            out.append((*key, enzyme, qc, qp, rc, rp, mm, gap))
+            rc, rp, r_enzyme = best[3]
+            used.add(best[3])
+            gap = best[2] if last and last[0] == qc and last[2] == rc else 0
+            out.append((*key, enzyme, qc, qp, rc, rp, best[1], gap, r_enzyme))
             last = (qc, qp, rc, rp)
-    return pd.DataFrame(out, columns=[x.split()[0] for x in MATCH.split(", ")])
+    return out
 
 
 def match_tags(anchors: DataFrame) -> DataFrame:
-    """Greedy one-to-one matches of forward anchors, in query order.
-
-    A query tag takes the free reference tag with the fewest mismatches, then the
-    one nearest to where the last match leads. The choice depends on the matches
-    before, so a pair of genomes is one group; gap_diff is the difference of the
-    steps since the last match on the same contigs.
-    """
+    """The matches of ``match_all`` from forward anchors, within one enzyme: one query place, one reference place."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by_place = pdf.sort_values(["q_contig", "q_pos", "r_contig", "r_pos"]).groupby(["q_contig", "q_pos"], sort=True)
-        return _greedy(key, ((at, zip(g.r_contig, g.r_pos, g.mm, g.enzyme)) for at, g in by_place))
+        rows = _greedy(key, (((*at, g.enzyme.iloc[0]), [(int(mm > 0), mm, (rc, rp, e)) for rc, rp, mm, e in zip(g.r_contig, g.r_pos, g.mm, g.enzyme)]) for at, g in by_place))
+        # the enzyme of a match is that of the anchor taken
+        return pd.DataFrame([(*r[:2], r[9], *r[3:9]) for r in rows], columns=[x.split()[0] for x in MATCH.split(", ")])
 
     return anchors.where("orient = '+'").groupBy("query", "reference").applyInPandas(run, MATCH)
 
 
 def match_all(tags: DataFrame, pairs: DataFrame, panel: list[Enzyme] | None = None, tolerance: int = TOLERANCE) -> DataFrame:
-    """The matches of ``match_tags`` over all tags, however often they occur.
-
-    Distinct tags are compared, each once; a pair of them brings the list of its
-    places on either side, so copies add rows to neither the join nor the shuffle.
+    """Greedy one-to-one matches of forward tags of each pair, whatever their enzymes and however often they occur.
+
+    Two tags are compared over the shorter one's bases. In the order of places
+    (then enzyme names) a query tag takes, of the reference tags still free and
+    within ``tolerance``, one that is equal to it when both are packed, else the
+    one with the fewest mismatches; of equal ones that nearest to where the last
+    match leads, then the first. The choice depends on the matches before, so a
+    pair of genomes is one group. gap_diff is the difference of the steps since
+    the last match on the same contigs. Distinct tags are compared, each once; a
+    pair of them brings the list of its places on either side, so copies add rows
+    to neither the join nor the shuffle.
     """
-    cut = tags.where(F.col("enzyme").isin([e.name for e in (resolve() if panel is None else panel)])).select("enzyme", "tag").distinct().select("enzyme", "tag", pack(F.col("tag")).alias("x"))
-    cut = cut.select("enzyme", "tag", "x", F.inline(parts(F.col("x"), F.length("tag"), tolerance)))
-    close = cut.join(cut.withColumnsRenamed({"tag": "other", "x": "y"}), ["enzyme", "part", "bits"]).withColumn("mm", packed_mismatches(F.col("x"), F.col("y"))).where(F.col("mm") <= tolerance).select("enzyme", "tag", "other", "mm").distinct()
-    places = tags.groupBy("genome_id", "enzyme", "tag").agg(F.collect_list(F.struct(F.col("contig_id").alias("contig"), F.col("position").alias("pos"))).alias("places"))
-    q = pairs.select("query", "reference").join(places.select(F.col("genome_id").alias("query"), "enzyme", "tag", F.col("places").alias("q_places")), "query")
-    both = q.join(close, ["enzyme", "tag"]).join(places.select(F.col("genome_id").alias("reference"), "enzyme", F.col("tag").alias("other"), F.col("places").alias("r_places")), ["reference", "enzyme", "other"])
+    known = resolve() if panel is None else panel
+    own = tags.where(F.col("enzyme").isin([e.name for e in known])).select("genome_id", "enzyme", "contig_id", "position", "tag")
+    lengths = sorted({min(e.tag_len, LONGEST_TAG) for e in known})
+    levels = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.col("len"))
+    x = own.select("tag").distinct().select("tag", F.length("tag").alias("len"), pack(F.col("tag")).alias("x")).select("*", F.explode(levels).alias("level"))
+    # the first bases that a comparison at this level takes
+    mask = F.when(F.col("level") >= 32, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), 2 * F.col("level")) - 1)
+    cut = x.withColumn("y", F.col("x").bitwiseAND(mask))
+    cut = cut.select("tag", "len", "x", "y", "level", F.inline(parts(F.col("y"), F.col("level"), tolerance)))
+    o = cut.withColumnsRenamed({"tag": "other", "len": "o_len", "x": "o_x", "y": "o_y"})
+    close = cut.join(o, ["level", "part", "bits"]).where(F.least("len", "o_len") == F.col("level")).withColumn("mm", packed_mismatches(F.col("y"), F.col("o_y"))).where(F.col("mm") <= tolerance)
+    close = close.select("tag", "other", "mm", (F.col("x") != F.col("o_x")).cast("int").alias("differs")).distinct()
+    places = own.groupBy("genome_id", "tag").agg(F.collect_list(F.struct(F.col("contig_id").alias("contig"), F.col("position").alias("pos"), "enzyme")).alias("places"))
+    q = pairs.select("query", "reference").join(places.select(F.col("genome_id").alias("query"), "tag", F.col("places").alias("q_places")), "query")
+    both = q.join(close, "tag").join(places.select(F.col("genome_id").alias("reference"), F.col("tag").alias("other"), F.col("places").alias("r_places")), ["reference", "other"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at: dict[tuple, list] = {}
-        for enzyme, mm, q_places, r_places in zip(pdf.enzyme, pdf.mm, pdf.q_places, pdf.r_places):
-            r = sorted((x["contig"], x["pos"], mm, enzyme) for x in r_places)
+        for mm, differs, q_places, r_places in zip(pdf.mm, pdf.differs, pdf.q_places, pdf.r_places):
+            r = [(differs, mm, (x["contig"], x["pos"], x["enzyme"])) for x in r_places]
             for x in q_places:
-                at.setdefault((x["contig"], x["pos"]), []).append(r)
-
-        def candidates(lists: list) -> list:
-            if len(lists) == 1:
-                return lists[0]
-            best: dict[tuple, tuple] = {}
-            for rc, rp, mm, enzyme in (c for x in lists for c in x):
-                best[rc, rp] = min(best.get((rc, rp), (mm, enzyme)), (mm, enzyme))
-            return [(*place, *c) for place, c in sorted(best.items())]
-
-        return _greedy(key, ((place, candidates(at[place])) for place in sorted(at)))
+                at.setdefault((x["contig"], x["pos"], x["enzyme"]), []).append(r)
+        rows = _greedy(key, ((place, (c for r in at[place] for c in r)) for place in sorted(at)))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")])
 
-    return both.select("query", "reference", "enzyme", "mm", "q_places", "r_places").groupBy("query", "reference").applyInPandas(run, MATCH)
+    return both.select("query", "reference", "mm", "differs", "q_places", "r_places").groupBy("query", "reference").applyInPandas(run, MATCHES)
 
 
 def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str = "query") -> DataFrame:
@@ -95,15 +101,14 @@ def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str =
 
 
 def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int = 5000, panel: list[Enzyme] | None = None) -> DataFrame:
-    """query, reference, raw_ani, weighted_ani (percent), n_tags: each match weighs by itself, its identity being over its own enzyme's tag length.
+    """query, reference, raw_ani, weighted_ani (percent), n_tags: each match weighs by itself, its identity being over the longer of its tags.
 
     uniform 1; synteny the root of the number of tags of its chained block; position
     1 + sin(p / (max(p, 1) + 1)) of its query place p; gap 1 - min(|gap|, 10) / 20.
     """
-    lengths = F.create_map(*[x for e in (resolve() if panel is None else panel) for x in (F.lit(e.name), F.lit(e.tag_len))])
     weight = {"uniform": F.lit(1.0), "synteny": F.sqrt(F.col("n_tags") if scheme == "synteny" else F.lit(1)), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[scheme]
     m = block_sizes(matches, tolerance) if scheme == "synteny" else matches
-    m = m.select("query", "reference", (100 * (1 - F.col("mm") / lengths[F.col("enzyme")])).alias("ani"), weight.alias("w"))
+    m = m.select("query", "reference", (100 * (1 - F.col("mm") / match_length(m, panel))).alias("ani"), weight.alias("w"))
     return m.groupBy("query", "reference").agg(F.avg("ani").alias("raw_ani"), (F.sum(F.col("ani") * F.col("w")) / F.sum("w")).alias("weighted_ani"), F.count(F.lit(1)).alias("n_tags"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.operators.enzymes import Enzyme
 from tagloom.operators.legacy import block_kmer_identity, confidence
 from tagloom.operators.report import debias
-from tagloom.operators.synteny import GROUP, block_sizes, chained_blocks, tag_length
+from tagloom.operators.synteny import GROUP, block_sizes, chained_blocks, match_length, mean_length
 
 #: The header lines of the formats.
 TSV = ("query_file", "ref_file", "ani", "af_q", "af_r", "query_name", "ref_name", "shared_tags", "sv_count")
@@ -24,7 +24,7 @@ def contig_mash_ani(matches: DataFrame, tags: DataFrame, panel: list[Enzyme] | N
     mean of the matched shares of both contigs' tags.
     """
     total = tags.groupBy("genome_id", "contig_id").agg(F.count(F.lit(1)).alias("total"))
-    n = matches.groupBy("query", "reference", "q_contig", "r_contig").agg(F.count(F.lit(1)).alias("n"), F.avg(tag_length(F.col("enzyme"), panel)).alias("len"))
+    n = matches.groupBy("query", "reference", "q_contig", "r_contig").agg(F.count(F.lit(1)).alias("n"), F.avg(mean_length(matches, panel)).alias("len"))
     w = Window.partitionBy("query", "reference", "q_contig").orderBy(F.desc("n"), "r_contig")
     best = n.withColumn("nth", F.row_number().over(w)).where("nth = 1")
     side = lambda role, contig, name: total.select(F.col("genome_id").alias(role), F.col("contig_id").alias(contig), F.col("total").alias(name))
@@ -49,7 +49,7 @@ def summary(matches: DataFrame, tags: DataFrame, pairs: DataFrame, min_shared: i
     sizes = tags.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
     per = block_sizes(matches, tolerance) if weights == "synteny" else matches
     weight = {"uniform": F.lit(1.0), "synteny": F.sqrt(F.col("n_tags") if weights == "synteny" else F.lit(1)), "position": 1 + F.sin(F.col("q_pos") / (F.greatest("q_pos", F.lit(1)) + 1)), "gap": 1 - F.least(F.abs("gap_diff"), F.lit(10)) / 20}[weights]
-    per = per.select("query", "reference", (1 - F.col("mm") / tag_length(F.col("enzyme"), panel)).alias("local"), weight.alias("w"))
+    per = per.select("query", "reference", (1 - F.col("mm") / match_length(per, panel)).alias("local"), weight.alias("w"))
     per = per.groupBy("query", "reference").agg(F.count(F.lit(1)).alias("shared"), F.avg("local").alias("raw"), (F.sum(F.col("local") * F.col("w")) / F.sum("w")).alias("weighted"))
     mashed = contig_mash_ani(matches, tags, panel).groupBy("query", "reference").agg((F.sum(F.col("mash_ani") * F.col("n")) / F.sum("n")).alias("mash"))
     d = pairs.select("query", "reference").join(per, ["query", "reference"], "left").join(mashed, ["query", "reference"], "left")

@@ -17,6 +17,18 @@ def tag_length(enzyme: Column, panel: list[Enzyme] | None = None) -> Column:
     return F.create_map(*[x for e in (resolve() if panel is None else panel) for x in (F.lit(e.name), F.lit(e.tag_len))])[enzyme]
 
 
+def match_length(matches: DataFrame, panel: list[Enzyme] | None = None) -> Column:
+    """The longer tag of a match; matches without ``r_enzyme`` are of one enzyme."""
+    own = tag_length(F.col("enzyme"), panel)
+    return F.greatest(own, tag_length(F.col("r_enzyme"), panel)) if "r_enzyme" in matches.columns else own
+
+
+def mean_length(matches: DataFrame, panel: list[Enzyme] | None = None) -> Column:
+    """The mean length of a match's two tags."""
+    own = tag_length(F.col("enzyme"), panel)
+    return (own + tag_length(F.col("r_enzyme"), panel)) / 2 if "r_enzyme" in matches.columns else own
+
+
 def signed_gaps(matches: DataFrame) -> DataFrame:
     """gap_diff anew: the step on the query since the match before less the step on the reference, steps back counting as 0; 0 for the first."""
     w = Window.partitionBy("query", "reference").orderBy("q_contig", "q_pos", "r_contig", "r_pos")
@@ -79,7 +91,7 @@ def chained_blocks(matches: DataFrame, tolerance: int = 5000, panel: list[Enzyme
     too, so that blocks may share matches. Matches without ``orient`` are
     forward. No matches give no blocks.
     """
-    m = _stranded(matches).select(*GROUP, "q_pos", "r_pos", (1 - F.col("mm") / tag_length(F.col("enzyme"), panel)).alias("ani"))
+    m = _stranded(matches).select(*GROUP, "q_pos", "r_pos", (1 - F.col("mm") / match_length(matches, panel)).alias("ani"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, ranges = _sorted(pdf, tolerance)
@@ -121,7 +133,8 @@ def unmatched_of_pairs(tags: DataFrame, pairs: DataFrame, matches: DataFrame, ro
     """query, reference, enzyme, contig_id, position: each pair's tags on the side ``role`` that no match of the pair has."""
     side = role[0]
     t = pairs.select("query", "reference").join(tags.select(F.col("genome_id").alias(role), "enzyme", "contig_id", "position"), role)
-    m = matches.select("query", "reference", "enzyme", F.col(f"{side}_contig").alias("contig_id"), F.col(f"{side}_pos").alias("position"))
+    enzyme = F.col("r_enzyme" if side == "r" and "r_enzyme" in matches.columns else "enzyme").alias("enzyme")
+    m = matches.select("query", "reference", enzyme, F.col(f"{side}_contig").alias("contig_id"), F.col(f"{side}_pos").alias("position"))
     return t.join(m, ["query", "reference", "enzyme", "contig_id", "position"], "left_anti").select("query", "reference", "enzyme", "contig_id", "position")
 
 

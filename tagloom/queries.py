@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom import comparison_sql as csql
+from tagloom import legacy_sql as lsql
 from tagloom.functions import sequence as seq
 from tagloom.operators import anchors as anc
 from tagloom.operators import digest as dig
@@ -719,17 +720,25 @@ def panel_singles(spark, sf):
     return panel.singles(stored(found.strata, "strata"), truth).withColumn("mae", F.round("mae", 6)).withColumn("bias", F.round("bias", 6))
 
 
-@query()
+def _older(*parts: str) -> str:
+    return _with(_tags_sql().replace("\ntags AS (", "\ntags AS MATERIALIZED ("), *parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+@query(_older(lsql.MATCHES) + "SELECT * EXCLUDE (len, mean_len) FROM ma")
 def legacy_matches(spark, sf):
     return all_matches(spark, sf)
 
 
-@query()
+@query(_older(lsql.MATCHES, lsql.BLOCKS) + "SELECT * REPLACE (round(block_ani, 9) AS block_ani) FROM bl")
 def legacy_blocks(spark, sf):
-    return synteny.chained_blocks(all_matches(spark, sf))
+    return _rounded(synteny.chained_blocks(all_matches(spark, sf)), "block_ani")
 
 
-@query()
+@query(_older(lsql.MATCHES, lsql.BLOCKS, lsql.VARIANTS) + "SELECT * FROM va")
 def legacy_variants(spark, sf):
     t = tags_once(spark, sf)
     pairs = _unordered(spark, sf)
@@ -737,13 +746,16 @@ def legacy_variants(spark, sf):
     return synteny.variants(t, pairs, m, synteny.chained_blocks(m))
 
 
-@query()
+_SHARES = ("ani", "raw_ani", "weighted_ani", "mash_ani", "kmer_ani", "af_query", "af_reference", "confidence")
+
+
+@query(_older(lsql.MATCHES, lsql.BLOCKS, lsql.SUMMARY) + "SELECT query, reference, " + ", ".join(f"round({c}::DOUBLE, 9) AS {c}" for c in _SHARES) + ", shared_tags, ani < 0.83 AS below_detection FROM su")
 def legacy_summary(spark, sf):
     t = tags_once(spark, sf)
     pairs = _unordered(spark, sf)
-    return legacy_report.summary(stored(legacy.match_all(t, pairs), "matches"), t, pairs, contigs=contigs(spark, sf))
+    return _rounded(legacy_report.summary(stored(legacy.match_all(t, pairs), "matches"), t, pairs, contigs=contigs(spark, sf)), *_SHARES)
 
 
-@query()
+@query(_older(lsql.MATCHES, lsql.BLOCKS) + "SELECT query, reference, round(avg(100 * (1 - mm / len)), 9) AS raw_ani, round(sum(100 * (1 - mm / len) * sqrt(size)) / sum(sqrt(size)), 9) AS weighted_ani, count(*) AS n_tags FROM sized GROUP BY ALL")
 def legacy_ani(spark, sf):
-    return legacy.weighted_pairs(all_matches(spark, sf))
+    return _rounded(legacy.weighted_pairs(all_matches(spark, sf)), "raw_ani", "weighted_ani")

@@ -5,7 +5,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import anchors as anc
 from tagloom.operators import legacy
 from tagloom.queries import QUERIES
 
@@ -31,13 +30,49 @@ def test_copies_within_a_source_match(spark, tmp_path):
     assert QUERIES["legacy_ani"](spark, sf).first().raw_ani == 100.0
 
 
-def test_matches_are_those_of_unlimited_anchors(spark, sf):
-    t = QUERIES["digest_tags"](spark, sf).localCheckpoint()
-    g = t.select(F.col("genome_id").alias("query")).distinct()
-    pairs = g.join(g.withColumnRenamed("query", "reference"), F.col("query") < F.col("reference")).where("query in ('src0', 'src1', 'src2')")
-    key = lambda df: sorted(map(tuple, df.collect()))
-    want = key(legacy.match_tags(anc.find_anchors(t, t, pairs, max_occurrence=1 << 62, max_bucket=1 << 62)))
-    assert key(legacy.match_all(t, pairs)) == want and want
+def plain_matches(q, r, tolerance=2):
+    """All tags of two genomes, each in turn against every free one: (contig, pos, enzyme, tag) lists in order."""
+    used, out, last = set(), [], None
+    for qc, qp, qe, qt in q:
+        best = None
+        for k, (rc, rp, _, rt) in enumerate(r):
+            n = min(len(qt), len(rt))
+            mm = sum(a != b for a, b in zip(qt[:n], rt[:n]))
+            if k in used or mm > tolerance:
+                continue
+            lead = 0 if last is None else abs((rp - last[3]) - (qp - last[1])) if (last[0], last[2]) == (qc, rc) else math.inf
+            found = (qt.ljust(32, "A") != rt.ljust(32, "A"), mm, lead, k)
+            best = found if best is None else min(best, found)
+        if best:
+            rc, rp, re_, _ = r[best[3]]
+            out.append((qe, qc, qp, rc, rp, best[1], re_))
+            used.add(best[3])
+            last = (qc, qp, rc, rp)
+    return out
+
+
+def test_matches_are_those_of_all_tags_in_turn(spark, sf):
+    """Across enzymes and lengths: a tag of 27 bases may match the beginning of one of 32."""
+    t = QUERIES["digest_tags"](spark, sf)
+    names = [r.genome_id for r in t.select("genome_id").distinct().orderBy("genome_id").limit(6).collect()]
+    rows = [tuple(r) for r in t.where(F.col("genome_id").isin(names)).select("genome_id", "contig_id", "position", "enzyme", "tag").collect()]
+    # copies, near copies, and prefixes under another enzyme
+    rnd = random.Random(7)
+    for k, (g, c, p, e, tag) in enumerate(rows[:60]):
+        near = "".join(rnd.choice("ACGT") if rnd.random() < 0.04 else x for x in tag)
+        rows.append((names[k % 6], 9000 + k % 3, p + k, "AloI" if len(tag) == 32 else e, near[:27] if len(tag) == 32 else near))
+    df = spark.createDataFrame(rows, "genome_id string, contig_id long, position long, enzyme string, tag string").distinct()
+    pairs = [(a, b) for a in names for b in names if a < b]
+    got = {}
+    for m in legacy.match_all(df, spark.createDataFrame(pairs, "query string, reference string")).collect():
+        got.setdefault((m["query"], m.reference), []).append((m.enzyme, m.q_contig, m.q_pos, m.r_contig, m.r_pos, m.mm, m.r_enzyme))
+    side = lambda n: sorted((c, p, e, x) for g, c, p, e, x in set(rows) if g == n)
+    across = 0
+    for a, b in pairs:
+        want = plain_matches(side(a), side(b))
+        assert sorted(got.get((a, b), [])) == sorted(want)
+        across += sum(x[0] != x[6] for x in want)
+    assert across > 0
 
 
 def test_matches_weigh_by_themselves(spark):
