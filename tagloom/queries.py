@@ -143,9 +143,14 @@ def _registry_values() -> str:
     return ", ".join(f"('{e.name}', '{e.left}', '{e.right}', {e.spacer}, {e.tag_len}, '{e.recognition}', {len(e.patterns)}, {e.exact_site}, {e.d2}, {e.d3}, {e.body_len})" for e in enz.REGISTRY.values())
 
 
-@query(f"SELECT * FROM (VALUES {_registry_values()}) t(enzyme, left_anchor, right_anchor, spacer, tag_len, recognition, n_patterns, exact_site, d2, d3, body_len)")
+@query(
+    _with(_tags_sql([e.name for e in enz.usable()]), "n AS (SELECT enzyme, count(*) AS n_tags FROM tags GROUP BY ALL)")
+    + f"SELECT t.*, coalesce(n_tags, 0) AS n_tags FROM (VALUES {_registry_values()}) t(enzyme, left_anchor, right_anchor, spacer, tag_len, recognition, n_patterns, exact_site, d2, d3, body_len) LEFT JOIN n USING (enzyme)"
+)
 def enzyme_registry(spark, sf):
-    return enz.registry(spark)
+    """The registry, with the tags that each enzyme has in all documents."""
+    n = dig.digest(contigs(spark, sf), enz.usable()).groupBy("enzyme").agg(F.count(F.lit(1)).alias("n_tags"))
+    return enz.registry(spark).join(n, "enzyme", "left").fillna(0, ["n_tags"])
 
 
 @query(_with(_tags_sql()) + "SELECT * FROM tags")
@@ -605,6 +610,13 @@ def triangle(spark, sf):
     return report.ani_rows(source_results(spark, sf).pairs, calibrate=True, verbose=True)
 
 
+@query(_compared(csql.results_sql()) + "SELECT query, reference, round(greatest(0, least(1, 0.9 + 0.1 * (CASE WHEN het <= 0.9 THEN -0.2 WHEN kept <= 0.5 THEN 0.1 ELSE 0.3 END) + 0.1 * (CASE WHEN kept <= 0.2 THEN 0.05 ELSE -0.05 END)))::DOUBLE, 9) AS prediction FROM flagged")
+def tree_results(spark, sf):
+    """A small ensemble of trees over the results of all screened pairs."""
+    found = report.predict_trees(source_results(spark, sf).pairs, ["ani_het", "retention"], _TREES, 0.9, 0.1)
+    return found.select("query", "reference", F.round("prediction", 9).alias("prediction"))
+
+
 @query(_compared(csql.results_sql()) + f"SELECT query, reference, {csql.pct('gated')} AS ani_gated FROM flagged WHERE NOT isnan(gated)")
 def triangle_edges(spark, sf):
     return report.edges(report.ani_rows(source_results(spark, sf).pairs))
