@@ -5,9 +5,10 @@ reads them, so no document is shuffled and a lost task repeats the same
 choices. A document's full windows stand alone; its remainder goes to the fill
 level h that makes the sum of squared counts of partially filled windows least,
 among all levels that a level array counts and a new window. What is still open
-at the end of a partition (or beyond ``max_open`` windows, which bounds memory)
-is closed by cutting: the emptiest windows fill the gaps of the fullest, and
-the one window left is cut into powers of two. Nothing is padded then.
+at the end of a partition is closed by cutting: the emptiest windows fill the
+gaps of the fullest, and the one window left is cut into powers of two. Nothing
+is padded then. Open windows hold remainders only, two bytes an id, so memory is
+bounded by the size of an input partition.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ class WordTokenizer:
 class Packer:
     """Packs documents one after another; rows() gives the pieces of the windows closed so far."""
 
-    def __init__(self, capacity: int, first_id: int, max_open: int) -> None:
+    def __init__(self, capacity: int, first_id: int, max_open: int | None = None) -> None:
         self.capacity, self.next_id, self.max_open = capacity, first_id, max_open
         self.count = np.zeros(capacity + 1, np.int64)  # windows at each fill level
         self.open: dict[int, list[list]] = {}  # level -> windows, each a list of pieces (doc, start, ids, doc_tokens)
@@ -137,8 +138,9 @@ class Packer:
         for s in range(0, full, c):
             self._close([(doc, s, ids[s : s + c], n)])
         if n > full:
-            self._place((doc, full, ids[full:].copy(), n))
-        if self.n_open > self.max_open:
+            rest = ids[full:]
+            self._place((doc, full, rest.astype(np.uint16) if rest.max() < 1 << 16 else rest.copy(), n))
+        if self.max_open is not None and self.n_open > self.max_open:
             self.flush()
 
     def _place(self, piece: tuple) -> None:
@@ -212,13 +214,15 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, max_open: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, max_open: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document lies in one piece; a null or empty text has the
     end id alone. Sequences hold ``capacity`` ids, but for a few of a power of
     two at the end of each partition. Repeated documents are packed each on its
     own. sequence_id is unique, not gapless: the partition's number and a count.
+    With ``max_open`` a partition closes its windows whenever more are open. An
+    empty table gives no rows; null ids keep theirs.
     """
     path = path or tokenizer_path()
 

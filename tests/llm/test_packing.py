@@ -82,6 +82,33 @@ def test_placement_minimises_squared_counts():
         levels = defaultdict(int, now)
 
 
+def test_ten_thousand_open_windows():
+    """Remainders over half a window never share one; shorter ones that follow find the best of all levels then."""
+    rng = np.random.default_rng(6)
+    p = Packer(4096, 0)
+    sizes = [*rng.integers(2100, 4001, 10_500).tolist(), *rng.integers(1, 1500, 1500).tolist()]
+    count = np.zeros(4097, np.int64)
+    for k, s in enumerate(sizes):
+        h = np.concatenate(([0], 1 + np.flatnonzero(count[1 : 4097 - s])))
+        grown = np.where(h + s < 4096, 2 * count[h + s] + 1, 0)
+        left = np.where(h > 0, 1 - 2 * count[h], 0)
+        before = int((count**2).sum())
+        p.add(k, np.full(s, 49_000, np.uint32))
+        count[:] = 0
+        for level, windows in p.open.items():
+            count[level] = len(windows)
+        assert int((count**2).sum()) - before == int((grown + left).min())
+        if k == 10_499:
+            assert p.n_open == 10_500
+    assert all(x[2].dtype == np.uint16 for w in p.open.values() for pieces in w for x in pieces)
+    p.flush()
+    lengths = defaultdict(int)
+    for r in p.out:
+        lengths[r[5]] += r[2]
+    assert sum(lengths.values()) == sum(sizes) and all(n & (n - 1) == 0 for n in lengths.values())
+    assert zlib.crc32(np.full(p.out[0][2], 49_000, "<u4").tobytes()) == p.out[0][3]
+
+
 def test_flush_bounds_open_windows():
     p = Packer(64, 0, 3)
     for k in range(300):
