@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 1: repeated line chunks go, and n_chars follows; a document goes only if it loses all its words to that."""
-    out = lines.dedup_lines(docs, row=COLUMNS)
+    out = lines.dedup_lines(docs, row=[c for c in COLUMNS if c != "text"])  # the text comes anyway
     text = F.col("text")
     rest = out.where((F.col("n_removed") == 0) | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return rest.select("row.doc_id", text, "row.lang", "row.source", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
