@@ -53,10 +53,11 @@ def match_tags(anchors: DataFrame) -> DataFrame:
     return anchors.where("orient = '+'").groupBy("query", "reference").applyInPandas(run, MATCH)
 
 
-def match_all(tags: DataFrame, pairs: DataFrame, panel: list[Enzyme] | None = None, tolerance: int = TOLERANCE) -> DataFrame:
+def match_all(tags: DataFrame, pairs: DataFrame | None = None, panel: list[Enzyme] | None = None, tolerance: int = TOLERANCE) -> DataFrame:
     """Greedy one-to-one matches of forward tags of each pair, whatever their enzymes and however often they occur.
 
-    Two tags are compared over the shorter one's bases. In the order of places
+    Without ``pairs`` (query, reference) each two genomes that hold close tags are a
+    pair, the smaller name the query. Two tags are compared over the shorter one's bases. In the order of places
     (then enzyme names) a query tag takes, of the reference tags still free and
     within ``tolerance``, one that is equal to it when both are packed, else the
     one with the fewest mismatches; of equal ones that nearest to where the last
@@ -79,8 +80,12 @@ def match_all(tags: DataFrame, pairs: DataFrame, panel: list[Enzyme] | None = No
     close = cut.join(o, ["level", "part", "bits"]).where(F.least("len", "o_len") == F.col("level")).withColumn("mm", packed_mismatches(F.col("y"), F.col("o_y"))).where(F.col("mm") <= tolerance)
     close = close.select("tag", "other", "mm", (F.col("x") != F.col("o_x")).cast("int").alias("differs")).distinct()
     places = own.groupBy("genome_id", "tag").agg(F.collect_list(F.struct(F.col("contig_id").alias("contig"), F.col("position").alias("pos"), "enzyme")).alias("places"))
-    q = pairs.select("query", "reference").join(places.select(F.col("genome_id").alias("query"), "tag", F.col("places").alias("q_places")), "query")
-    both = q.join(close, "tag").join(places.select(F.col("genome_id").alias("reference"), F.col("tag").alias("other"), F.col("places").alias("r_places")), ["reference", "other"])
+    q = places.select(F.col("genome_id").alias("query"), "tag", F.col("places").alias("q_places"))
+    r = places.select(F.col("genome_id").alias("reference"), F.col("tag").alias("other"), F.col("places").alias("r_places"))
+    if pairs is None:
+        both = q.join(close, "tag").join(r, "other").where("query < reference")
+    else:
+        both = q.join(pairs.select("query", "reference"), "query").join(close, "tag").join(r, ["reference", "other"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at: dict[tuple, list] = {}

@@ -268,23 +268,26 @@ def screen_matrix(spark, sf):
 # --- anchors and what is relational after them -----------------------------------------------
 
 
+def halves(t: DataFrame, **limits: int) -> DataFrame:
+    """Anchors of each two genomes once: pairs arise where tags share a part, never from a list of all pairs."""
+    return anc.find_anchors(t, t, **limits).where("query < reference")
+
+
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
-    t = tags_once(spark, sf)
-    return anc.find_anchors(t, t, _unordered(spark, sf))
+    return halves(tags_once(spark, sf))
 
 
 def all_anchors(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of all tags: the older path knows no limit of occurrences or buckets."""
-    t = tags_once(spark, sf)
-    return anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)
+    return halves(tags_once(spark, sf), max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)
 
 
 def all_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return legacy.match_all(tags_once(spark, sf), _unordered(spark, sf))
+    return legacy.match_all(tags_once(spark, sf))
 
 
 def _unordered(spark: SparkSession, sf: str) -> DataFrame:
-    """Unordered pairs of sources (a few names)."""
+    """Unordered pairs of sources (a few names), for results that have a row for each pair asked for."""
     g = table(spark, sf, "documents").select(F.col("source").alias("query")).distinct()
     return g.join(g.withColumnRenamed("query", "reference"), F.col("query") < F.col("reference"))
 
@@ -307,7 +310,7 @@ def anchor_groups(spark, sf):
 @query(_with(_tags_sql(), _HITS, "total AS (SELECT genome_id AS query, enzyme, count(*) AS total FROM rare GROUP BY ALL)", "found AS (SELECT query, reference, enzyme, count(DISTINCT (q_contig, q_pos)) AS found FROM anchors GROUP BY ALL)") + "SELECT p.query, p.reference, t.enzyme, coalesce(found, 0) AS found, total FROM (SELECT DISTINCT query, reference FROM anchors) p JOIN total t USING (query) LEFT JOIN found f ON f.query = p.query AND f.reference = p.reference AND f.enzyme = t.enzyme")
 def whole_genome_strata(spark, sf):
     t = tags_once(spark, sf)
-    return anc.whole_genome_strata(t, anc.find_anchors(t, t, _unordered(spark, sf)))
+    return anc.whole_genome_strata(t, halves(t))
 
 
 @query(_with(_tags_sql(), _HITS, "m AS (SELECT query, reference, q_contig, r_contig, count(*) AS n, avg(mm) AS mean_mm FROM anchors GROUP BY ALL)") + "SELECT query, reference, q_contig, r_contig, n, round(mean_mm, 6) AS mean_mm FROM m QUALIFY row_number() OVER (PARTITION BY query, reference, q_contig ORDER BY n DESC, r_contig) = 1")
@@ -324,7 +327,7 @@ def covered_bp(spark, sf):
 @query(_with(_tags_sql(), _HITS) + "SELECT query, reference, a.enzyme, q_contig, q_pos, r_contig, r_pos, count(*) AS n_near, min(abs(t.position - r_pos)) AS nearest, max(t.position) AS last FROM anchors a JOIN tags t ON t.genome_id = reference AND t.enzyme = a.enzyme AND t.contig_id = r_contig AND abs(t.position - r_pos) <= 3000 WHERE orient = '+' GROUP BY ALL")
 def local_band(spark, sf):
     t = tags_once(spark, sf)
-    a = anc.find_anchors(t, t, _unordered(spark, sf)).where("orient = '+'")
+    a = halves(t).where("orient = '+'")
     r = t.select(F.col("genome_id").alias("reference"), "enzyme", F.col("contig_id").alias("r_contig"), "position")
     j = intervals.band_join(a, r, ["reference", "enzyme", "r_contig"], "r_pos", "position", 3000)
     return j.groupBy("query", "reference", "enzyme", "q_contig", "q_pos", "r_contig", "r_pos").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.abs(F.col("position") - F.col("r_pos"))).alias("nearest"), F.max("position").alias("last"))
@@ -349,7 +352,7 @@ def median_gaps(spark, sf):
 @query(_with(_tags_sql(), _HITS) + "SELECT t.genome_id, t.enzyme, t.contig_id, t.position FROM tags t WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.query = t.genome_id AND a.q_contig = t.contig_id AND a.q_pos = t.position AND a.enzyme = t.enzyme)")
 def unmatched_tags(spark, sf):
     t = tags_once(spark, sf)
-    return legacy.unmatched(t, anc.find_anchors(t, t, _unordered(spark, sf), max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)).select("genome_id", "enzyme", "contig_id", "position")
+    return legacy.unmatched(t, halves(t, max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)).select("genome_id", "enzyme", "contig_id", "position")
 
 
 @query(
@@ -498,7 +501,7 @@ def scaffold_anchors(spark: SparkSession, sf: str, t: DataFrame) -> tuple[DataFr
     c = contigs(spark, sf)
     offsets = stored(fill.scaffold(c), "offsets")
     lengths = c.groupBy("genome_id").agg(F.sum("length").alias("length")).select("genome_id", F.lit(0).cast("long").alias("contig_id"), "length")
-    a = anc.find_anchors(t, t, _unordered(spark, sf))
+    a = halves(t)
     return offsets, lengths, fill.placed(fill.placed(a, offsets, "query", "q_contig", "q_pos"), offsets, "reference", "r_contig", "r_pos")
 
 
