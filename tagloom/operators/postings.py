@@ -37,13 +37,15 @@ def lists(rows: DataFrame, name: str, keys: list[str], ids: DataFrame) -> DataFr
     return n.groupBy(*keys, "blk").agg(F.collect_list("idx").alias("l"))
 
 
-def cells(left: DataFrame, right: DataFrame | None, keys: list[str]) -> DataFrame:
-    """a, b, x, y and the keys' slice: two blocks' lists of one key. Without ``right`` each two blocks of ``left`` once, a block with itself where it holds two sets of the key."""
+def cells(left: DataFrame, right: DataFrame | None, keys: list[str], blocks: int | None = None) -> DataFrame:
+    """a, b, x, y and the keys' slice: two blocks' lists of one key. Without ``right`` each two blocks of ``left`` once, a block with itself where it holds two sets of the key; of a single block (``blocks``) no two meet."""
     l = left.withColumnsRenamed({"blk": "a", "l": "x"})
-    r = (left if right is None else right).withColumnsRenamed({"blk": "b", "l": "y"})
-    j = l.join(r, keys)
     if right is None:
-        j = j.where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.size("x") > 1)))
+        j = l.where(F.size("x") > 1).select(*keys, "a", "x", F.col("a").alias("b"), F.col("x").alias("y"))
+        if blocks != 1:
+            j = j.unionByName(l.join(left.withColumnsRenamed({"blk": "b", "l": "y"}), keys).where("a < b").select(*keys, "a", "x", "b", "y"))
+    else:
+        j = l.join(right.withColumnsRenamed({"blk": "b", "l": "y"}), keys)
     return j.select("a", "b", F.pmod(F.xxhash64(*keys), F.lit(SLICES)).alias("slice"), "x", "y")
 
 
@@ -97,14 +99,15 @@ def shared_counts(rows: DataFrame, name: str, keys: list[str], other: DataFrame
     rows without a name are left out; without rows there are no pairs.
     """
     spark = rows.sparkSession
-    mine = rows.select(name, *keys).where(F.col(name).isNotNull())
+    whole = lambda df: df.select(name, *keys).na.drop()
+    mine = whole(rows)
     names = mine.select(F.col(name).alias("name"))
     if other is not None:
-        other = other.select(name, *keys).where(F.col(name).isNotNull())
+        other = whole(other)
         names = names.unionByName(other.select(F.col(name).alias("name")))
     ids = stored(numbered(stored(names.distinct(), "names"), block), "ids")
     left = stored(lists(mine, name, keys, ids), "lists")
-    found = cells(left, None if other is None else lists(other, name, keys, ids), keys)
+    found = cells(left, None if other is None else lists(other, name, keys, ids), keys, (ids.agg(F.max("blk")).first()[0] or 0) + 1)
     found = found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "a", "b", "slice")
     total = counted(found).groupBy("a", "i", "b", "j").agg(F.sum("n").alias("shared"))
     if other is None:
