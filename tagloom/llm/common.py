@@ -40,11 +40,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again.
+
+    group_rows: rows of a row group, for rows of megabytes. The writer first looks at
+    the size of a group after 100 rows, and readers take whole groups at once.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    w = df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", group_rows)
+    w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,6 +33,8 @@ WINDOW = 10
 SLOP = 1
 #: Words of test items in one block, hence in one broadcast.
 BLOCK_WORDS = 2_000_000
+#: Rows of the index (some megabytes each) that a writer or reader holds at once.
+GROUP_ROWS = 4
 #: Starts that are looked at at once.
 STARTS = 1_000_000
 
@@ -75,7 +77,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The positional index of docs, stored: see ``INDEX``; a text that is null or empty has no words, and any id may repeat or be null."""
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    return written(d.mapInArrow(_index, INDEX), "postings")
+    return written(d.mapInArrow(_index, INDEX), "postings", GROUP_ROWS)
 
 
 class _Slice:

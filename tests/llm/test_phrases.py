@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tagloom.llm import phrases
 from tagloom.llm.phrases import find_phrases
 
@@ -117,3 +119,16 @@ def test_many_windows_cost_little_more():
         list(phrases._ask(block, 0)(iter(index)))
         took.append(time.time() - began)
     assert took[1] < 3 * took[0] + 0.5
+
+
+def test_row_groups_of_the_index_hold_few_slices(spark):
+    """Ten slices of one task: writers and readers never hold them all at once."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(10).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab cd ', 700000)").alias("text"))
+    index = phrases.build_index(docs)
+    sizes = []
+    for path in index.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        sizes += [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+    assert sum(sizes) == 10 and max(sizes) <= phrases.GROUP_ROWS
