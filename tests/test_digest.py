@@ -111,3 +111,18 @@ def test_anchors_equal_brute_force(spark):
                     if (m := sum(x != y for x, y in zip(t, v))) <= 2:
                         want.add((p, q, o, m))
     assert got == want and got
+
+
+def test_scans_are_cut(spark, monkeypatch):
+    """A batch of any size is scanned in slices, with the same tags and k-mers."""
+    import pyarrow as pa
+
+    from tagloom.operators import digest as dig
+
+    seqs = ["ACGT" * 10, None, "", "ACCA" * 30, "GGT" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(["g"] * 5), pa.array(range(5), pa.int64()), pa.array(seqs)], ["genome_id", "contig_id", "seq"])
+    cut = list(dig._slices(iter([batch]), 45))
+    assert [x.column(1).to_pylist() for x in cut] == [[0, 1, 2], [3], [4]]
+    c = spark.createDataFrame([("g", k, s) for k, s in enumerate(seqs)], "genome_id string, contig_id long, seq string").coalesce(1)
+    got = [sorted(map(tuple, dig.kmers(c, 9, places=p).collect())) for p in (False, True)]
+    assert got[0] == sorted({x[:3] for x in got[1]})
