@@ -41,3 +41,24 @@ def test_a_key_of_all_sets_makes_few_rows(spark, monkeypatch):
     assert made.agg(F.max(F.size("x"))).first()[0] < 400
     total = shared_counts(rows, "genome_id", ["key"], block=250)
     assert total.agg(F.count(F.lit(1)), F.min("shared"), F.max("shared")).first() == (3000 * 2999 // 2, 4, 4)
+
+
+def test_a_batch_of_many_cells_holds_few(spark, monkeypatch):
+    """Counts of thousands of cells in one batch are handed on as they come, and each alone."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(postings, "FEW", 0)
+    n = 400
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([[0, 1]] * n), pa.array([[2]] * n)], ["a", "b", "x", "y"])
+    out = postings.counted(Rows())(iter([rows]))
+    seen = []
+    for batch in out:
+        seen.append(batch.num_rows)
+    assert seen == [2] * n
