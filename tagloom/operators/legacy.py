@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +23,66 @@ MATCHES = MATCH + ", r_enzyme string"
 ELSEWHERE = 1 << 62
 
 
-def _greedy(key: tuple, places) -> list[tuple]:
-    """Matches of one genome pair from (query place and enzyme, its candidates as (differs, mm, (r_contig, r_pos, r_enzyme))) in query order."""
-    used, out, last = set(), [], None
+class _Places:
+    """The places (contig, position, enzyme) of one reference tag; ``used`` ones are stepped over, each once."""
+
+    def __init__(self, places: list[tuple], used: set) -> None:
+        self.at, self.used = sorted(places), used
+        self.up, self.down = list(range(len(places) + 1)), list(range(len(places) + 1))
+
+    def _step(self, way: list[int], k: int, end: int, by: int) -> int:
+        seen = []
+        while k != end:
+            if way[k] != k:
+                to = way[k]
+            elif self.at[k - (by < 0)] in self.used:
+                to = k + by
+            else:
+                break
+            seen.append(k)
+            k = to
+        for x in seen:
+            way[x] = k
+        return k
+
+    def free(self, k: int) -> int:
+        """The first free place from k on, or their number."""
+        return self._step(self.up, k, len(self.at), 1)
+
+    def best(self, contig: int | None, target: int) -> tuple | None:
+        """(detour, place) of the free place nearest to a target on a contig, the first of equal ones; the first free place at all where there is none or no contig."""
+        found = []
+        if contig is not None:
+            k = bisect_left(self.at, (contig, target))
+            right, left = self.free(k), self._step(self.down, k, 0, -1) - 1
+            if right < len(self.at) and self.at[right][0] == contig:
+                found.append((self.at[right][1] - target, self.at[right]))
+            if left >= 0 and self.at[left][0] == contig:
+                # of several places at one position the first
+                place = self.at[self.free(bisect_left(self.at, self.at[left][:2]))]
+                found.append((target - place[1], place))
+        if not found:
+            k = self.free(0)
+            found = [(ELSEWHERE, self.at[k])] if k < len(self.at) else []
+        return min(found, default=None)
+
+
+def _greedy(key: tuple, used: set, places) -> list[tuple]:
+    """Matches of one genome pair from (query place and enzyme, its candidates as (differs, mm, ``_Places`` over used)) in query order."""
+    out, last = [], None
     for (qc, qp, enzyme), candidates in places:
-        best = None
-        for differs, mm, place in candidates:
-            if place in used:
+        best, beside = None, last is not None and last[0] == qc
+        contig, target = (last[2], last[3] + qp - last[1]) if beside else (None, 0)
+        for differs, mm, own in candidates:
+            if best and best[:2] < (differs, mm):
                 continue
-            rc, rp, _ = place
-            lead = 0 if not last else abs((rp - last[3]) - (qp - last[1])) if last[0] == qc and last[2] == rc else ELSEWHERE
-            best = min(best or (2,), (differs, mm, lead, place))
+            found = own.best(contig, target)
+            if found:
+                best = min(best or (2,), (differs, mm, *found))
         if best:
             rc, rp, r_enzyme = best[3]
             used.add(best[3])
-            gap = best[2] if last and last[0] == qc and last[2] == rc else 0
+            gap = best[2] if beside and last[2] == rc else 0
             out.append((*key, enzyme, qc, qp, rc, rp, best[1], gap, r_enzyme))
             last = (qc, qp, rc, rp)
     return out
@@ -46,7 +93,8 @@ def match_tags(anchors: DataFrame) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by_place = pdf.sort_values(["q_contig", "q_pos", "r_contig", "r_pos"]).groupby(["q_contig", "q_pos"], sort=True)
-        rows = _greedy(key, (((*at, g.enzyme.iloc[0]), [(int(mm > 0), mm, (rc, rp, e)) for rc, rp, mm, e in zip(g.r_contig, g.r_pos, g.mm, g.enzyme)]) for at, g in by_place))
+        used: set = set()
+        rows = _greedy(key, used, (((*at, g.enzyme.iloc[0]), [(int(mm > 0), mm, _Places([(rc, rp, e)], used)) for rc, rp, mm, e in zip(g.r_contig, g.r_pos, g.mm, g.enzyme)]) for at, g in by_place))
         # the enzyme of a match is that of the anchor taken
         return pd.DataFrame([(*r[:2], r[9], *r[3:9]) for r in rows], columns=[x.split()[0] for x in MATCH.split(", ")])
 
@@ -88,15 +136,18 @@ def match_all(tags: DataFrame, pairs: DataFrame | None = None, panel: list[Enzym
         both = q.join(pairs.select("query", "reference"), "query").join(close, "tag").join(r, ["reference", "other"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        known: dict[str, _Places] = {}
         at: dict[tuple, list] = {}
-        for mm, differs, q_places, r_places in zip(pdf.mm, pdf.differs, pdf.q_places, pdf.r_places):
-            r = [(differs, mm, (x["contig"], x["pos"], x["enzyme"])) for x in r_places]
+        for other, mm, differs, q_places, r_places in zip(pdf.other, pdf.mm, pdf.differs, pdf.q_places, pdf.r_places):
+            if other not in known:
+                known[other] = _Places([(x["contig"], x["pos"], x["enzyme"]) for x in r_places], used)
             for x in q_places:
-                at.setdefault((x["contig"], x["pos"], x["enzyme"]), []).append(r)
-        rows = _greedy(key, ((place, (c for r in at[place] for c in r)) for place in sorted(at)))
+                at.setdefault((x["contig"], x["pos"], x["enzyme"]), []).append((differs, mm, known[other]))
+        rows = _greedy(key, used, ((place, at[place]) for place in sorted(at)))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")])
 
-    return both.select("query", "reference", "mm", "differs", "q_places", "r_places").groupBy("query", "reference").applyInPandas(run, MATCHES)
+    return both.select("query", "reference", "other", "mm", "differs", "q_places", "r_places").groupBy("query", "reference").applyInPandas(run, MATCHES)
 
 
 def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str = "query") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.operators.enzymes import Enzyme, resolve
 
@@ -72,16 +76,25 @@ def chain_ranges(q: np.ndarray, diagonal: np.ndarray, tolerance: int) -> list[tu
     return sorted(out + [(int(k), int(k)) for k in np.flatnonzero(~used)])
 
 
-def _sorted(pdf: pd.DataFrame, tolerance: int) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
-    pdf = pdf.sort_values(["q_pos", "r_pos"], kind="stable")
-    q, r = pdf.q_pos.to_numpy(np.int64), pdf.r_pos.to_numpy(np.int64)
-    return pdf, chain_ranges(q, q + r if pdf.orient.iloc[0] == "-" else q - r, tolerance)
-
-
 def _stranded(matches: DataFrame) -> DataFrame:
     return matches if "orient" in matches.columns else matches.withColumn("orient", F.lit("+"))
 
 
+def _lists(matches: DataFrame, more: list[str]) -> DataFrame:
+    """A row for each pair of contigs and strand: its matches as lists in the order of q_pos, r_pos, then ``more``."""
+    m = F.sort_array(F.collect_list(F.struct("q_pos", "r_pos", *more)))
+    return matches.groupBy(*GROUP).agg(m.alias("m")).select(*GROUP, F.col("m.q_pos").alias("q"), F.col("m.r_pos").alias("r"), "m")
+
+
+def _ranges(batch: pa.RecordBatch, tolerance: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """(q, r, chain ranges) of each row of ``_lists``."""
+    at = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("q")).to_numpy())))
+    q, r = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("q", "r"))
+    for a, b, orient in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("orient").to_pylist()):
+        x, y = q[a:b], r[a:b]
+        yield x, y, [(0, 0)] if b - a == 1 else chain_ranges(x, x + y if orient == "-" else x - y, tolerance)
+
+
 def chained_blocks(matches: DataFrame, tolerance: int = 5000, panel: list[Enzyme] | None = None) -> DataFrame:
     """Blocks of the matches of a pair of contigs and a strand, each from a chain's first match to its last.
 
@@ -91,30 +104,47 @@ def chained_blocks(matches: DataFrame, tolerance: int = 5000, panel: list[Enzyme
     too, so that blocks may share matches. Matches without ``orient`` are
     forward. No matches give no blocks.
     """
-    m = _stranded(matches).select(*GROUP, "q_pos", "r_pos", (1 - F.col("mm") / match_length(matches, panel)).alias("ani"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, ranges = _sorted(pdf, tolerance)
-        q, r, ani = (pdf[c].to_numpy() for c in ("q_pos", "r_pos", "ani"))
-        rows = [(*key, k, b - a + 1, q[a], q[b], r[a : b + 1].min(), r[a : b + 1].max(), ani[a : b + 1].mean()) for k, (a, b) in enumerate(ranges)]
-        return pd.DataFrame(rows, columns=[*GROUP, "block", "n_tags", "q_start", "q_end", "r_start", "r_end", "block_ani"])
-
-    return m.groupBy(*GROUP).applyInPandas(run, "query string, reference string, q_contig long, r_contig long, orient string, block long, n_tags long, q_start long, q_end long, r_start long, r_end long, block_ani double")
+    m = _stranded(matches)
+    m = _lists(m.select(*GROUP, "q_pos", "r_pos", (1 - F.col("mm") / match_length(m, panel)).alias("ani")), ["ani"])
+    names = ["block", "n_tags", "q_start", "q_end", "r_start", "r_end", "block_ani"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of = [], []
+            ani = batch.column("ani").flatten().to_numpy()
+            first = 0
+            for g, (q, r, ranges) in enumerate(_ranges(batch, tolerance)):
+                own = ani[first : first + len(q)]
+                first += len(q)
+                of += [g] * len(ranges)
+                rows += [(k, b - a + 1, q[a], q[b], r[a : b + 1].min(), r[a : b + 1].max(), own[a : b + 1].mean()) for k, (a, b) in enumerate(ranges)]
+            columns = list(zip(*rows)) or [()] * len(names)
+            taken = [batch.column(c).take(pa.array(of, pa.int64())) for c in GROUP]
+            yield pa.RecordBatch.from_arrays([*taken, *[pa.array(np.array(x, float if n == "block_ani" else np.int64)) for n, x in zip(names, columns)]], [*GROUP, *names])
+
+    # the JVM takes the lists apart, so that a pair of contigs is a row and no call of its own
+    return m.select(*GROUP, "q", "r", F.col("m.ani").alias("ani")).mapInArrow(run, "query string, reference string, q_contig long, r_contig long, orient string, block long, n_tags long, q_start long, q_end long, r_start long, r_end long, block_ani double")
 
 
 def block_sizes(matches: DataFrame, tolerance: int = 5000) -> DataFrame:
     """matches with n_tags, the size of the last block that has them."""
-    m = _stranded(matches)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, ranges = _sorted(pdf, tolerance)
-        size = np.zeros(len(pdf), np.int64)
-        for a, b in ranges:
-            size[a : b + 1] = b - a + 1
-        return pdf.assign(n_tags=size)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in m.schema.fields if f.name != "n_tags")
-    return m.drop("n_tags").groupBy(*GROUP).applyInPandas(run, fields + ", n_tags long")
+    m = _stranded(matches).drop("n_tags")
+    rest = [c for c in m.columns if c not in (*GROUP, "q_pos", "r_pos")]
+    lists = _lists(m, rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for q, _, ranges in _ranges(batch, tolerance):
+                size = np.ones(len(q), np.int64)
+                for a, b in ranges:
+                    size[a : b + 1] = b - a + 1
+                out.append(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "n_tags"])
+
+    sized = lists.mapInArrow(run, T.StructType([*lists.schema.fields, T.StructField("n_tags", T.ArrayType(T.LongType()))]))
+    one = sized.select(*GROUP, F.inline(F.arrays_zip("m", "n_tags"))).select(*GROUP, "m.*", "n_tags")
+    return one.select(*m.columns, "n_tags")
 
 
 def rearrangements(blocks: DataFrame, jump: int = 100_000) -> DataFrame:

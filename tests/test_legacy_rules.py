@@ -232,3 +232,40 @@ def test_kmers_of_blocks(spark):
     assert {r.block: (r.n_query, r.n_reference, r.shared) for r in legacy.block_kmers(spans, contigs, ids).collect()} == want
     assert math.isclose(legacy.block_kmer_identity(spans, contigs, ids).first().kmer_ani, top / weight)
     assert legacy.block_kmer_identity(spans.limit(0), contigs, ids).count() == 0
+
+
+def test_copies_are_stepped_over_once():
+    """Greedy matches are those of all candidates in turn, and thousands of copies of one tag cost no product of them."""
+    import time
+
+    from tagloom.operators import legacy
+
+    def plain(key, places):
+        used, out, last = set(), [], None
+        for (qc, qp, enzyme), candidates in places:
+            best = None
+            for differs, mm, (rc, rp, e) in candidates:
+                if (rc, rp, e) not in used:
+                    lead = 0 if not last else abs((rp - last[3]) - (qp - last[1])) if last[0] == qc and last[2] == rc else legacy.ELSEWHERE
+                    best = min(best or (2,), (differs, mm, lead, (rc, rp, e)))
+            if best:
+                rc, rp, e = best[3]
+                used.add(best[3])
+                out.append((*key, enzyme, qc, qp, rc, rp, best[1], best[2] if last and last[0] == qc and last[2] == rc else 0, e))
+                last = (qc, qp, rc, rp)
+        return out
+
+    for seed in range(300):
+        r = random.Random(seed)
+        lists = [[(r.randrange(3), r.randrange(12), r.choice("ab")) for _ in range(r.randrange(1, 9))] for _ in range(5)]
+        at = sorted({(r.randrange(3), r.randrange(12), r.choice("ab")) for _ in range(r.randrange(1, 25))})
+        near = {q: [(int(mm > 0), mm, k) for k, mm in ((r.randrange(5), r.randrange(3)) for _ in range(r.randrange(1, 4)))] for q in at}
+        used: set = set()
+        places = [legacy._Places(x, used) for x in lists]
+        got = legacy._greedy(("x", "y"), used, ((q, [(d, m, places[k]) for d, m, k in near[q]]) for q in at))
+        assert got == plain(("x", "y"), ((q, [(d, m, p) for d, m, k in near[q] for p in lists[k]]) for q in at))
+    used = set()
+    one = legacy._Places([(k, 5, "a") for k in range(20_000)], used)
+    began = time.time()
+    assert len(legacy._greedy(("x", "y"), used, (((k, 5, "a"), [(0, 0, one)]) for k in range(20_000)))) == 20_000
+    assert time.time() - began < 5
