@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions.sequence import pack, packed_mismatches
-from tagloom.operators.anchors import TOLERANCE, parts
-from tagloom.operators.digest import kmers
+from tagloom.operators.anchors import NO_LIMIT, TOLERANCE, find_anchors, parts
+from tagloom.operators.digest import canonical_kmers, kmers
 from tagloom.operators.enzymes import LONGEST_TAG, Enzyme, resolve
 from tagloom.operators.postings import shared_counts
 from tagloom.operators.synteny import block_sizes, match_length
@@ -156,6 +160,26 @@ def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str =
     return tags.join(m, ["genome_id", "enzyme", "contig_id", "position"], "left_anti")
 
 
+def unmatched_queries(tags: DataFrame) -> DataFrame:
+    """Tags that have no anchor, of whatever number, in a genome of a later name.
+
+    The places that hold the same tags have the same anchors, so that anchors are found
+    between distinct contents of places, and a content knows the last genome that has it:
+    copies add rows to no join of tags.
+    """
+    place = ["genome_id", "contig_id", "position"]
+    held = tags.groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("enzyme", "tag"))).alias("held"))
+    held = stored(held.withColumn("content", F.array_join(F.transform("held", lambda x: F.concat(x.enzyme, F.lit(":"), x.tag)), ",")), "places")
+    kinds = stored(held.groupBy("content").agg(F.max("genome_id").alias("top"), F.first("held").alias("held")), "contents")
+    zero = F.lit(0).cast("long")
+    t = stored(kinds.select(F.col("content").alias("genome_id"), zero.alias("contig_id"), zero.alias("position"), F.lit(1).alias("n"), F.inline("held")), "tags")
+    found = find_anchors(t, t, max_occurrence=NO_LIMIT, max_bucket=NO_LIMIT)
+    tops = kinds.select(F.col("content").alias("reference"), "top")
+    last = found.join(tops, "reference").groupBy(F.col("query").alias("content"), "enzyme").agg(F.max("top").alias("last"))
+    known = held.select(*place, "content").join(last, "content").where("genome_id < last").select(*place, "enzyme")
+    return tags.join(known, [*place, "enzyme"], "left_anti")
+
+
 def weighted_pairs(matches: DataFrame, scheme: str = "synteny", tolerance: int = 5000, panel: list[Enzyme] | None = None) -> DataFrame:
     """query, reference, raw_ani, weighted_ani (percent), n_tags: each match weighs by itself, its identity being over the longer of its tags.
 
@@ -188,6 +212,31 @@ def kmer_containment(contigs: DataFrame, k: int = 15) -> DataFrame:
 
 
 _BIN = 8192
+#: Bases of a span up to which a block's k-mers are one row's work; longer spans are met by bins.
+SHORT_SPAN = 1 << 15
+
+
+def _counts(spans: DataFrame, contigs: DataFrame, ids: list[str], k: int) -> DataFrame:
+    """``block_kmers`` of blocks whose spans (side, genome_id, contig_id, lo, hi) are short: the sequences are cut out, and a row has those of both sides."""
+    cut = spans.join(contigs.select("genome_id", "contig_id", "seq"), ["genome_id", "contig_id"])
+    cut = cut.select(*ids, F.struct("side", F.col("seq").substr((F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("seq")).alias("piece"))
+    both = cut.groupBy(*ids).agg(F.collect_list("piece").alias("pieces"))
+    names = ["n_query", "n_reference", "shared"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for row in batch.column("pieces"):
+                own = {"q": [np.zeros(0, np.int64)], "r": [np.zeros(0, np.int64)]}
+                for piece in row:
+                    own[piece["side"].as_py()].append(canonical_kmers(piece["seq"].as_py(), k))
+                q, r = (np.unique(np.concatenate(own[x])) for x in "qr")
+                counts.append((len(q), len(r), len(np.intersect1d(q, r, assume_unique=True))))
+            columns = np.array(counts, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(c)) for c in columns]], [*batch.schema.names[:-1], *names])
+
+    schema = T.StructType([*both.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in names]])
+    return both.mapInArrow(run, schema).where("n_query + n_reference > 0")
 
 
 def block_kmers(spans: DataFrame, contigs: DataFrame, ids: list[str], k: int = 15) -> DataFrame:
@@ -195,21 +244,25 @@ def block_kmers(spans: DataFrame, contigs: DataFrame, ids: list[str], k: int = 1
 
     spans: ids (query and reference among them), q_contig, q_start, q_end, r_contig,
     r_start, r_end, the ends included; they are cut at the contigs' ends, and a span
-    of no more than k bases has no k-mer. k-mers meet spans by bins of places, so that
+    of no more than k bases has no k-mer. Blocks of short spans bring their sequences, once a
+    block; in the others k-mers meet spans by bins of places, so that
     neither a long contig nor a contig of many blocks is one task's.
     """
     sides = []
     for side, genome in (("q", "query"), ("r", "reference")):
-        sides.append(spans.select(*ids, F.lit(side).alias("side"), F.col(genome).alias("genome_id"), F.col(f"{side}_contig").alias("contig_id"), F.col(f"{side}_start").alias("lo"), F.col(f"{side}_end").alias("end")))
+        sides.append(spans.select(*ids, F.lit(side).alias("side"), F.col(genome).alias("genome_id"), F.col(f"{side}_contig").alias("contig_id"), F.col(f"{side}_start").alias("lo"), F.col(f"{side}_end").alias("end"), F.greatest(F.col("q_end") - F.col("q_start"), F.col("r_end") - F.col("r_start")).alias("size")))
     c = contigs.select("genome_id", "contig_id", "length")
-    s = sides[0].unionByName(sides[1]).join(c, ["genome_id", "contig_id"]).withColumn("lo", F.least("lo", "length")).withColumn("hi", F.least(F.col("end") + 1, F.col("length")))
-    s = s.where(F.col("hi") > F.col("lo") + k).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / _BIN), F.floor((F.col("hi") - k) / _BIN))))
+    s = sides[0].unionByName(sides[1]).where(F.col("end") + 1 > F.col("lo") + k).join(c, ["genome_id", "contig_id"]).withColumn("lo", F.least("lo", "length")).withColumn("hi", F.least(F.col("end") + 1, F.col("length")))
+    s = s.where(F.col("hi") > F.col("lo") + k)
+    short = _counts(s.where(F.col("size") < SHORT_SPAN), contigs, ids, k)
+    s = s.where(F.col("size") >= SHORT_SPAN).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / _BIN), F.floor((F.col("hi") - k) / _BIN))))
     own = contigs.join(s.select("genome_id", "contig_id").distinct(), ["genome_id", "contig_id"], "left_semi")
     at = kmers(own, k, places=True).withColumn("bin", F.floor(F.col("position") / _BIN))
     j = s.join(at, ["genome_id", "contig_id", "bin"]).where(F.col("position").between(F.col("lo"), F.col("hi") - k))
     of = lambda x: F.max((F.col("side") == x).cast("int")).alias(x)
     per = j.groupBy(*ids, "kmer").agg(of("q"), of("r"))
-    return per.groupBy(*ids).agg(F.sum("q").alias("n_query"), F.sum("r").alias("n_reference"), F.sum(F.col("q") * F.col("r")).alias("shared"))
+    long = per.groupBy(*ids).agg(F.sum("q").alias("n_query"), F.sum("r").alias("n_reference"), F.sum(F.col("q") * F.col("r")).alias("shared"))
+    return short.unionByName(long)
 
 
 def block_kmer_identity(spans: DataFrame, contigs: DataFrame, ids: list[str], weight: str = "n_tags", k: int = 15) -> DataFrame:

@@ -269,3 +269,18 @@ def test_copies_are_stepped_over_once():
     began = time.time()
     assert len(legacy._greedy(("x", "y"), used, (((k, 5, "a"), [(0, 0, one)]) for k in range(20_000)))) == 20_000
     assert time.time() - began < 5
+
+
+def test_short_and_long_spans_count_alike(spark, monkeypatch):
+    """Blocks cut out whole, by bins of places, or some of either: the same k-mers, also where a contig has two rows."""
+    rng = np.random.default_rng(8)
+    a = "".join(rng.choice(list("ACGT"), 3_000))
+    b = a[:700] + "é" + a[500:2_900]
+    contigs = spark.createDataFrame([("a", 1, a, len(a)), ("b", 2, b, len(b)), ("b", 2, a[:900], 900)], "genome_id string, contig_id long, seq string, length long")
+    blocks = [("a", "b", k, 1, s, s + n, 2, s // 2, s // 2 + n) for k, (s, n) in enumerate([(0, 40), (100, 14), (300, 900), (650, 100), (2_900, 5_000)])]
+    spans = spark.createDataFrame(blocks, "query string, reference string, block long, q_contig long, q_start long, q_end long, r_contig long, r_start long, r_end long")
+    found = []
+    for bound in (1 << 15, 200, 0):
+        monkeypatch.setattr(legacy, "SHORT_SPAN", bound)
+        found.append(sorted(map(tuple, legacy.block_kmers(spans, contigs, ["query", "reference", "block"]).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
