@@ -84,3 +84,29 @@ def test_matches_weigh_by_themselves(spark):
         got = legacy.weighted_pairs(m, scheme).first()
         assert got.n_tags == 3 and abs(got.raw_ani - sum(ani) / 3) < 1e-9
         assert abs(got.weighted_ani - sum(x * y for x, y in zip(ani, w)) / sum(w)) < 1e-9, scheme
+
+
+def test_unmatched_tags_are_those_of_all_anchors(spark):
+    """Found between distinct contents of places: also where two enzymes share a place, and without a genome or contig."""
+    from tagloom.operators import anchors as anc
+    from tagloom.queries import halves
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ACGT") for _ in range(32)) for _ in range(8)]
+
+    def near(tag):
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(32)
+            tag = tag[:k] + rng.choice("ACGT") + tag[k + 1 :]
+        return tag if rng.random() < 0.7 else tag[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+    rows = []
+    for k in range(160):
+        g, at = rng.choice(["a", "b", "c", "d", None]), rng.randrange(30)
+        for e in rng.sample(["BcgI", "AlfI"], rng.choice((1, 1, 2))):
+            rows.append((g, None if k % 40 == 7 else k % 5, e, at, near(rng.choice(base))))
+    t = spark.createDataFrame(rows, "genome_id string, contig_id long, enzyme string, position long, tag string")
+    want = legacy.unmatched(t, halves(t, max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)).collect()
+    got = legacy.unmatched_queries(t).collect()
+    plain = lambda found: sorted(repr((r.genome_id, r.contig_id, r.enzyme, r.position, r.tag)) for r in found)
+    assert plain(got) == plain(want) and 0 < len(got) < len(rows)
