@@ -88,3 +88,27 @@ def test_nothing_gives_nothing(spark):
     assert fill.filled(fill.claimed(chains, tags), tags).count() == 0
     few = spark.createDataFrame([("a", "b", "BcgI", 1, k, 1, k, "+", 0, True) for k in range(3)], ANCHORS)
     assert fill.collinear(few).count() == 0
+
+
+def test_chains_of_many_runs_take_no_object_an_anchor(monkeypatch):
+    """A task's chains leave as they come, and a batch of runs costs some bytes an anchor beside its columns."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, runs = 50, 400
+    at = np.tile(np.arange(n) * 100, runs)
+    a = pa.ListArray.from_arrays(pa.array(np.arange(0, n * runs + 1, n), pa.int32()), pa.StructArray.from_arrays([pa.array(at), pa.array(at - 10_000), pa.array(at // 100 * 2)], ["q_pos", "s", "rank"]))
+    text = lambda x: pa.array([x] * runs)
+    batch = pa.RecordBatch.from_arrays([text("a"), text("b"), pa.array(range(runs), pa.int64()), pa.array(range(runs), pa.int64()), text("-"), pa.array([np.inf] * runs), a], [*fill.GROUP, "max_skip", "a"])
+    monkeypatch.setattr(fill, "HELD", 5000)
+    got, most = [], 0
+    tracemalloc.start()
+    for out in fill.chained(iter([batch]), CFG):
+        got += [(out.column(2)[0].as_py(), out.num_rows)]
+        assert out.column(5).to_pylist() == [1] * out.num_rows
+        assert [len(x) for x in out.column(6)] == [n] * out.num_rows and out.column(6)[0].as_py()[1] == {"q_pos": 100, "r_pos": 9900}
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert len(got) == 4 and sum(k for _, k in got) == runs and [i for i, _ in got] == [0, 101, 202, 303]
+    assert most < 100 * n * runs
