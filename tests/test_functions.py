@@ -45,3 +45,16 @@ def test_parts():
     assert [b - a for a, b in seq.part_bounds(32, 3)] == [11, 11, 10]
     assert [b - a for a, b in seq.part_bounds(28, 3)] == [10, 9, 9]
     assert [b - a for a, b in seq.part_bounds(25, 3)] == [9, 8, 8]
+
+
+def test_lengths_need_no_sequence(spark):
+    """As many as the bases of the sequence, also of no text and of other letters; the letters are not mapped for it."""
+    from tagloom.sources.fasta import document_contigs, text_contigs
+
+    rows = [(1, "Ab c-9", "s"), (2, None, "s"), (3, "", None), (4, "éz\U0001d49cQ\n", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in (document_contigs(docs), text_contigs(docs, "source", "doc_id", "text")):
+        assert [(r.contig_id, r.length, len(r.seq)) for r in c.orderBy("contig_id").collect()] == [(1, 3, 3), (2, 0, 0), (3, 0, 0), (4, 2, 2)]
+        plan = c.select("contig_id", "length")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" in plan and "translate" not in plan
+        assert dict(c.dtypes)["length"] == "bigint" and c.columns == ["genome_id", "contig_id", "seq", "length"]
