@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import postings, screen
 from tagloom.operators.postings import cells, lists, numbered, shared_counts
+from tagloom.queries import QUERIES
 
 
 def frame(spark, sets):
@@ -62,3 +63,35 @@ def test_a_batch_of_many_cells_holds_few(spark, monkeypatch):
     for batch in out:
         seen.append(batch.num_rows)
     assert seen == [2] * n
+
+
+def test_passing_pairs_are_those_that_pass(spark):
+    rnd = random.Random(5)
+    sets = {f"g{n}": {0, 1, *rnd.sample(range(2, 30), rnd.randrange(0, 9))} for n in range(60)} | {f"c{n}": {0, 1, 2, 90} for n in range(5)} | {"two": {0, 1}, "other": {0, 1}, "alone": {1000}}
+    rows = frame(spark, sets).unionByName(spark.createDataFrame([(None, 0, k) for k in range(9)], "genome_id string, enzyme int, key long"))
+    for limits in ((3, 0.001), (3, 0.5), (1, 0.001), (6, 0.0)):
+        pairs = screen.screen_pairs(rows, min_shared=limits[0], min_containment=limits[1]).where("verdict = 'pass'")
+        want = {(r.query, r.reference, r.shared, r.min_total) for r in pairs.collect()}
+        got = [tuple(r) for r in screen.passing_pairs(rows, *limits).collect()]
+        assert len(want) > 9 and len(got) == len(want) and set(got) == want
+
+
+def test_documents_of_a_common_key_are_not_paired(spark, tmp_path, monkeypatch):
+    """150 documents that share one key alone, 60 copies, and a pair: what is counted are the pairs of distinct key sets that may pass."""
+    rnd = random.Random(4)
+    # d, a, b and g stand for A, C, G and T
+    part = lambda n: "".join(rnd.choice("dabg") for _ in range(n))
+    tag = lambda: f"{part(10)}abd{part(6)}gba{part(10)}"
+    common, copied, near = tag(), "".join(tag() for _ in range(4)), "".join(tag() for _ in range(4))
+    texts = [common + tag() + tag() for _ in range(150)] + [copied] * 60 + [near + tag(), near + tag()]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    counted, plain = [], screen.shared_counts
+
+    def seen(*args, **kwargs):
+        counted.append(plain(*args, **kwargs))
+        return counted[-1]
+
+    monkeypatch.setattr(screen, "shared_counts", seen)
+    got = {(r.query, r.reference) for r in QUERIES["screen_documents"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(sorted(map(str, p))) for p in [*itertools.combinations(range(150, 210), 2), (210, 211)]}
+    assert sum(c.count() for c in counted) < 20
