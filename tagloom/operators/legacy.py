@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from tagloom.functions.sequence import pack, packed_mismatches
 from tagloom.operators.anchors import NO_LIMIT, TOLERANCE, find_anchors, parts
-from tagloom.operators.digest import canonical_kmers, kmers
+from tagloom.operators.digest import BIN_BITS, canonical_kmers, kmer_bins, kmers
 from tagloom.operators.enzymes import LONGEST_TAG, Enzyme, resolve
-from tagloom.operators.postings import shared_counts
+from tagloom.operators.postings import BLOCK, numbered, shared_counts, shared_places
 from tagloom.operators.synteny import block_sizes, match_length
 from tagloom.sources.scratch import stored
 
@@ -203,12 +203,26 @@ def contig_mash(anchors: DataFrame) -> DataFrame:
 
 
 def kmer_containment(contigs: DataFrame, k: int = 15) -> DataFrame:
-    """query, reference, shared, n_query, containment, kmer_ani of genomes by their distinct canonical k-mers; only pairs that share one."""
-    own = stored(kmers(contigs, k).select("genome_id", "kmer").distinct(), "kmers")
-    sizes = own.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n_query"))
-    shared = shared_counts(own, "genome_id", ["kmer"])
+    """query, reference, shared, n_query, containment, kmer_ani of genomes by their distinct canonical k-mers; only pairs that share one.
+
+    Up to ``BLOCK`` genomes are met bin by bin of the k-mers, k at most 15; more, or longer k-mers, by posting lists.
+    """
+    names = stored(contigs.select(F.col("genome_id").cast("string").alias("name")).na.drop().distinct(), "names")
+    genomes = names.count()
+    if 0 < genomes <= BLOCK and k <= 15:
+        ids = stored(numbered(names, genomes).select("name", F.col("idx").alias("number")), "ids")
+        own = contigs.join(F.broadcast(ids), contigs.genome_id.cast("string") == ids.name).select("number", "seq")
+        n = stored(shared_places(kmer_bins(own, k), genomes, 1 << min(BIN_BITS, 2 * k)), "shared")
+        of = lambda number, name: ids.select(F.col("number").cast("long").alias(number), F.col("name").alias(name))
+        n = n.join(of("i", "query"), "i").join(of("j", "reference"), "j")
+        sizes = n.where("i = j").select("query", F.col("n").alias("n_query"))
+        shared = n.where("i < j").select("query", "reference", F.col("n").alias("shared"))
+    else:
+        own = stored(kmers(contigs, k).select("genome_id", "kmer").distinct(), "kmers")
+        sizes = own.groupBy(F.col("genome_id").alias("query")).agg(F.count(F.lit(1)).alias("n_query"))
+        shared = shared_counts(own, "genome_id", ["kmer"])
     c = F.col("shared") / F.col("n_query")
-    return shared.join(sizes.withColumnRenamed("genome_id", "query"), "query").select("query", "reference", "shared", "n_query", c.alias("containment"), F.pow(c, F.lit(1.0 / k)).alias("kmer_ani"))
+    return shared.join(sizes, "query").select("query", "reference", "shared", "n_query", c.alias("containment"), F.pow(c, F.lit(1.0 / k)).alias("kmer_ani"))
 
 
 _BIN = 8192

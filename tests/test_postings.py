@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import postings, screen
+from tagloom.operators import digest, legacy, postings, screen
 from tagloom.operators.postings import cells, lists, numbered, shared_counts
 from tagloom.queries import QUERIES
 
@@ -95,3 +95,54 @@ def test_documents_of_a_common_key_are_not_paired(spark, tmp_path, monkeypatch):
     got = {(r.query, r.reference) for r in QUERIES["screen_documents"](spark, str(tmp_path)).collect()}
     assert got == {tuple(sorted(map(str, p))) for p in [*itertools.combinations(range(150, 210), 2), (210, 211)]}
     assert sum(c.count() for c in counted) < 20
+
+
+def plain_kmers(seq, k):
+    windows = [seq[p : p + k] for p in range(len(seq) - k + 1)]
+    return {min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in windows if set(w) <= set("ACGT")}
+
+
+def test_kmers_of_genomes_by_bins(spark, monkeypatch):
+    """Genomes of several contigs, over 64 of them, odd letters, short and null sequences: the same by bins (of few places too) and by posting lists."""
+    rnd = random.Random(9)
+    pool = ["".join(rnd.choice("ACGT") for _ in range(60)) for _ in range(12)]
+    rows = [(f"g{n}", c, rnd.choice(pool)[rnd.randrange(20) :] + rnd.choice(["N", ""]) + rnd.choice(pool)) for n in range(70) for c in range(3)]
+    rows += [("short", 0, "ACGT"), ("null", 0, None), (None, 0, pool[0]), ("lower", 0, pool[1].lower())]
+    contigs = spark.createDataFrame(rows, "genome_id string, contig_id long, seq string").repartition(9)
+    for k, few in ((15, 512), (15, 8), (5, 512)):
+        sets = {}
+        for g, _, s in rows:
+            if g is not None:
+                sets.setdefault(g, set()).update(plain_kmers((s or "").upper(), k))
+        want = {(a, b, len(sets[a] & sets[b]), len(sets[a])) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b]}
+        monkeypatch.setattr(legacy, "BLOCK", few)
+        got = [tuple(r)[:4] for r in legacy.kmer_containment(contigs, k).collect()]
+        assert len(want) > 99 and len(got) == len(want) and set(got) == want
+
+
+def test_kmers_are_met_as_lists(spark, monkeypatch):
+    """The k-mers of a few genomes are never a row each: a task's rows are as many as genomes and bins, and it hands on what it holds."""
+    rnd = random.Random(10)
+    rows = [(n % 3, "".join(rnd.choice("ACGT") for _ in range(20_000))) for n in range(12)]
+    contigs = spark.createDataFrame(rows, "number long, seq string").coalesce(1)
+    monkeypatch.setattr(digest, "spread", lambda df: df)
+    monkeypatch.setattr(digest, "BIN_BITS", 26)
+    assert digest.kmer_bins(contigs).count() == 3 * 16
+    monkeypatch.setattr(digest, "HELD", 30_000)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "1")
+    try:
+        bins = digest.kmer_bins(contigs)
+        # two contigs of two genomes at a time
+        assert bins.count() == 6 * 2 * 16
+        assert bins.select(F.sum(F.size("places"))).first()[0] > 230_000
+    finally:
+        spark.conf.unset(batch)
+
+
+def test_the_query_of_kmers_makes_no_posting_lists(spark, sf, monkeypatch):
+    def none(*_, **__):
+        raise AssertionError("posting lists of a few genomes")
+
+    monkeypatch.setattr(legacy, "shared_counts", none)
+    assert QUERIES["kmer_containment"](spark, sf).count() > 0
