@@ -160,6 +160,19 @@ def unmatched(tags: DataFrame, matches: DataFrame, side: str = "q", role: str =
     return tags.join(m, ["genome_id", "enzyme", "contig_id", "position"], "left_anti")
 
 
+def _places(tags: DataFrame) -> DataFrame:
+    """genome_id, contig_id, position, held (enzyme, tag) and content, which tells what is held, of each place."""
+    held = tags.groupBy("genome_id", "contig_id", "position").agg(F.array_sort(F.collect_set(F.struct("enzyme", "tag"))).alias("held"))
+    return stored(held.withColumn("content", F.array_join(F.transform("held", lambda x: F.concat(x.enzyme, F.lit(":"), x.tag)), ",")), "places")
+
+
+def _content_anchors(kinds: DataFrame, name: str) -> DataFrame:
+    """The anchors, of whatever number, between places of each two contents (named query and reference, each in both roles)."""
+    zero = F.lit(0).cast("long")
+    t = stored(kinds.select(F.col(name).alias("genome_id"), zero.alias("contig_id"), zero.alias("position"), F.lit(1).alias("n"), F.inline("held")), "tags")
+    return find_anchors(t, t, max_occurrence=NO_LIMIT, max_bucket=NO_LIMIT)
+
+
 def unmatched_queries(tags: DataFrame) -> DataFrame:
     """Tags that have no anchor, of whatever number, in a genome of a later name.
 
@@ -168,12 +181,9 @@ def unmatched_queries(tags: DataFrame) -> DataFrame:
     copies add rows to no join of tags.
     """
     place = ["genome_id", "contig_id", "position"]
-    held = tags.groupBy(*place).agg(F.array_sort(F.collect_set(F.struct("enzyme", "tag"))).alias("held"))
-    held = stored(held.withColumn("content", F.array_join(F.transform("held", lambda x: F.concat(x.enzyme, F.lit(":"), x.tag)), ",")), "places")
+    held = _places(tags)
     kinds = stored(held.groupBy("content").agg(F.max("genome_id").alias("top"), F.first("held").alias("held")), "contents")
-    zero = F.lit(0).cast("long")
-    t = stored(kinds.select(F.col("content").alias("genome_id"), zero.alias("contig_id"), zero.alias("position"), F.lit(1).alias("n"), F.inline("held")), "tags")
-    found = find_anchors(t, t, max_occurrence=NO_LIMIT, max_bucket=NO_LIMIT)
+    found = _content_anchors(kinds, "content")
     tops = kinds.select(F.col("content").alias("reference"), "top")
     last = found.join(tops, "reference").groupBy(F.col("query").alias("content"), "enzyme").agg(F.max("top").alias("last"))
     known = held.select(*place, "content").join(last, "content").where("genome_id < last").select(*place, "enzyme")
@@ -202,6 +212,61 @@ def contig_mash(anchors: DataFrame) -> DataFrame:
     return n.groupBy("query", "reference", "q_contig").agg(F.max_by(F.struct("r_contig", "n", "mean_mm"), F.struct("n", -F.col("r_contig"))).alias("b")).select("query", "reference", "q_contig", "b.r_contig", "b.n", "b.mean_mm")
 
 
+#: Places that a content's anchors reach, from which on contigs are compared by what they hold of it rather than one by one.
+COMMON = 64
+
+
+def contig_mash_all(tags: DataFrame) -> DataFrame:
+    """``contig_mash`` of all anchors of each two genomes (query < reference), of whatever number, without a row for an anchor.
+
+    The anchors of two contigs are those between the contents of their places. Contents whose
+    anchors reach up to ``COMMON`` places meet place by place, which is at most so many rows for
+    a place. What a contig holds of the other contents is its profile, and two profiles have
+    the same anchors wherever they stand: each two are counted once, and a genome's best contig
+    for a profile is the first of those whose profile has the most. A contig that also shares a
+    rarer content has more than its profile says and is counted with both; any other is no
+    better than the best by profiles, so that the better of the two is the best of all.
+    """
+    held = _places(tags.where("genome_id is not null"))
+    kinds = stored(held.groupBy("content").agg(F.count(F.lit(1)).alias("places"), F.first("held").alias("held")).withColumn("id", F.monotonically_increasing_id()), "contents")
+    near = stored(_content_anchors(kinds, "id").groupBy(F.col("query").alias("a"), F.col("reference").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.sum("mm").alias("mm")), "near")
+    reach = near.join(kinds.select(F.col("id").alias("b"), "places"), "b").groupBy(F.col("a").alias("id")).agg((F.sum("places") > COMMON).alias("common"))
+    reach = stored(reach, "reach")
+    own = held.join(kinds.select("content", "id"), "content").groupBy("genome_id", "contig_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    own = stored(own.join(reach, "id"), "own")
+    edges = near.join(reach.withColumnsRenamed({"id": "a", "common": "a_common"}), "a").join(reach.withColumnsRenamed({"id": "b", "common": "b_common"}), "b")
+    edges = stored(edges.withColumn("common", F.col("a_common") & F.col("b_common")), "edges")
+
+    sums = [F.sum(F.col("a_n") * F.col("b_n") * F.col(x)).alias(as_) for x, as_ in (("k", "n"), ("mm", "mm"))]
+    best = F.max_by(F.struct("r_contig", "n", "mm"), F.struct("n", -F.col("r_contig"))).alias("best")
+
+    # profiles, and the anchors of each two of them
+    profiles = own.where("common").groupBy("genome_id", "contig_id").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("held"))
+    profiles = stored(profiles.withColumn("text", F.sha2(F.to_json("held"), 256)), "profiles")
+    distinct = stored(profiles.groupBy("text").agg(F.first("held").alias("held")).withColumn("profile", F.monotonically_increasing_id()), "distinct")
+    profiles = stored(profiles.join(distinct.select("text", "profile"), "text").select("genome_id", "contig_id", "profile"), "numbered")
+    parts_ = distinct.select("profile", F.inline("held"))
+    both = parts_.withColumnsRenamed({"profile": "p", "id": "a", "n": "a_n"}).join(edges.where("common"), "a").join(parts_.withColumnsRenamed({"profile": "q", "id": "b", "n": "b_n"}), "b")
+    both = stored(both.groupBy("p", "q").agg(*sums), "pairs")
+    holders = profiles.groupBy(F.col("profile").alias("q"), F.col("genome_id").alias("reference")).agg(F.min("contig_id").alias("r_contig"))
+    top = both.join(holders, "q").groupBy("p", "reference").agg(best).select("p", "reference", "best.*")
+    q = profiles.select(F.col("genome_id").alias("query"), F.col("contig_id").alias("q_contig"), F.col("profile").alias("p"))
+    columns = ["query", "reference", "q_contig", "r_contig", "n", "mm"]
+    by_profile = q.join(top, "p").where("query < reference").select(columns)
+
+    # contigs that share a rarer content, with what their profiles add
+    known = own.join(profiles.withColumnsRenamed({"genome_id": "g", "contig_id": "c"}), (F.col("genome_id") == F.col("g")) & F.col("contig_id").eqNullSafe(F.col("c")), "left")
+    known = stored(known.select("genome_id", "contig_id", "id", "n", "profile"), "known")
+    of = lambda x, y, z: known.select(F.col("genome_id").alias(y), F.col("contig_id").alias(f"{y[0]}_contig"), F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("profile").alias(z))
+    met = of("a", "query", "p").join(edges.where("not common"), "a").join(of("b", "reference", "q"), "b").where("query < reference")
+    met = stored(met.groupBy("query", "reference", "q_contig", "r_contig").agg(*sums, F.first("p").alias("p"), F.first("q").alias("q")), "met")
+    more = both.withColumnsRenamed({"n": "more_n", "mm": "more_mm"})
+    added = met.where("p is not null and q is not null").join(more, ["p", "q"], "left").withColumn("n", F.col("n") + F.coalesce("more_n", F.lit(0))).withColumn("mm", F.col("mm") + F.coalesce("more_mm", F.lit(0)))
+    found = by_profile.unionByName(added.select(columns)).unionByName(met.where("p is null or q is null").select(columns))
+    found = found.groupBy("query", "reference", "q_contig").agg(best)
+    return found.select("query", "reference", "q_contig", "best.r_contig", "best.n", (F.col("best.mm") / F.col("best.n")).alias("mean_mm"))
+
+
 def kmer_containment(contigs: DataFrame, k: int = 15) -> DataFrame:
     """query, reference, shared, n_query, containment, kmer_ani of genomes by their distinct canonical k-mers; only pairs that share one.
 

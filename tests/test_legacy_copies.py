@@ -110,3 +110,51 @@ def test_unmatched_tags_are_those_of_all_anchors(spark):
     got = legacy.unmatched_queries(t).collect()
     plain = lambda found: sorted(repr((r.genome_id, r.contig_id, r.enzyme, r.position, r.tag)) for r in found)
     assert plain(got) == plain(want) and 0 < len(got) < len(rows)
+
+
+def test_best_contigs_by_profiles_are_those_of_all_anchors(spark, monkeypatch):
+    """Whatever counts as common: repeated places, two enzymes at a place, either strand, ties, and without a genome or contig."""
+    from tagloom.operators import anchors as anc
+    from tagloom.queries import halves
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ACGT") for _ in range(32)) for _ in range(14)]
+    base.append("ATGCGCATGCGCATGCGCATGCGCATGCGCAT")
+
+    def near(tag):
+        for _ in range(rng.choice((0, 0, 1, 2, 3))):
+            k = rng.randrange(32)
+            tag = tag[:k] + rng.choice("ACGT") + tag[k + 1 :]
+        return tag if rng.random() < 0.7 else tag[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+    rows = []
+    for k in range(420):
+        g, at = rng.choice(["a", "b", "c", "d", None]), rng.randrange(60)
+        for e in rng.sample(["BcgI", "AlfI"], rng.choice((1, 1, 2))):
+            rows.append((g, None if k % 40 == 7 else k % 17, e, at, near(base[min(rng.randrange(15), rng.randrange(15))])))
+    t = spark.createDataFrame(rows, "genome_id string, contig_id long, enzyme string, position long, tag string")
+    want = legacy.contig_mash(halves(t, max_occurrence=anc.NO_LIMIT, max_bucket=anc.NO_LIMIT)).collect()
+    plain = lambda found: sorted(repr(tuple(r)) for r in found)
+    assert len(want) > 90
+    for common in (0, 30, 80, 200, 1000):
+        monkeypatch.setattr(legacy, "COMMON", common)
+        assert plain(legacy.contig_mash_all(t).collect()) == plain(want), common
+
+
+def test_best_contigs_of_copies_make_no_row_for_an_anchor(spark, tmp_path, monkeypatch):
+    """40 copies of a text in each of two sources: anchors are found between distinct contents alone, and a profile of all is met once."""
+    from tagloom.operators import anchors as anc
+
+    found, plain = [], anc.find_anchors
+
+    def seen(*args, **kwargs):
+        found.append(plain(*args, **kwargs))
+        return found[-1]
+
+    monkeypatch.setattr(anc, "find_anchors", seen)
+    monkeypatch.setattr(legacy, "find_anchors", seen)
+    sf = table(spark, tmp_path, 40)
+    n = QUERIES["digest_tags"](spark, sf).count() // 80
+    got = QUERIES["contig_mash"](spark, sf).collect()
+    assert len(got) == 40 and {(r.query, r.reference, r.r_contig) for r in got} == {("src0", "src1", 1)} and min(r.n for r in got) >= n
+    assert 0 < sum(x.count() for x in found) < 9 * n
